@@ -1,6 +1,207 @@
-"""The registered queries over the driver's tables and the SQL they are held against."""
+"""The registered queries over the driver's tables and the SQL they are held against.
+
+The driver's tables stand in for a Markdown corpus: links of pages for image references, documents
+and labels for assets and metadata, conversation turns for lines below headings."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import scalars as S
+from .operators import graph
+from .operators.scan import link_spans
+from .streaming.arrivals import flag_credentials
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def span_scan(spark, sf_dir):
+    return link_spans(_read(spark, sf_dir, "pages"))
+
+
+def shared_refs(spark, sf_dir):
+    links = link_spans(_read(spark, sf_dir, "pages"))
+    return links.groupBy("dest").agg(F.count_distinct("page_id").alias("n_docs"), F.count(F.lit(1)).alias("n_refs")).where("n_docs > 8")
+
+
+def dup_sha(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select(F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), "doc_id")
+    return docs.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+def secret_lines(spark, sf_dir):
+    return flag_credentials(_read(spark, sf_dir, "documents")).withColumn("n_lines", F.col("n_lines").cast("long"))
+
+
+def category_rollup(spark, sf_dir):
+    out = _read(spark, sf_dir, "documents").rollup("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("long").alias("level"))
+    return out
+
+
+def unmatched_anti(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
+
+
+def unmatched_beside_semi(spark, sf_dir):
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang"), _read(spark, sf_dir, "labels")
+    used = docs.join(labels.where("toxic = 1"), "doc_id", "left_semi").select("source", "lang").distinct()
+    return docs.join(labels, "doc_id", "left_anti").join(used, ["source", "lang"], "left_semi").select("doc_id")
+
+
+def metadata_left(spark, sf_dir):
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    return docs.join(labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
+
+
+def sequence_numbers(spark, sf_dir):
+    w = Window.partitionBy("source", "lang").orderBy("doc_id")
+    n = F.row_number().over(w)
+    return _read(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("seq"), F.concat(F.lit("fig"), S.two_digits(n)).alias("name"))
+
+
+def evidence_top1(spark, sf_dir):
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    tier = F.when(F.col("quality") == 1, 1).when(F.col("toxic") == 1, 2).when(F.col("quality").isNotNull(), 3).otherwise(4)
+    rows = docs.join(labels, "doc_id", "left").withColumn("tier", tier)
+    w = Window.partitionBy("source").orderBy("tier", F.desc("n_chars"), "doc_id")
+    return rows.withColumn("r", F.row_number().over(w)).where("r = 1").select("source", "doc_id", F.col("tier").cast("long").alias("tier"))
+
+
+def cache_keys(spark, sf_dir):
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    return _read(spark, sf_dir, "documents").select("doc_id", S.cache_key(sha, F.lit("model"), F.lit("1")).alias("cache_key"), F.left(sha, F.lit(8)).alias("hash8"))
+
+
+def ascii_slugs(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", S.ascii_slug(F.substring("text", 1, 80)).alias("slug"))
+
+
+def nfkd_slugs(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", S.safe_filename(F.substring("text", 1, 200), F.lit(".PNG"), F.left(F.sha2(F.col("text").cast("binary"), 256), F.lit(8)), 80).alias("name"))
+
+
+def decoded_links(spark, sf_dir):
+    links = link_spans(_read(spark, sf_dir, "pages"))
+    return links.select("page_id", "i", S.percent_decode(F.col("dest")).alias("decoded"), S.is_remote(F.col("dest")).alias("remote"))
+
+
+def oversize(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes")).where("n_bytes > 20000")
+
+
+def parity_full_outer(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    n = lambda lang, keep: docs.where((F.col("lang") == lang) & keep).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    out = graph.parity(n("de", F.col("source") != "src3"), n("fr", ~F.col("source").isin("src5", "src7")), ["source"], "n")
+    return out.select("source", F.coalesce("left_value", F.lit(-1)).alias("left_value"), F.coalesce("right_value", F.lit(-1)).alias("right_value"))
+
+
+def asof_heading(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    user = F.when(F.col("role") == "user", F.col("turn"))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.last(user, ignorenulls=True).over(w), F.lit(-1)).alias("heading"))
+
+
+def adjacent_caption(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    n = F.char_length("text").cast("long")
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.lag(n).over(w), F.lit(-1)).alias("before"), F.coalesce(F.lead(n).over(w), F.lit(-1)).alias("after"))
+
+
+def outside_ranges(spark, sf_dir):
+    """Links that stand in no protected range: an interval anti join. Scripts and comments protect."""
+    pages = _read(spark, sf_dir, "pages")
+    links = link_spans(pages)
+    parts = pages.select("page_id", F.posexplode(F.split("html", "<nav>")).alias("k", "part"))
+    w = Window.partitionBy("page_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    lo = F.sum(F.octet_length("part")).over(w) + 5 * F.col("k")
+    ranges = parts.withColumn("lo", lo).where("k > 0").select("page_id", "lo", (F.col("lo") + F.octet_length(F.substring_index("part", "</nav>", 1))).alias("hi"))
+    on = (F.col("l.page_id") == F.col("r.page_id")) & (F.col("l.start_b") >= F.col("r.lo")) & (F.col("l.start_b") < F.col("r.hi"))
+    return links.alias("l").join(ranges.alias("r"), on, "left_anti").select("page_id", "i", "start_b")
+
+
+def tree_changes(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    after = docs.where("path not like '%7'").withColumn("sha256", F.when(F.col("path").endswith("3"), F.lit("changed")).otherwise(F.col("sha256")))
+    return graph.tree_difference(docs, after)
+
+
+def name_collisions(spark, sf_dir):
+    plan = _read(spark, sf_dir, "documents").select(F.substring("text", 1, 3).alias("new_path"))
+    return graph.target_collisions(plan)
+
+
+def summary_counts(spark, sf_dir):
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    return docs.join(labels, "doc_id", "left").agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("source").alias("sources"), F.count_if(F.col("quality").isNull()).alias("missing"), F.count_if(F.col("toxic") == 1).alias("warnings"))
+
+
+def utf8_count(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").agg(F.count_if(S.is_text(F.col("text").cast("binary"))).alias("n_text"))
+
+
+def rewrite_spans(spark, sf_dir):
+    """Each page with its link destinations replaced by numbers: hash and length of the new bytes."""
+    pages = _read(spark, sf_dir, "pages")
+    links = link_spans(pages).groupBy("page_id").agg(F.collect_list(F.struct(F.col("start_b").alias("start"), (F.col("start_b") + F.octet_length("dest")).alias("end"), F.concat(F.lit("#"), F.col("i").cast("string")).cast("binary").alias("value"))).alias("spans"))
+    new = S.rewrite_bytes(F.col("html").cast("binary"), F.col("spans"))
+    return pages.join(links, "page_id").select("page_id", F.sha2(new, 256).alias("sha256"), F.octet_length(new).cast("long").alias("n_bytes"))
+
+
+QUERIES = {f.__name__: f for f in (span_scan, shared_refs, dup_sha, secret_lines, category_rollup, unmatched_anti, unmatched_beside_semi, metadata_left, sequence_numbers, evidence_top1, cache_keys, ascii_slugs, nfkd_slugs, decoded_links, oversize, parity_full_outer, asof_heading, adjacent_caption, outside_ranges, tree_changes, name_collisions, summary_counts, utf8_count, rewrite_spans)}
+
+_LINKS = """links AS (
+  SELECT page_id, i, split_part(part, '"', 1) AS dest,
+         CAST(sum(strlen(part) + 9) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS start_b
+  FROM (SELECT page_id, unnest(parts) AS part, CAST(unnest(range(len(parts))) AS BIGINT) AS i
+        FROM (SELECT page_id, string_split(html, '<a href="') AS parts FROM pages)))"""
+
+ORACLE_SQL = {
+    "span_scan": f"WITH {_LINKS} SELECT page_id, i, dest, start_b FROM links WHERE i > 0",
+    "shared_refs": f"WITH {_LINKS} SELECT dest, count(DISTINCT page_id) AS n_docs, count(*) AS n_refs FROM links WHERE i > 0 GROUP BY dest HAVING count(DISTINCT page_id) > 8",
+    "dup_sha": "SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "secret_lines": r"""SELECT doc_id, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+        WHERE regexp_matches(line, '(?i)(api[_-]?key|secret|token|password)[ \t]*[:=][ \t]*[''"][^$<{\n''"][^''"\n]+') GROUP BY doc_id""",
+    "category_rollup": "SELECT lang, source, count(*) AS n, CAST(grouping(lang, source) AS BIGINT) AS level FROM documents GROUP BY ROLLUP (lang, source)",
+    "unmatched_anti": "SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
+    "unmatched_beside_semi": """SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+        AND EXISTS (SELECT 1 FROM documents e JOIN labels l ON l.doc_id = e.doc_id AND l.toxic = 1 WHERE e.source = d.source AND e.lang = d.lang)""",
+    "metadata_left": "SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
+    "sequence_numbers": """SELECT doc_id, n AS seq, 'fig' || CASE WHEN n < 10 THEN '0' ELSE '' END || n AS name
+        FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents)""",
+    "evidence_top1": """SELECT source, doc_id, CAST(tier AS BIGINT) AS tier FROM (
+        SELECT source, doc_id, tier, row_number() OVER (PARTITION BY source ORDER BY tier, n_chars DESC, doc_id) AS r FROM (
+          SELECT d.source, d.doc_id, d.n_chars, CASE WHEN l.quality = 1 THEN 1 WHEN l.toxic = 1 THEN 2 WHEN l.quality IS NOT NULL THEN 3 ELSE 4 END AS tier
+          FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)) WHERE r = 1""",
+    "cache_keys": "SELECT doc_id, sha256(sha256(text) || chr(0) || 'model' || chr(0) || '1') AS cache_key, left(sha256(text), 8) AS hash8 FROM documents",
+    "ascii_slugs": r"SELECT doc_id, trim(regexp_replace(lower(regexp_replace(substr(text, 1, 80), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents",
+    "decoded_links": f"WITH {_LINKS} SELECT page_id, i, url_decode(dest) AS decoded, regexp_matches(dest, '^[A-Za-z][A-Za-z0-9+.-]*:') AS remote FROM links WHERE i > 0",
+    "oversize": "SELECT doc_id, strlen(text) AS n_bytes FROM documents WHERE strlen(text) > 20000",
+    "parity_full_outer": """WITH a AS (SELECT source, count(*) AS n FROM documents WHERE lang = 'de' AND source <> 'src3' GROUP BY 1),
+        b AS (SELECT source, count(*) AS n FROM documents WHERE lang = 'fr' AND source NOT IN ('src5', 'src7') GROUP BY 1)
+        SELECT coalesce(a.source, b.source) AS source, coalesce(a.n, -1) AS left_value, coalesce(b.n, -1) AS right_value
+        FROM a FULL JOIN b ON a.source = b.source WHERE a.n IS DISTINCT FROM b.n""",
+    "asof_heading": """SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS)
+        OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS heading FROM conversations""",
+    "adjacent_caption": """SELECT conv_id, turn, coalesce(lag(length(text)) OVER w, -1) AS before, coalesce(lead(length(text)) OVER w, -1) AS after
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    "outside_ranges": f"""WITH {_LINKS}, parts AS (
+          SELECT page_id, unnest(p) AS part, CAST(unnest(range(len(p))) AS BIGINT) AS k FROM (SELECT page_id, string_split(html, '<nav>') AS p FROM pages)),
+        ranges AS (SELECT page_id, k, lo, lo + strlen(split_part(part, '</nav>', 1)) AS hi FROM (
+          SELECT page_id, k, part, sum(strlen(part) + 5) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo FROM parts) WHERE k > 0)
+        SELECT page_id, i, start_b FROM links l WHERE i > 0 AND NOT EXISTS (SELECT 1 FROM ranges r WHERE r.page_id = l.page_id AND l.start_b >= r.lo AND l.start_b < r.hi)""",
+    "tree_changes": """WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS sha256 FROM documents),
+        b AS (SELECT path, CASE WHEN path LIKE '%3' THEN 'changed' ELSE sha256 END AS sha256 FROM a WHERE path NOT LIKE '%7')
+        SELECT *, 'before' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'after' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""",
+    "name_collisions": "SELECT lower(substr(text, 1, 3)) AS target, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "summary_counts": """SELECT count(*) AS documents, count(DISTINCT source) AS sources, count(*) FILTER (quality IS NULL) AS missing, count(*) FILTER (toxic = 1) AS warnings
+        FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+    "utf8_count": "SELECT count(*) FILTER (NOT contains(text, chr(65533))) AS n_text FROM documents",
+    "rewrite_spans": r"""SELECT page_id, sha256(new) AS sha256, strlen(new) AS n_bytes FROM (
+        SELECT page_id, parts[1] || list_aggregate(list_transform(range(2, len(parts) + 1), lambda k: '<a href="#' || (k - 1) || substr(parts[k], instr(parts[k], '"'))), 'string_agg', '') AS new
+        FROM (SELECT page_id, string_split(html, '<a href="') AS parts FROM pages) WHERE len(parts) > 1)""",
+}
