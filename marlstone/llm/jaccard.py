@@ -189,6 +189,46 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(search, "a long, b long")
 
 
+def _crowds(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join what links within blocks of the members of long lists.
+
+    Each member goes to its longest list, lists are dealt into blocks of about BLOCK; in a block a
+    walk over links searches from each member reached among those not reached yet."""
+    longest = lists.groupBy("sig").agg(F.max(F.struct("length", "tok")).alias("m")).select("sig", "m.tok")
+    size = longest.groupBy("tok").agg(F.count(F.lit(1)).alias("k"))
+    dealt = longest.join(size, "tok").withColumn("block", F.pmod(F.xxhash64("sig"), F.expr(f"1 + k div {BLOCK}")))
+    members = dealt.join(sets, "sig").groupBy("tok", "block").agg(F.collect_list(F.struct("sig", "tokens")).alias("members"))
+
+    def walk(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                inner = batch.column("members")[k].values
+                ids, lists_ = np.asarray(inner.field("sig")), inner.field("tokens")
+                at = np.asarray(lists_.offsets)
+                own = [np.sort(np.asarray(lists_.values).view(np.uint64)[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                tokens, owner = np.concatenate(own), np.repeat(np.arange(len(own)), np.diff(at))
+                order = np.lexsort((owner, tokens))
+                tokens, owner = tokens[order], owner[order]
+                free, a, b = np.ones(len(own), dtype=bool), [], []
+                for seed in range(len(own)):
+                    queue = [seed] if free[seed] else []
+                    free[seed] = False
+                    while queue:
+                        x = queue.pop()
+                        rest = free[owner]
+                        tokens, owner = tokens[rest], owner[rest]
+                        n = len(own[x])
+                        wanted = {i: -(-percent * (n + len(own[i])) // (100 + percent)) for i in np.flatnonzero(free).tolist()}
+                        hit = divide_skip(own[x], owner, tokens, wanted) if wanted else []
+                        free[hit] = False
+                        queue += hit
+                        a += [ids[x]] * len(hit)
+                        b += ids[hit].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return members.mapInArrow(walk, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id.
 
@@ -200,11 +240,13 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
        linked sets share at least T - ceil(percent * n) + 1 shingles, T the overlap asked for.
     2. In each list the smallest class leads. Pairs of a leader and a member with enough lists in
        common are searched (T-occurrence with DivideSkip, on whole sets) and linked.
-    3. Lists then hold few components. Only pairs across components go on: those that short lists
+    3. Members of long lists that still hold several components are walked over in blocks, which
+       joins large groups of near copies.
+    4. Lists then hold few components. Only pairs across components go on: those that short lists
        bring together often enough, long lists counting as shared until probed; a long list
        itself brings pairs together only where the short ones could miss them. They are searched too.
 
-    Every link between different sets either is found in step 2 or 3 or lies inside a component that
+    Every link between different sets either is found in steps 2 to 4 or lies inside a component that
     is already joined. A null or empty text has no shingles and its own doc_id as component. Equal
     rows are in one component; rows that share a doc_id are separate documents. An empty table gives
     no rows. Other columns are ignored, whatever their names."""
@@ -228,17 +270,29 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     first = staged(_verified(stars, _sets_of(docs, reps, nodes, text, doc_id), percent), "links")
     joined = staged(components(first), "joined")
 
-    lists = led.select("tok", "sig", "n").join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("comp", F.coalesce("component", "sig"))
-    open_ = lists.groupBy("tok").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("length")).where("c0 < c1").select("tok", (F.col("length") > LONG_LIST).alias("long"))
-    lists = staged(lists.join(open_, "tok").select("tok", "sig", "n", "comp", "long"), "open")
+    def open_lists(joined: DataFrame) -> DataFrame:
+        lists = led.select("tok", "sig", "n").join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("comp", F.coalesce("component", "sig"))
+        several = lists.groupBy("tok").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("length")).where("c0 < c1").select("tok", "length")
+        return staged(lists.join(several, "tok").select("tok", "sig", "n", "comp", "length"), "open")
+
+    lists = open_lists(joined)
+    crowded = lists.where(F.col("length") > LONG_LIST)
+    crowd = staged(_crowds(crowded, _sets_of(docs, reps, crowded.select("sig").distinct(), text, doc_id), percent), "crowds")
+    if not crowd.isEmpty():
+        first = staged(first.union(crowd), "links")
+        joined = staged(components(first), "joined")
+        lists = open_lists(joined)
+    lists = lists.withColumn("long", F.col("length") > LONG_LIST)
     n_long = lists.groupBy("sig").agg(F.count_if("long").alias("n_long"))
-    lists = lists.join(n_long, "sig")
+    lists = lists.join(n_long, "sig").withColumn("at", F.row_number().over(Window.partitionBy("sig", "long").orderBy("tok")))
     a, b = lists.alias("a"), lists.alias("b")
     a = a.select(*[F.col(c).alias(f"a_{c}") for c in lists.columns])
     b = b.select(*[F.col(c).alias(f"b_{c}") for c in lists.columns])
     skipped = F.least("a_n_long", "b_n_long")
+    # of so many shared lists, the first stands no later than this among the long ones of either
+    early = (F.col("a_at") <= F.col("a_n_long") - enough("a_n", "b_n") + 1) & (F.col("b_at") <= F.col("b_n_long") - enough("a_n", "b_n") + 1)
     pair = (F.col("a_tok") == F.col("b_tok")) & (F.col("a_sig") < F.col("b_sig")) & (F.col("a_comp") != F.col("b_comp")) & sizes_fit("a_n", "b_n")
-    pairs = a.join(b, pair & (~F.col("a_long") | (enough("a_n", "b_n") <= skipped)))
+    pairs = a.join(b, pair & (~F.col("a_long") | early))
     pairs = pairs.groupBy("a_sig", "b_sig", "a_n", "b_n", skipped.alias("skipped")).agg(F.count_if(~F.col("a_long")).alias("c"))
     pairs = pairs.where(F.col("c") + F.col("skipped") >= enough("a_n", "b_n")).select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"))
     pairs = staged(pairs, "pairs")
