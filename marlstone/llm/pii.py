@@ -150,7 +150,7 @@ def _grow(x: np.ndarray, cuts: list[np.ndarray], grad: np.ndarray, hess: np.ndar
 
 def fit_trees(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Trees:
     """Fit on rows not held, calibrate on the held ones: Platt scaling, then the smallest threshold
-    whose held precision is PRECISION at least. Without both classes in both parts nothing is found."""
+    whose precision on them is PRECISION at least. Without both classes in both parts nothing is found."""
     model = Trees()
     a, b = ~held, held
     if min(y[a].sum(), (1 - y[a]).sum(), y[b].sum(), (1 - y[b]).sum()) < 5:
@@ -177,7 +177,9 @@ def fit_trees(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Trees:
     order = np.argsort(-p, kind="stable")
     good = np.flatnonzero(np.cumsum(y[b][order]) >= PRECISION * np.arange(1, len(order) + 1))
     if len(good):
-        model.threshold = max(LEAST, float(p[order[good[-1]]]))
+        # halfway to the first held span that is left out
+        last, after = float(p[order[good[-1]]]), order[good[-1] + 1 :]
+        model.threshold = max(LEAST, (last + float(p[after[0]])) / 2 if len(after) else LEAST)
     return model
 
 
