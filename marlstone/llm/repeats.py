@@ -139,7 +139,7 @@ def _found(contexts: DataFrame) -> DataFrame:
     Buckets start as equal grams. One with more than MOST contexts is split: a window with o bytes
     left of the gram, o from lo to hi, holds lo bytes of left and LENGTH - hi of right; each half of
     the range makes buckets of its longer core, until they are small, or one window is left and
-    all members have it in common."""
+    all members have it in common. Contexts equal in all windows of a half are settled at once."""
     todo = contexts.select(F.col("h").alias("bucket"), "h", "c", "left", "right", F.lit(0).alias("lo"), F.lit(LEFT).alias("hi"))
     out = None
     for _ in range(LEFT.bit_length() + 1):
@@ -157,6 +157,14 @@ def _found(contexts: DataFrame) -> DataFrame:
         middle = F.expr("(lo + hi) div 2").cast("int")
         halves = large.withColumn("half", F.explode(F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi")))))
         halves = halves.select("h", "c", "left", "right", "half.lo", "half.hi").where((F.octet_length("left") >= F.col("lo")) & (F.octet_length("right") >= F.lit(LENGTH) - F.col("hi")))
+        # the hull: all bytes of the range's windows; equal hulls repeat every window, and one goes on for all
+        whole = (F.octet_length("left") >= F.col("hi")) & (F.octet_length("right") >= F.lit(LENGTH) - F.col("lo"))
+        hull = F.xxhash64("h", "lo", "hi", F.expr("right(hex(left), 2 * hi)"), F.expr(f"substring(right, 1, {LENGTH} - lo)"))
+        halves = staged(halves.withColumn("hull", F.when(whole, hull).otherwise(F.xxhash64("h", "c", "lo", "hi"))), "halves")
+        alike = halves.groupBy("hull").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+        told = halves.select("h", "c", "hull").join(alike.where("n > 1").drop("c"), "hull")
+        out = out.union(told.select("h", "c", F.col("hi").cast("long"), (F.lit(LENGTH) - F.col("lo")).cast("long")))
+        halves = halves.join(alike.select("hull", "c"), ["hull", "c"], "left_semi").drop("hull")
         core = F.xxhash64("h", "lo", "hi", F.expr("right(hex(left), 2 * lo)"), F.expr(f"substring(right, 1, {LENGTH} - hi)"))
         todo = halves.withColumn("bucket", core)
     return out.groupBy("h", "c").agg(F.max("l").alias("l"), F.max("r").alias("r"))
