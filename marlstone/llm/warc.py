@@ -16,7 +16,7 @@ from .common import staged
 
 #: Magic number of the leading skippable frame that holds the dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
-ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES, LEVEL = 16 << 20, 32 << 10, 1 << 20, 3
+ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES, LEVEL = 16 << 20, 32 << 10, 512 << 10, 3
 #: Fixed date of the records, so that reruns write the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 
