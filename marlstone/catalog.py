@@ -25,7 +25,7 @@ def span_scan(spark, sf_dir):
 
 def shared_refs(spark, sf_dir):
     links = link_spans(_read(spark, sf_dir, "pages"))
-    return links.groupBy("dest").agg(F.count_distinct("page_id").alias("n_docs"), F.count(F.lit(1)).alias("n_refs")).where("n_docs > 8")
+    return links.groupBy("dest").agg(F.count_distinct("page_id").alias("n_docs"), F.count(F.lit(1)).alias("n_refs")).where("n_docs > 1")
 
 
 def dup_sha(spark, sf_dir):
@@ -77,11 +77,11 @@ def cache_keys(spark, sf_dir):
 
 
 def ascii_slugs(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", S.ascii_slug(F.substring("text", 1, 80)).alias("slug"))
+    return _read(spark, sf_dir, "documents").select("doc_id", S.ascii_slug(F.col("text")).alias("slug"))
 
 
 def nfkd_slugs(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", S.safe_filename(F.substring("text", 1, 200), F.lit(".PNG"), F.left(F.sha2(F.col("text").cast("binary"), 256), F.lit(8)), 80).alias("name"))
+    return _read(spark, sf_dir, "documents").select("doc_id", S.safe_filename(F.col("text"), F.lit(".PNG"), F.left(F.sha2(F.col("text").cast("binary"), 256), F.lit(8)), 80).alias("name"))
 
 
 def decoded_links(spark, sf_dir):
@@ -95,8 +95,8 @@ def oversize(spark, sf_dir):
 
 def parity_full_outer(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
-    n = lambda lang, keep: docs.where((F.col("lang") == lang) & keep).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    out = graph.parity(n("de", F.col("source") != "src3"), n("fr", ~F.col("source").isin("src5", "src7")), ["source"], "n")
+    n = lambda lang: docs.where(F.col("lang") == lang).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    out = graph.parity(n("de"), n("fr"), ["source"], "n")
     return out.select("source", F.coalesce("left_value", F.lit(-1)).alias("left_value"), F.coalesce("right_value", F.lit(-1)).alias("right_value"))
 
 
@@ -113,7 +113,7 @@ def adjacent_caption(spark, sf_dir):
 
 
 def outside_ranges(spark, sf_dir):
-    """Links that stand in no protected range: an interval anti join. Scripts and comments protect."""
+    """Links that stand in no protected range: an interval anti join. Navigation elements protect."""
     pages = _read(spark, sf_dir, "pages")
     links = link_spans(pages)
     parts = pages.select("page_id", F.posexplode(F.split("html", "<nav>")).alias("k", "part"))
@@ -125,13 +125,15 @@ def outside_ranges(spark, sf_dir):
 
 
 def tree_changes(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
-    after = docs.where("path not like '%7'").withColumn("sha256", F.when(F.col("path").endswith("3"), F.lit("changed")).otherwise(F.col("sha256")))
-    return graph.tree_difference(docs, after)
+    """What changes when only labelled documents stay and their line breaks become spaces."""
+    docs = _read(spark, sf_dir, "documents")
+    hashed = lambda df, text: df.select(F.col("doc_id").cast("string").alias("path"), F.sha2(text.cast("binary"), 256).alias("sha256"))
+    labelled = docs.join(_read(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    return graph.tree_difference(hashed(docs, F.col("text")), hashed(labelled, F.translate("text", "\n", " ")))
 
 
 def name_collisions(spark, sf_dir):
-    plan = _read(spark, sf_dir, "documents").select(F.substring("text", 1, 3).alias("new_path"))
+    plan = _read(spark, sf_dir, "documents").select(F.concat_ws("-", F.upper("lang"), F.col("n_chars").cast("string")).alias("new_path"))
     return graph.target_collisions(plan)
 
 
@@ -162,7 +164,7 @@ _LINKS = """links AS (
 
 ORACLE_SQL = {
     "span_scan": f"WITH {_LINKS} SELECT page_id, i, dest, start_b FROM links WHERE i > 0",
-    "shared_refs": f"WITH {_LINKS} SELECT dest, count(DISTINCT page_id) AS n_docs, count(*) AS n_refs FROM links WHERE i > 0 GROUP BY dest HAVING count(DISTINCT page_id) > 8",
+    "shared_refs": f"WITH {_LINKS} SELECT dest, count(DISTINCT page_id) AS n_docs, count(*) AS n_refs FROM links WHERE i > 0 GROUP BY dest HAVING count(DISTINCT page_id) > 1",
     "dup_sha": "SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "secret_lines": r"""SELECT doc_id, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
         WHERE regexp_matches(line, '(?i)(api[_-]?key|secret|token|password)[ \t]*[:=][ \t]*[''"][^$<{\n''"][^''"\n]+') GROUP BY doc_id""",
@@ -178,11 +180,11 @@ ORACLE_SQL = {
           SELECT d.source, d.doc_id, d.n_chars, CASE WHEN l.quality = 1 THEN 1 WHEN l.toxic = 1 THEN 2 WHEN l.quality IS NOT NULL THEN 3 ELSE 4 END AS tier
           FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)) WHERE r = 1""",
     "cache_keys": "SELECT doc_id, sha256(sha256(text) || chr(0) || 'model' || chr(0) || '1') AS cache_key, left(sha256(text), 8) AS hash8 FROM documents",
-    "ascii_slugs": r"SELECT doc_id, trim(regexp_replace(lower(regexp_replace(substr(text, 1, 80), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents",
+    "ascii_slugs": r"SELECT doc_id, trim(regexp_replace(lower(regexp_replace(text, '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents",
     "decoded_links": f"WITH {_LINKS} SELECT page_id, i, url_decode(dest) AS decoded, regexp_matches(dest, '^[A-Za-z][A-Za-z0-9+.-]*:') AS remote FROM links WHERE i > 0",
     "oversize": "SELECT doc_id, strlen(text) AS n_bytes FROM documents WHERE strlen(text) > 20000",
-    "parity_full_outer": """WITH a AS (SELECT source, count(*) AS n FROM documents WHERE lang = 'de' AND source <> 'src3' GROUP BY 1),
-        b AS (SELECT source, count(*) AS n FROM documents WHERE lang = 'fr' AND source NOT IN ('src5', 'src7') GROUP BY 1)
+    "parity_full_outer": """WITH a AS (SELECT source, count(*) AS n FROM documents WHERE lang = 'de' GROUP BY 1),
+        b AS (SELECT source, count(*) AS n FROM documents WHERE lang = 'fr' GROUP BY 1)
         SELECT coalesce(a.source, b.source) AS source, coalesce(a.n, -1) AS left_value, coalesce(b.n, -1) AS right_value
         FROM a FULL JOIN b ON a.source = b.source WHERE a.n IS DISTINCT FROM b.n""",
     "asof_heading": """SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS)
@@ -195,9 +197,9 @@ ORACLE_SQL = {
           SELECT page_id, k, part, sum(strlen(part) + 5) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo FROM parts) WHERE k > 0)
         SELECT page_id, i, start_b FROM links l WHERE i > 0 AND NOT EXISTS (SELECT 1 FROM ranges r WHERE r.page_id = l.page_id AND l.start_b >= r.lo AND l.start_b < r.hi)""",
     "tree_changes": """WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS sha256 FROM documents),
-        b AS (SELECT path, CASE WHEN path LIKE '%3' THEN 'changed' ELSE sha256 END AS sha256 FROM a WHERE path NOT LIKE '%7')
+        b AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(replace(text, chr(10), ' ')) AS sha256 FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id))
         SELECT *, 'before' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'after' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""",
-    "name_collisions": "SELECT lower(substr(text, 1, 3)) AS target, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "name_collisions": "SELECT lower(concat_ws('-', upper(lang), n_chars)) AS target, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
     "summary_counts": """SELECT count(*) AS documents, count(DISTINCT source) AS sources, count(*) FILTER (quality IS NULL) AS missing, count(*) FILTER (toxic = 1) AS warnings
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "utf8_count": "SELECT count(*) FILTER (NOT contains(text, chr(65533))) AS n_text FROM documents",
