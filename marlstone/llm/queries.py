@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, neighbours, pieces, pii, quality, repeats, sharding, toolcalls, warc
+from . import jaccard, mixing, neighbours, oracle, pieces, pii, quality, repeats, sharding, toolcalls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op10_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_source_mix, op2_quality_rules, op3_cross_polytope, op4_minimax_shards, op5_repeat_removal, op6_warc_dictionary, op7_sampled_pieces, op8_tool_links, op9_jaccard_join, op10_private_spans)}
 
-ORACLE_SQL = {
+ORACLE_SQL = oracle.ORACLE_SQL | {
     "op8_tool_links": """
 WITH m AS (
   SELECT conv_id, turn, role, text,

@@ -128,12 +128,14 @@ def test_tool_calls(spark):
     assert toolcalls.link_tool_calls(c.limit(0), r.limit(0), SCHEMAS).count() == 0
 
 
-def test_tool_query(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
-    got = queries.QUERIES["op8_tool_links"](spark, SF)
-    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL['op8_tool_links']})").fetchall()
+    for table in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
     assert Counter(map(tuple, got.collect())) == Counter(want)
 
 
