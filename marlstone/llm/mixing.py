@@ -130,7 +130,8 @@ def mix_sources(
     placed = running_sum(sizes.where("size > 0").withColumn("spread", spread).withColumn("part", F.pmod(F.shiftrightunsigned("spread", 32), F.lit(PARTS))), "src", "part", [F.col("spread"), F.col("doc_id"), F.col("size"), F.col("row")], F.col("size"), "start")
     pieces = placed.select("src", "row", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
     slots = schedule(spark, n, [math.floor(t + Fraction(1, 2)) for t in want], block)
-    both = slots.join(pieces, ["src", "block"]).select("slot", "pass", "row", (F.greatest("from_word", "start") - F.col("start")).alias("from_word"), (F.least("to_word", F.col("start") + F.col("size")) - F.col("start")).alias("to_word"))
+    # Spark takes slots for as small as the chunks they come from; they grow with the words, so never broadcast them
+    both = slots.hint("merge").join(pieces, ["src", "block"]).select("slot", "pass", "row", (F.greatest("from_word", "start") - F.col("start")).alias("from_word"), (F.least("to_word", F.col("start") + F.col("size")) - F.col("start")).alias("to_word"))
     return sizes.drop("src"), both.where("from_word < to_word")
 
 
