@@ -183,7 +183,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     all_ = staged(docs.mapInArrow(sample, "h long, c long, key long, pos long, right int"), "anchors")
     twice = all_.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
-    some = staged(all_.join(twice.select("h", (F.col("c0") < F.col("c1")).alias("several")), "h"), "candidates")
+    # staged, so that the join below reads both sides from shuffles and a frequent gram can be split
+    twice = staged(twice.select("h", (F.col("c0") < F.col("c1")).alias("several")), "grams")
+    some = staged(all_.join(twice, "h"), "candidates")
     kinds = some.groupBy("h", "c", "several").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos")).alias("at"))
     kinds = staged(kinds, "contexts")
     wanted = kinds.where("several").groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("at.pos", "h", "c")).alias("at"))
