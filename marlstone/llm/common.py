@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 #: A word is a run of characters other than space, tab, \n, \v, \f and \r.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: Whether Spark removes a query's shuffle files at its end; else they lie on disk until the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,10 +27,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and
-    a lost executor costs no recomputation of what came before."""
+    a lost executor costs no recomputation of what came before. The shuffle files of the write go
+    when it ends, as nothing reads them after."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
