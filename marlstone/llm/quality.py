@@ -21,8 +21,9 @@ VOCABULARY = sorted({w for words in COMMON_WORDS.values() for w in words})
 #: A document is judged by divergence from this many words and code points, where its language has
 #: a reference of this many distinct histograms.
 MIN_WORDS, MIN_CHARS, MIN_REFERENCE = 50, 200, 30
-#: Largest Jensen-Shannon distance (base 2, 0 to 1) to the language's reference.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.27, 0.55
+#: Largest Jensen-Shannon distance (base 2, 0 to 1) to the language's reference. A text without any
+#: function word lies at 0.3 to 0.36 of prose, 998 of 1000 documents labelled good below 0.28.
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.27, 0.28
 
 
 def _count(text: Column, pattern: str) -> Column:

@@ -110,6 +110,24 @@ def test_quality(spark, docs, rows, empty):
     assert {r["doc_id"] for r in judged if not r["kept"] and not r["base_failed"]} == {r[0] for r in junk}
 
 
+def test_quality_function_words(spark):
+    # the same characters and punctuation as the clean documents, but no function words
+    rnd = random.Random(4)
+    plain = ["stone", "river", "under", "winter", "lamp", "or", "at", "field"]
+    clean = [(i, " ".join(rnd.choice(["the", "of", "and", "in", "to"] if rnd.random() < 0.2 else plain) + rnd.choice(["", "", ",", "."]) for _ in range(150)), "en") for i in range(60)]
+    junk = [(100 + i, " ".join(rnd.choice(plain) + rnd.choice(["", "", ",", "."]) for _ in range(150)), "en") for i in range(5)]
+    judged = quality.judge_quality(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string")).collect()
+    assert not any(r["base_failed"] for r in judged) and {r["doc_id"] for r in judged if not r["kept"]} == {r[0] for r in junk}
+    assert all(r["class_distance"] < 0.1 for r in judged)
+
+
+def test_quality_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    judged = quality.judge_quality(spark.read.parquet(f"{sf}/documents.parquet")).where("not base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    kept = {r["quality"]: (r["kept"], r["n"]) for r in judged.groupBy("quality").agg(F.count_if("kept").alias("kept"), F.count(F.lit(1)).alias("n")).collect()}
+    assert kept[1][0] >= 0.99 * kept[1][1] and kept[0][0] <= 0.25 * kept[0][1]
+
+
 def groups(rows):
     out = defaultdict(int)
     for r in rows:
