@@ -19,12 +19,15 @@ TREES, DEPTH, RATE, BINS, SMOOTH = 30, 3, 0.3, 16, 1.0
 #: Precision asked for on held-out spans, and the least calibrated probability.
 PRECISION, LEAST = 0.99, 0.9
 
-_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_LOCAL = frozenset(_ALNUM + "._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_NUMBER = re.compile(r"(?<![A-Za-z0-9+])\+?\(?[0-9](?:[ ().\-/]{0,2}[0-9])++(?![A-Za-z0-9@])")
+_GROUP = re.compile(r"[0-9]+")
+_BETWEEN = re.compile(r"[ ().\-/]{1,2}")
+_NOT_BEFORE, _NOT_AFTER = frozenset(_ALNUM + "+"), frozenset(_ALNUM + "@")
 _MASKED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]{1,63}+)++")
 
 
@@ -79,17 +82,41 @@ def features(text: str, start: int, end: int) -> list[float]:
     return [len(s), len(d), len(runs), max(map(len, runs), default=0), max((min(9999, int(r[:5])) for r in runs), default=0), len(runs[0]) if runs else 0, len(seps), len(set(seps)), "+" in s, s.count("("), s.count("."), 13 <= len(d) <= 19 and luhn(d), int(d[0]) if d else -1, "@" in s, "[" in s or "(at)" in s, sum(c.isalpha() for c in s) / len(s), len(re.split(r"[.\])]", s)[-1].strip()), right[:1].isspace() or not right, left[-1:].isspace() or not left, left.rstrip().endswith((":", "=")), len(word[1]) if word else 0, not left or left.endswith("\n"), len(_digits(left + right))]
 
 
+def number_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, digits) of each span of whole digit groups, one or two separators apart, of 4 to
+    19 digits: all starts and ends at group boundaries, so that numbers side by side are told apart."""
+    groups = []
+    for m in _GROUP.finditer(text):
+        s = m.start()
+        first = -1
+        for a in (s - 2, s - 1, s):
+            # an opening bracket, a plus or both belong to the number
+            if a >= 0 and text[a:s] in ("+(", "+", "(", "") and not (a and text[a - 1] in _NOT_BEFORE):
+                first = a
+                break
+        linked = bool(groups) and _BETWEEN.fullmatch(text, groups[-1][1], s) is not None
+        groups.append((first, m.end(), m.end() - s, linked, m.end() == len(text) or text[m.end()] not in _NOT_AFTER))
+    out = []
+    for i, (start, *_) in enumerate(groups):
+        n, j = 0, i
+        while start >= 0 and j < len(groups) and (j == i or groups[j][3]) and (n := n + groups[j][2]) <= 19:
+            if n >= 4 and groups[j][4]:
+                out.append((start, groups[j][1], n))
+            j += 1
+    return out
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Overlapping proposals of high recall: (kind, start, end)."""
     out = [("email", *m.span()) for m in _MASKED.finditer(text)] if "@" in text or "at" in text and ("[at]" in text or "(at)" in text) else []
-    for m in _NUMBER.finditer(text):
-        n = len(_digits(m[0]))
-        if m[0].count(".") == 3 and n <= 12 and not re.search("[^0-9.]", m[0]):
-            out.append(("ip", *m.span()))
-        if 12 <= n <= 19:
-            out.append(("card", *m.span()))
+    for start, end, n in number_spans(text):
+        s = text[start:end]
+        if n <= 12 and s.count(".") == 3 and not re.search("[^0-9.]", s):
+            out.append(("ip", start, end))
+        if n >= 12:
+            out.append(("card", start, end))
         if 7 <= n <= 15:
-            out.append(("phone", *m.span()))
+            out.append(("phone", start, end))
     return out
 
 
@@ -200,10 +227,41 @@ def _variants(kind: str, s: str) -> list[tuple[int, str]]:
     return [(1, bare), (1, bare.partition(" ")[2] or bare), (0, _digits(s)), (0, "-".join(re.findall("[0-9]{1,2}", bare))), (0, ".".join(re.findall("[0-9]+", bare)))]
 
 
+#: Numbers that a found one is put next to in training.
+NEIGHBOURS = ("190.137.223.204", "4845168114407329", "(826) 555-4081", "2024", "7", "31 500 12", "5326 0043 7718 2290")
+
+
+def _beside(kind: str, s: str, before: str, after: str):
+    """(label, text, start, end) of the candidates of a kind in a found span with another number on
+    either side, which the base pattern reads as one run; the neighbour itself is left out."""
+    pick = hashlib.md5(s.encode()).digest()
+    for k, right in enumerate((True, False)):
+        other = NEIGHBOURS[pick[k] % len(NEIGHBOURS)]
+        text = before + (f"{s} {other}" if right else f"{other} {s}") + after
+        start = len(before) + (0 if right else len(other) + 1)
+        end = start + len(s)
+        for what, a, b in candidates(text):
+            if what == kind and a < end and b > start:
+                yield int((a, b) == (start, end)), text, a, b
+
+
+def _label(kind: str, text: str, start: int, end: int, base: dict[str, list[tuple[int, int]]]) -> int | None:
+    """1 if the base pattern of the kind finds the span, None if that is unknown: a masked address,
+    which it can't find, or a part of a longer run that it would find alone."""
+    if (start, end) in base[kind]:
+        return 1
+    s = text[start:end]
+    if kind == "email":
+        return None if "[" in s or "(at)" in s else 0
+    if not any(a < end and b > start for a, b in base[kind]) and base_spans(s)[kind] == [(0, len(s))]:
+        return None
+    return 0
+
+
 def _training_rows(batches):
     """Candidates of a document with features and a weak label: the base pattern of that kind finds it.
 
-    Variants of found spans, in their place, are further rows."""
+    Variants of found spans, in their place, and found numbers beside others are further rows."""
     names = ["kind", "label", "held", "x"]
     for batch in batches:
         out: list[list] = [[], [], [], []]
@@ -213,13 +271,15 @@ def _training_rows(batches):
             base = base_spans(text)
             held = hashlib.md5(str(doc).encode()).digest()[0] < 128
             for kind, start, end in candidates(text):
-                x, label = features(text, start, end), (start, end) in base[kind]
-                if kind == "email" and not label and x[FEATURES.index("masked")]:
-                    continue  # unknown: the base pattern can't find a masked address
-                many = [(int(label), x)]
+                label = _label(kind, text, start, end, base)
+                if label is None:
+                    continue
+                many = [(label, features(text, start, end))]
                 if label:
                     before, after = text[max(0, start - 80) : start], text[end : end + 80]
                     many += [(y, features(before + v + after, len(before), len(before) + len(v))) for y, v in _variants(kind, text[start:end])]
+                    if kind != "email":
+                        many += [(y, features(t, a, b)) for y, t, a, b in _beside(kind, text[start:end], before, after)]
                 for y, v in many:
                     for to, value in zip(out, (kind, y, held, [float(f) for f in v]), strict=True):
                         to.append(value)
@@ -252,11 +312,17 @@ def find_spans(text: str, models: dict[str, Trees]) -> tuple[dict, list[tuple[st
     marks = np.zeros(len(text) + 1, dtype=bool) if len(text) else np.zeros(1, dtype=bool)
     for _, a, b in spans:
         marks[a:b] = True
+    by_kind: dict[str, list[tuple[int, int]]] = {}
     for kind, a, b in candidates(text):
-        if not marks[a:b].any() and models[kind].trees:
-            new.append((float(models[kind].probability(np.array([features(text, a, b)], dtype=float))[0]), kind, a, b))
-    for p, kind, a, b in sorted(new, key=lambda s: (-s[0], s[2], s[1])):
-        if p >= models[kind].threshold and not marks[a:b].any():
+        if models[kind].trees and not marks[a:b].any():
+            by_kind.setdefault(kind, []).append((a, b))
+    for kind, at in by_kind.items():
+        for i in range(0, len(at), 4096):
+            p = models[kind].probability(np.array([features(text, a, b) for a, b in at[i : i + 4096]], dtype=float))
+            new += [(float(x), kind, a, b) for x, (a, b) in zip(p, at[i : i + 4096], strict=True) if x >= models[kind].threshold]
+    # of spans of equal probability the longer one, so that no part of a number is left
+    for _, kind, a, b in sorted(new, key=lambda s: (-s[0], s[2] - s[3], s[2], s[1])):
+        if not marks[a:b].any():
             marks[a:b] = True
             spans.append((kind, a, b))
     return base, sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
@@ -276,8 +342,8 @@ def find_private(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mo
     """A row for each document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256 and
     spans (base and added, "kind:start:end" by kind then start, comma-joined, in code points).
 
-    Generators propose spans of high recall; boosted trees on format and context features judge
-    those that overlap no base span, and calibrated thresholds choose. Labels are the base patterns'
+    Generators propose spans of high recall, among them every part of a run of numbers at group
+    boundaries whose digits fit a kind; boosted trees on format and context features judge those that overlap no base span, and calibrated thresholds choose. Labels are the base patterns'
     verdicts on a bounded sample. A null or empty text has no spans; an empty table gives no rows;
     equal rows are judged alike. Other columns are ignored, whatever their names."""
     models = train(docs, text, doc_id) if models is None else models

@@ -266,3 +266,31 @@ def test_private(spark, empty):
     red = {r["doc_id"]: r["text"] for r in pii.redact_documents(docs).collect()}
     assert red[0].startswith("text of [EMAIL] and [PHONE] or [CARD] at [IP]") and red[500] is None and red[503] == made[-2][1]
     assert pii.find_private(empty).count() == 0
+
+
+SIDE_BY_SIDE = [
+    ("7536784127813050 4845168114407329", [("card", "7536784127813050"), ("card", "4845168114407329")]),
+    ("+1 (826) 555-4081 190.137.223.204", [("ip", "190.137.223.204"), ("phone", "+1 (826) 555-4081")]),
+]
+
+
+def test_numbers_side_by_side(spark):
+    rnd = random.Random(6)
+    for run, want in SIDE_BY_SIDE:
+        text = f"pay {run} 2nd time"
+        assert set(want) <= {(k, text[a:b]) for k, a, b in pii.candidates(text)}
+    # linear in the number of groups
+    assert len(pii.candidates("1 2 " * 5000)) < 20 * 2 * 10_000
+
+    def card():
+        d = "4" + "".join(rnd.choice("0123456789") for _ in range(14))
+        return d + next(c for c in "0123456789" if pii.luhn(d + c))
+
+    made = [(i, f"text of +1 ({rnd.randint(200, 999)}) 555-{rnd.randint(1000, 9999)} or {card()} at 10.{rnd.randint(0, 255)}.{i % 250}.7 end") for i in range(300)]
+    made += [(900 + i, f"some text with {run} in it") for i, (run, _) in enumerate(SIDE_BY_SIDE)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_private(docs).collect()}
+    for i, (_, want) in enumerate(SIDE_BY_SIDE):
+        text = made[300 + i][1]
+        spans = [s.split(":") for s in got[900 + i].split(",")]
+        assert [(k, text[int(a) : int(b)]) for k, a, b in spans] == want
