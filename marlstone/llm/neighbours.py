@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +13,9 @@ from pyspark.sql.window import Window
 from .common import staged
 
 TABLES, PROBES, ROTATIONS, SEED = 12, 10, 3, 20240501
+#: PROBES are for this many signed axes; more axes are given more in proportion, and bands of uneven
+#: lengths, whose vectors lie further from a query, this many times as many.
+AXES, STRETCHED = 128, 1.5
 #: Candidates searched at once; larger buckets are searched in blocks.
 BLOCK = 8192
 #: Largest ratio of lengths in a band of vectors for which these need no extra coordinate.
@@ -46,6 +51,10 @@ def _padded(x: np.ndarray, extra: np.ndarray | None) -> np.ndarray:
     return out
 
 
+def probe_count(probes: int, axes: int, uneven: bool) -> int:
+    return min(axes, max(probes, math.ceil(probes * axes / AXES * (STRETCHED if uneven else 1))))
+
+
 def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, added in the order of the coordinates, so that equal vectors have equal scores."""
     out = np.zeros(len(a))
@@ -93,8 +102,8 @@ def nearest_neighbours(
     (powers of two); where lengths in a band differ, a coordinate is added that makes the largest
     inner product the nearest (Neyshabur and Srebro, 2015). Each table hashes a unit vector to the
     nearest signed axis after a pseudo-rotation; a query looks into its `probes` nearest axes in each
-    table and band. The candidates found are reranked exactly, in double precision, in blocks of
-    BLOCK, each block handing on k + 1.
+    table and band, more where there are more axes or uneven lengths (probe_count). The candidates
+    found are reranked exactly, in double precision, in blocks of BLOCK, each block handing on k + 1.
 
     Vectors that are null, zero, of another dimension than most, or hold a null or a number that is
     not finite take no part. Rows equal in id and vector count once. An empty table gives no rows.
@@ -138,9 +147,9 @@ def nearest_neighbours(
             unit = x / pdf["length"].to_numpy()[:, None]
             for band, (_, uneven) in bands.items():
                 y = _padded(unit, np.zeros(len(x)) if uneven else None)
+                many = probe_count(probes, 2 * y.shape[1], uneven)
                 for t in range(tables):
-                    near = np.argsort(-signed_axes(y, t, seed), axis=1, kind="stable")[:, :probes]
-                    many = near.shape[1]
+                    near = np.argsort(-signed_axes(y, t, seed), axis=1, kind="stable")[:, :many]
                     yield pd.DataFrame({"band": band, "tab": t, "axis": near.reshape(-1), "key": pdf["key"].to_numpy().repeat(many), "vec": pdf["vec"].repeat(many).to_numpy()})
 
     index = base.select("band", "key", "low", "length", "vec").mapInPandas(hashed, "band int, tab int, axis long, key long, low long, vec array<double>")

@@ -44,6 +44,18 @@ def test_neighbours_cases(spark):
     assert neighbours.nearest_neighbours(df.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("spread", ["even", "lognormal"])
+def test_neighbours_recall_of_unequal_lengths(spark, spread):
+    rng = np.random.default_rng(1)
+    given = sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect())
+    x = np.array([v for _, v in given], dtype=float)
+    x *= (rng.uniform(0.72, 1.4, len(x)) if spread == "even" else np.exp(rng.normal(0, 0.5, len(x))))[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in neighbours.nearest_neighbours(rows, lambda i: i % 20 == 0).collect()}
+    best = {(q, int(i)) for q in range(0, len(x), 20) for i in np.argsort(-np.where(np.arange(len(x)) == q, -np.inf, x @ x[q]))[:20]}
+    assert len(got & best) / len(best) >= 0.9
+
+
 @pytest.mark.parametrize("least", [0, 3])
 def test_warc(spark, least, tmp_path):
     rows = [(3, "u", "same", 1), (1, "u", "same", 1), (2, None, None, 1), (4, "http://x/ y", "", 1), (5, "x", "b", 1), (None, "n", "null id", 1), (7, "long", "é" * 200_000, 1)]
