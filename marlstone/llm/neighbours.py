@@ -104,6 +104,7 @@ def nearest_neighbours(
     nearest signed axis after a pseudo-rotation; a query looks into its `probes` nearest axes in each
     table and band, more where there are more axes or uneven lengths (probe_count). The candidates
     found are reranked exactly, in double precision, in blocks of BLOCK, each block handing on k + 1.
+    Queries that find fewer than k rows look into all axes of one table, which holds all candidates.
 
     Vectors that are null, zero, of another dimension than most, or hold a null or a number that is
     not finite take no part. Rows equal in id and vector count once. An empty table gives no rows.
@@ -128,45 +129,60 @@ def nearest_neighbours(
     # one row for each power of two that lengths take
     bands = {r["band"]: (r["top"], r["top"] > EVEN * r["least"]) for r in base.groupBy("band").agg(F.max("length").alias("top"), F.min("length").alias("least")).collect()}
 
-    def hashed(batches):
-        for pdf in batches:
-            for band, part in pdf.groupby("band"):
-                top, uneven = bands[band]
-                x = np.stack(part["vec"].to_numpy())
-                n = part["length"].to_numpy()[:, None]
-                y = _padded(x / top, np.sqrt(np.maximum(0, 1 - (n[:, 0] / top) ** 2))) if uneven else _padded(x / n, None)
-                for t in range(tables):
-                    axis = signed_axes(y, t, seed).argmax(axis=1)
-                    yield pd.DataFrame({"band": band, "tab": t, "axis": axis, "key": part["key"].to_numpy(), "low": part["low"].to_numpy(), "vec": part["vec"].to_numpy()})
-
-    def probed(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["vec"].to_numpy())
-            unit = x / pdf["length"].to_numpy()[:, None]
-            for band, (_, uneven) in bands.items():
-                y = _padded(unit, np.zeros(len(x)) if uneven else None)
-                many = probe_count(probes, 2 * y.shape[1], uneven)
-                for t in range(tables):
-                    near = np.argsort(-signed_axes(y, t, seed), axis=1, kind="stable")[:, :many]
-                    yield pd.DataFrame({"band": band, "tab": t, "axis": near.reshape(-1), "key": pdf["key"].to_numpy().repeat(many), "vec": pdf["vec"].repeat(many).to_numpy()})
-
-    index = base.select("band", "key", "low", "length", "vec").mapInPandas(hashed, "band int, tab int, axis long, key long, low long, vec array<double>")
-    sizes = index.groupBy("band", "tab", "axis").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    sizes = staged(sizes, "buckets")
-    index = index.join(sizes, ["band", "tab", "axis"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).drop("blocks")
-    asked = rows.where(query(F.col("id"))).select("id", "key").distinct()
-    asked_vecs = base.join(asked.select("key").distinct(), "key", "left_semi")
-    asks = asked_vecs.select("key", "length", "vec").mapInPandas(probed, "band int, tab int, axis long, key long, vec array<double>")
-    asks = asks.join(sizes, ["band", "tab", "axis"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    def hashed(n_tables):
+        def run(batches):
+            for pdf in batches:
+                for band, part in pdf.groupby("band"):
+                    top, uneven = bands[band]
+                    x = np.stack(part["vec"].to_numpy())
+                    n = part["length"].to_numpy()[:, None]
+                    y = _padded(x / top, np.sqrt(np.maximum(0, 1 - (n[:, 0] / top) ** 2))) if uneven else _padded(x / n, None)
+                    for t in range(n_tables):
+                        axis = signed_axes(y, t, seed).argmax(axis=1)
+                        yield pd.DataFrame({"band": band, "tab": t, "axis": axis, "key": part["key"].to_numpy(), "low": part["low"].to_numpy(), "vec": part["vec"].to_numpy()})
+
+        return run
+
+    def probed(n_tables, every):
+        def run(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = np.stack(pdf["vec"].to_numpy())
+                unit = x / pdf["length"].to_numpy()[:, None]
+                for band, (_, uneven) in bands.items():
+                    y = _padded(unit, np.zeros(len(x)) if uneven else None)
+                    axes = 2 * y.shape[1]
+                    many = axes if every else probe_count(probes, axes, uneven)
+                    for t in range(n_tables):
+                        near = np.argsort(-signed_axes(y, t, seed), axis=1, kind="stable")[:, :many]
+                        yield pd.DataFrame({"band": band, "tab": t, "axis": near.reshape(-1), "key": pdf["key"].to_numpy().repeat(many), "vec": pdf["vec"].repeat(many).to_numpy()})
+
+        return run
+
     group = ["band", "tab", "axis", "block"]
-    near = asks.groupBy(*group).cogroup(index.groupBy(*group)).applyInPandas(lambda q, c: _best(q, c, k + 1), "q long, key long, low long, score double")
-    # the same pair from two tables has the same score
     by_query = Window.partitionBy("q").orderBy(F.desc("score"), "low", "key")
-    near = near.distinct().withColumn("r", F.row_number().over(by_query)).where(F.col("r") <= k + 1)
-    with_ids = near.join(ids, "key").select("q", "score", F.explode("ids").alias("vec_id"))
-    with_ids = with_ids.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
-    out = with_ids.drop("r").join(asked.select(F.col("key").alias("q"), F.col("id").alias("query_id")), "q").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+    def search(asked: DataFrame, n_tables: int, every: bool) -> DataFrame:
+        index = base.select("band", "key", "low", "length", "vec").mapInPandas(hashed(n_tables), "band int, tab int, axis long, key long, low long, vec array<double>")
+        sizes = staged(index.groupBy("band", "tab", "axis").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "buckets")
+        index = index.join(sizes, ["band", "tab", "axis"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).drop("blocks")
+        asked_vecs = base.join(asked.select("key").distinct(), "key", "left_semi")
+        asks = asked_vecs.select("key", "length", "vec").mapInPandas(probed(n_tables, every), "band int, tab int, axis long, key long, vec array<double>")
+        asks = asks.join(sizes, ["band", "tab", "axis"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+        near = asks.groupBy(*group).cogroup(index.groupBy(*group)).applyInPandas(lambda q, c: _best(q, c, k + 1), "q long, key long, low long, score double")
+        # the same pair from two tables has the same score
+        near = near.distinct().withColumn("r", F.row_number().over(by_query)).where(F.col("r") <= k + 1)
+        with_ids = near.join(ids, "key").select("q", "score", F.explode("ids").alias("vec_id"))
+        with_ids = with_ids.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
+        out = with_ids.drop("r").join(asked.select(F.col("key").alias("q"), F.col("id").alias("query_id")), "q").where("vec_id <> query_id")
+        return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+    asked = rows.where(query(F.col("id"))).select("id", "key").distinct()
+    found = staged(search(asked, tables, False), "found")
+    full = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
+    short = staged(asked.join(full, "id", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    return found.join(full, found["query_id"] == full["id"], "left_semi").unionByName(search(short, 1, True))

@@ -56,6 +56,16 @@ def test_neighbours_recall_of_unequal_lengths(spark, spread):
     assert len(got & best) / len(best) >= 0.9
 
 
+@pytest.mark.parametrize("n", [15, 30])
+def test_neighbours_short_lists(spark, n):
+    x = np.random.default_rng(2).normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest_neighbours(rows, lambda i: i % 5 == 0).collect()
+    for q in range(0, n, 5):
+        assert sorted(r["rank"] for r in got if r["query_id"] == q) == list(range(1, min(20, n - 1) + 1))
+
+
 @pytest.mark.parametrize("least", [0, 3])
 def test_warc(spark, least, tmp_path):
     rows = [(3, "u", "same", 1), (1, "u", "same", 1), (2, None, None, 1), (4, "http://x/ y", "", 1), (5, "x", "b", 1), (None, "n", "null id", 1), (7, "long", "é" * 200_000, 1)]
