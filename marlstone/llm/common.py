@@ -1,9 +1,13 @@
-"""Shared pieces of the corpus operators: staged tables, distributed running sums, components."""
+"""Shared pieces of the corpus operators: staged tables, skew-safe joins, distributed running sums, components."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,36 +18,119 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: Whether Spark removes a query's shuffle files at its end; else they lie on disk until the driver collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A key is hot if it holds more than one of so many rows; so there are fewer hot keys than this in any table.
+SHARES = 1000
+
+_lock = threading.Lock()
+_writing = {"n": 0, "before": "false"}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a folder of our own
+    on a local master, whose executors are the driver; an error on any other."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="marlstone-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="marlstone-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        folder = f"file://{path}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and
-    a lost executor costs no recomputation of what came before. The shuffle files of the write go
-    when it ends, as nothing reads them after."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+@contextmanager
+def _cleaning(spark: SparkSession):
+    """Spark's own removal of shuffle files is on while any thread is inside; as it was once all are out."""
+    with _lock:
+        if not _writing["n"]:
+            _writing["before"] = spark.conf.get(CLEANUP)
+            spark.conf.set(CLEANUP, "true")
+        _writing["n"] += 1
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        with _lock:
+            _writing["n"] -= 1
+            if not _writing["n"]:
+                spark.conf.set(CLEANUP, _writing["before"])
+
+
+class Tables:
+    """An operator's intermediate tables, Parquet in a folder of its own in the shared folder.
+
+    save() writes one and reads it back: lineage ends there, and a lost executor costs no
+    recomputation of what came before. drop() removes tables that nothing reads any more; keep()
+    saves a result and drops all others. What is left goes when the application ends."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.folder, self.live, self.n = spark, f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}", {}, 0
+        where = self._path(self.folder)
+        self.files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.files.mkdirs(where)
+        self.files.deleteOnExit(where)
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n:03d}-{name}"
+        with _cleaning(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.live[id(out)] = (out, path)
+        return out
+
+    def write(self, writer, form: str, path: str) -> None:
+        """Write files of our own form."""
+        with _cleaning(self.spark):
+            writer.format(form).save(path)
+
+    def drop_all(self) -> None:
+        self.live.clear()
+        self.files.delete(self._path(self.folder), True)
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            self.files.delete(self._path(self.live.pop(id(df))[1]), True)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        old = [t for t, _ in self.live.values()]
+        out = self.save(df, name)
+        self.drop(*old)
+        return out
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def hot_keys(rows: DataFrame, key: str | list[str]) -> list:
+    """Keys that hold more than 1 / SHARES of the rows: fewer than SHARES, as rows of their columns."""
+    keys = [key] if isinstance(key, str) else key
+    known = rows.dropna(subset=keys)
+    total = rows.count()
+    return known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * SHARES > total).select(*keys).collect() if total else []
+
+
+def skew_join(rows: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner", hot: list | None = None, grows: bool = False) -> DataFrame:
+    """rows joined with small, which has each key at most once.
+
+    Hot keys of rows, fewer than SHARES whatever the data, meet their rows of small by broadcast,
+    so that no task gets all rows of one; the others by shuffle. grows: small grows with the
+    input, so Spark must not broadcast it either while it is small."""
+    keys = [key] if isinstance(key, str) else key
+    hot = hot_keys(rows, keys) if hot is None else hot
+    other = small.hint("merge") if grows else small
+    if not hot:
+        return rows.join(other, keys, how)
+    some = F.broadcast(rows.sparkSession.createDataFrame([tuple(r) for r in hot], rows.select(*keys).schema))
+    of_hot = F.broadcast(small.join(some, keys, "left_semi"))
+    rest = rows.join(some, keys, "left_anti").join(small.join(some, keys, "left_anti").hint("merge") if grows else small.join(some, keys, "left_anti"), keys, how)
+    return rows.join(some, keys, "left_semi").join(of_hot, keys, how).unionByName(rest)
+
+
 def running_sum(df: DataFrame, key: str, part: str, order: list[Column], value: Column, out: str) -> DataFrame:
     """Exclusive running sum of value within key, in the order (part, *order).
 
@@ -61,26 +148,25 @@ def running_sum(df: DataFrame, key: str, part: str, order: list[Column], value:
     return rows.join(start, [key, part]).withColumn(out, F.col("_start") + F.col("_inner")).drop("_value", "_inner", "_start")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Smallest reachable id of every node of edges (a, b), as (node, component).
+def components(edges: DataFrame, tables: Tables, a: str = "a", b: str = "b") -> DataFrame:
+    """Smallest reachable id of every node of edges (a, b), as a table (node, component).
 
     Alternating large-star and small-star steps (Kiveris et al., 2014), each a grouped minimum with
-    partial aggregation, so that a node with very many links costs no more than its rows. Each
-    round is staged in the shared folder; the edges shrink to stars."""
-    e = staged(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
-    )
-    while True:
+    partial aggregation, met by its rows in a skew-safe join, so that a node with very many links
+    costs no more than its rows. Each round is a table of its own; the edges shrink to stars."""
+    e = tables.save(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    while not e.isEmpty():
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = staged(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        large = skew_join(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = tables.save(large, "large")
+        small = skew_join(large, large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(small.select("u", "m"))
-        new = staged(small.where("u <> v").distinct(), "small")
-        if new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty():
-            break
+        new = tables.save(small.where("u <> v").distinct(), "small")
+        same = new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty()
+        tables.drop(large, e)
         e = new
+        if same:
+            break
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

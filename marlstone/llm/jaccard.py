@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import math
+import re
 from bisect import bisect_left
 from itertools import groupby
 
@@ -12,19 +14,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, staged
+from .common import SHARES, Tables, components, skew_join
 from .hashing import byte_column, mix, pieces, prefix_sums, range_hashes
 
 #: Words in a shingle, and the similarity from which documents link, in hundredths.
 WORDS, PERCENT = 5, 80
-#: Shingles in HEAVY_ROWS or more of the documents of one Arrow batch, and of HEAVY_TOTAL over all,
-#: come last in the global order; at most MAX_HEAVY are named. Any such list gives the same links.
-HEAVY_ROWS, HEAVY_TOTAL, MAX_HEAVY = 8, 64, 100_000
-#: Lists of more than LONG_LIST documents are skipped and probed where the overlap asked for allows.
+#: Shingles in the longer prefixes of COMMON documents or more come later in the global order, by the
+#: power of two of their number. Numbers are kept for 2 ** LEVEL_BITS classes of shingles, the largest
+#: of each, so that the table has this many bytes whatever the input; any such order gives the same links.
+COMMON, LEVEL_BITS = 64, 22
+#: Lists of more than LONG_LIST sets are skipped and probed where the overlap asked for allows.
 LONG_LIST = 64
-#: Candidates searched in one index.
-BLOCK = 512
+#: Sets searched in one index: at most BLOCK, and of about BLOCK_TOKENS shingles in all.
+BLOCK, BLOCK_TOKENS = 512, 1 << 20
 SKIP_WEIGHT = 0.01
+#: Members of a long list that meet in one task are dealt into parts of about so many.
+LIST_PART = 1024
+#: Bytes of one text that are hashed at once; longer texts are cut between words.
+SLICE = 2 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each row, A-Z lower-cased, and the number of words before each row."""
+    low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    bound = np.zeros(len(data) + 1, dtype=bool)
+    bound[offsets] = True
+    starts = np.flatnonzero(inside & (bound[:-1] | ~np.concatenate(([False], inside[:-1]))))
+    ends = np.flatnonzero(inside & (bound[1:] | ~np.concatenate((inside[1:], [False])))) + 1
+    return range_hashes(prefix_sums(low), starts, ends), np.searchsorted(starts, offsets)
+
+
+def _long_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of the words of one text, SLICE bytes at a time, each slice ending at white space."""
+    raw, at, out = data.tobytes(), 0, []
+    while at < len(raw):
+        space = _SPACE.search(raw, at + SLICE)
+        end = space.end() if space else len(raw)
+        out.append(_word_hashes(data[at:end], np.array([0, end - at]))[0])
+        at = end
+    return np.concatenate(out)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -34,14 +64,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> l
     n_rows = len(offsets) - 1
     if not len(data):
         return [np.zeros(0, dtype=np.uint64)] * n_rows
-    low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    bound = np.zeros(len(data) + 1, dtype=bool)
-    bound[offsets] = True
-    starts = np.flatnonzero(inside & (bound[:-1] | ~np.concatenate(([False], inside[:-1]))))
-    ends = np.flatnonzero(inside & (bound[1:] | ~np.concatenate((inside[1:], [False])))) + 1
-    h = range_hashes(prefix_sums(low), starts, ends)
-    first = np.searchsorted(starts, offsets)  # of each row, its first word
+    if n_rows == 1 and len(data) > SLICE:
+        h = _long_hashes(data)
+        first = np.array([0, len(h)])
+    else:
+        h, first = _word_hashes(data, offsets)
     scale = mix(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
     whole = np.zeros(max(0, len(h) - words + 1), dtype=np.uint64)
     for k in range(words):
@@ -59,8 +86,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> l
     return out
 
 
-def _signature(tokens: np.ndarray) -> int:
-    return int(mix(mix(tokens).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(tokens))).view(np.int64)[0])
+def _signature(tokens: np.ndarray, seed: int = 0) -> int:
+    salt = mix(np.array([seed + 1], dtype=np.uint64))
+    return int(mix(mix(tokens ^ salt).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(tokens))).view(np.int64)[0])
 
 
 def need(a: Column, b: Column, percent: int) -> Column:
@@ -105,69 +133,83 @@ def _in_pieces(batches, text: str, work):
             yield from work(batch.slice(i, j - i), shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i]))
 
 
-def heavy_shingles(docs: DataFrame, text: str) -> np.ndarray:
-    """Shingles of many documents, counted where they are read; at most MAX_HEAVY reach the driver."""
+def _prefix_length(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1 if n else 0
 
-    def count(batches):
-        for batch in batches:
-            kept = []
-            for part in _in_pieces([batch], "t", lambda _, sets: [np.concatenate(sets)] if sets else []):
-                kept.append(part)
-                if sum(map(len, kept)) > 4_000_000:
-                    yield from tally(kept)
-                    kept = []
-            yield from tally(kept)
 
-    def tally(kept):
-        t, n = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        many = n >= HEAVY_ROWS
-        yield pa.RecordBatch.from_arrays([pa.array(t[many].view(np.int64)), pa.array(n[many])], ["tok", "n"])
+def common_levels(docs: DataFrame, text: str, percent: int) -> np.ndarray:
+    """For each class of shingles the power of two of the most documents that hold one of them among
+    their first shingles by hash, half as many again as the prefix; 0 below COMMON documents.
 
-    found = docs.select(F.col(text).alias("t")).mapInArrow(count, "tok long, n long")
-    found = found.groupBy("tok").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_TOTAL).orderBy(F.desc("n"), "tok").limit(MAX_HEAVY)
-    return np.sort(np.array([r["tok"] for r in found.collect()], dtype=np.int64).view(np.uint64))
+    Counted over all documents; only the largest number of each class reaches the driver."""
+
+    def first(_, sets):
+        some = [t[: (m := _prefix_length(len(t), percent)) + m // 2 + 1] for t in sets if len(t)]
+        t, n = np.unique(np.concatenate(some), return_counts=True) if some else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n)], ["tok", "n"])
+
+    found = docs.select(F.col(text).alias("t")).mapInArrow(lambda it: _in_pieces(it, "t", first), "tok long, n long")
+    found = found.groupBy("tok").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    got = found.groupBy(F.col("tok").bitwiseAND(F.lit((1 << LEVEL_BITS) - 1)).cast("int").alias("class")).agg(F.floor(F.log2(F.max("n"))).cast("byte").alias("level")).toArrow()
+    out = np.zeros(1 << LEVEL_BITS, dtype=np.uint8)
+    out[got.column("class").to_numpy()] = got.column("level").to_numpy()
+    return out
 
 
-def shingle_rows(docs: DataFrame, text: str, doc_id: str, heavy: np.ndarray, percent: int) -> DataFrame:
-    """doc_id, n (shingles), sig (a hash of the set) and prefix: the set's first shingles in the
-    global order (others before heavy ones, then by hash), so many that linked sets share one."""
+def shingle_rows(docs: DataFrame, text: str, doc_id: str, levels: np.ndarray, percent: int, seed: int = 0) -> DataFrame:
+    """key (of the row), doc_id, n (shingles), sig and check (two hashes of the set) and prefix: the
+    set's first shingles in the global order (by level, then by hash), so many that linked sets share one."""
+    mask = np.uint64((1 << LEVEL_BITS) - 1)
 
     def rows(batch, sets):
         prefix = []
         for t in sets:
-            if len(heavy):
-                k = np.searchsorted(heavy, t)
-                is_heavy = heavy[np.minimum(k, len(heavy) - 1)] == t
-                t = np.concatenate((t[~is_heavy], t[is_heavy]))
-            prefix.append(t[: len(t) - -(-percent * len(t) // 100) + 1].view(np.int64) if len(t) else t.view(np.int64))
+            m = _prefix_length(len(t), percent)
+            level = levels[(t & mask).astype(np.int64)]
+            prefix.append((t[np.argsort(level, kind="stable")] if level.any() else t)[:m].view(np.int64))
         at = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
         flat = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in sets], pa.int64()), pa.array([_signature(t) for t in sets], pa.int64()), flat], ["doc_id", "n", "sig", "prefix"])
+        marks = [pa.array([_signature(t, 2 * seed + k) for t in sets], pa.int64()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array([len(t) for t in sets], pa.int64()), *marks, flat], ["key", "doc_id", "n", "sig", "check", "prefix"])
 
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    return src.mapInArrow(lambda it: _in_pieces(it, "t", rows), "doc_id long, n long, sig long, prefix array<long>")
+    src = _keyed(docs, text, doc_id).withColumnRenamed("rep", "key")
+    return src.mapInArrow(lambda it: _in_pieces(it, "t", rows), "key long, doc_id long, n long, sig long, check long, prefix array<long>")
 
 
-def _sets_of(docs: DataFrame, reps: DataFrame, nodes: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(sig, tokens) of the given sets, read again from one document of each."""
-    wanted = nodes.join(reps, "sig").select("rep", "sig")
-    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("t")).join(wanted, "rep")
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    i, t = F.col(doc_id).cast("long"), F.col(text)
+    return docs.select(F.xxhash64(i, t).alias("rep"), i.alias("doc_id"), t.alias("t"))
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, text: str, doc_id: str, tables: Tables, seed: int) -> DataFrame:
+    """(sig, tokens) of the given sets, read again from one row of each, found by its key."""
+    wanted = nodes.join(classes, "sig").select("rep", "sig")
+    texts = _keyed(docs, text, doc_id).select("rep", "t").join(wanted, "rep")
 
     def rows(batch, sets):
-        own = np.array([_signature(t) for t in sets], dtype=np.int64)
-        keep = np.flatnonzero(own == batch.column("sig").to_numpy())  # other rows may bear the same id
+        own = np.array([_signature(t, 2 * seed) for t in sets], dtype=np.int64)
+        keep = np.flatnonzero(own == batch.column("sig").to_numpy())  # other rows may bear the same key
         at = np.cumsum([0, *(len(sets[k]) for k in keep)]).astype(np.int32)
         flat = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([sets[k] for k in keep]).view(np.int64) if len(keep) else np.zeros(0, np.int64)))
         yield pa.RecordBatch.from_arrays([pa.array(own[keep]), flat], ["sig", "tokens"])
 
     got = texts.select("sig", "t").mapInArrow(lambda it: _in_pieces(it, "t", rows), "sig long, tokens array<long>")
-    return staged(got, "sets").dropDuplicates(["sig"])
+    return tables.save(got.dropDuplicates(["sig"]), "sets")
+
+
+def _dealt(sig: str, crowd: Column) -> Column:
+    """The part that a member of a crowd is dealt to by its hash, so that parts hold about BLOCK sets
+    and BLOCK_TOKENS shingles, n_ being the size of one set: a struct of the number of parts, a power of four, and the part."""
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.expr(f"{BLOCK_TOKENS} div greatest(1, n_)")))
+    parts = F.pow(F.lit(4), F.ceil(F.log(F.greatest(F.lit(1.0), crowd / room)) / math.log(4))).cast("long")
+    return F.struct(parts.alias("parts"), F.pmod(F.xxhash64(sig), parts).alias("part"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets link, found by divide_skip of a in an index of its partners."""
-    size = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
-    dealt = pairs.join(size, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.expr(f"1 + k div {BLOCK}")))
+    """Those pairs (a, b) whose sets link, found by divide_skip of a in indexes of its partners.
+
+    pairs also hold a_n, the size of a, and crowd, at least the number of a's partners."""
+    dealt = pairs.withColumn("n_", F.col("a_n")).withColumn("block", _dealt("b", F.col("crowd")))
     index = dealt.join(sets.select(F.col("sig").alias("b"), "tokens"), "b").groupBy("a", "block").agg(F.collect_list(F.struct("b", "tokens")).alias("others"))
     both = index.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("own")), "a").select("a", "own", "others")
 
@@ -192,11 +234,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _crowds(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join what links within blocks of the members of long lists.
 
-    Each member goes to its longest list, lists are dealt into blocks of about BLOCK; in a block a
-    walk over links searches from each member reached among those not reached yet."""
-    longest = lists.groupBy("sig").agg(F.max(F.struct("length", "tok")).alias("m")).select("sig", "m.tok")
-    size = longest.groupBy("tok").agg(F.count(F.lit(1)).alias("k"))
-    dealt = longest.join(size, "tok").withColumn("block", F.pmod(F.xxhash64("sig"), F.expr(f"1 + k div {BLOCK}")))
+    Each member goes to its longest list, lists are dealt into blocks; in a block a walk over links
+    searches from each member reached among those not reached yet."""
+    longest = lists.groupBy("sig").agg(F.max(F.struct("length", "tok", "n")).alias("m")).select("sig", "m.tok", "m.length", F.col("m.n").alias("n_"))
+    dealt = longest.withColumn("block", _dealt("sig", F.col("length"))).select("sig", "tok", "block")
     members = dealt.join(sets, "sig").groupBy("tok", "block").agg(F.collect_list(F.struct("sig", "tokens")).alias("members"))
 
     def walk(batches):
@@ -233,11 +274,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     """A row for each document: doc_id, n_shingles, component_id.
 
     Two documents link if 100 * |A & B| >= percent * |A | B| for their sets of five-word shingles;
-    component_id is the smallest doc_id that links reach. Shingles are told apart by 64-bit hashes,
-    sets by a 64-bit hash of these.
+    component_id is the smallest doc_id that links reach. Shingles are told apart by 64-bit hashes;
+    sets by a 64-bit hash, drawn anew if a second one shows that it holds two sets for one.
 
-    1. Equal sets are one class. Each class puts its prefix in an inverted index; prefixes of
-       linked sets share at least T - ceil(percent * n) + 1 shingles, T the overlap asked for.
+    1. Shingles get a global order, those of many documents last (common_levels). Equal sets are one
+       class. Each class puts its prefix in an inverted index; prefixes of linked sets share at
+       least T - ceil(percent * n) + 1 shingles, T the overlap asked for.
     2. In each list the smallest class leads. Pairs of a leader and a member with enough lists in
        common are searched (T-occurrence with DivideSkip, on whole sets) and linked.
     3. Members of long lists that still hold several components are walked over in blocks, which
@@ -247,64 +289,89 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
        itself brings pairs together only where the short ones could miss them. They are searched too.
 
     Every link between different sets either is found in steps 2 to 4 or lies inside a component that
-    is already joined. A null or empty text has no shingles and its own doc_id as component. Equal
-    rows are in one component; rows that share a doc_id are separate documents. An empty table gives
-    no rows. Other columns are ignored, whatever their names."""
-    rows = staged(shingle_rows(docs, text, doc_id, heavy_shingles(docs, text), percent), "prefixes")
-    some = rows.where("n > 0")
-    reps = staged(some.groupBy("sig").agg(F.min("doc_id").alias("rep")), "classes")
-    entries = some.dropDuplicates(["sig"]).select(F.explode("prefix").alias("tok"), "sig", "n")
-    by_sig = Window.partitionBy("tok").orderBy("sig")
-    led = entries.withColumns({"leader": F.first("sig").over(by_sig), "leader_n": F.first("n").over(by_sig), "after": F.lead("sig").over(by_sig)})
-    led = staged(led.where("sig <> leader or after is not null").drop("after"), "lists")
+    is already joined. A null or empty text has no shingles and its own doc_id as component; a
+    null doc_id links as others do and is never the smallest while there is another. Equal rows are
+    in one component; rows that share a doc_id are separate documents. Very long texts are hashed in
+    slices cut between words, so memory grows with their words only. An empty table gives no rows.
+    Other columns are ignored, whatever their names."""
+    tables = Tables(docs.sparkSession, "jaccard")
+    levels = common_levels(docs, text, percent)
+    for seed in range(8):
+        rows = tables.save(shingle_rows(docs, text, doc_id, levels, percent, seed), "prefixes")
+        classes = rows.where("n > 0").groupBy("sig").agg(F.min("key").alias("rep"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"))
+        classes = tables.save(classes, "classes")
+        if classes.where("c0 <> c1").isEmpty():
+            break
+        tables.drop(rows, classes)
+    else:
+        raise RuntimeError("no hash tells the sets apart")
+
+    entries = rows.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]).select(F.explode("prefix").alias("tok"), "sig", "n")
+    entries = tables.save(entries, "entries")
+    heads = entries.groupBy("tok").agg(F.count(F.lit(1)).alias("length"), F.min(F.struct("sig", "n")).alias("head")).where("length > 1")
+    heads = tables.save(heads.select("tok", "length", F.col("head.sig").alias("leader"), F.col("head.n").alias("leader_n")), "heads")
+    total = entries.count()
+    hot = heads.where(F.col("length") * SHARES > total).select("tok").collect()
+    led = tables.save(skew_join(entries, heads, "tok", hot=hot), "lists")
+    tables.drop(entries, heads)
 
     def sizes_fit(a: str, b: str) -> Column:
-        return (F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b))
+        return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
     def enough(a: str, b: str) -> Column:
         return need(F.col(a), F.col(b), percent) - F.ceil(F.lit(percent) * F.greatest(a, b) / 100.0 - 1e-9).cast("long") + 1
 
-    stars = led.where((F.col("sig") != F.col("leader")) & sizes_fit("n", "leader_n")).groupBy("leader", "leader_n", "sig", "n").agg(F.count(F.lit(1)).alias("c"))
-    stars = staged(stars.where(F.col("c") >= enough("n", "leader_n")).select(F.col("leader").alias("a"), F.col("sig").alias("b")), "stars")
-    nodes = stars.select(F.col("a").alias("sig")).union(stars.select("b")).distinct()
-    first = staged(_verified(stars, _sets_of(docs, reps, nodes, text, doc_id), percent), "links")
-    joined = staged(components(first), "joined")
+    def links(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+        sets = _sets_of(docs, classes, nodes, text, doc_id, tables, seed)
+        out = tables.save(_verified(pairs, sets, percent), "links")
+        tables.drop(sets)
+        return out
+
+    stars = led.where((F.col("sig") != F.col("leader")) & sizes_fit("n", "leader_n")).groupBy("leader", "leader_n", "sig", "n").agg(F.count(F.lit(1)).alias("c"), F.max("length").alias("crowd"))
+    stars = tables.save(stars.where(F.col("c") >= enough("n", "leader_n")).select(F.col("leader").alias("a"), F.col("sig").alias("b"), F.col("leader_n").alias("a_n"), "crowd"), "stars")
+    first = links(stars)
+    tables.drop(stars)
+    joined = tables.save(components(first, tables), "joined")
 
     def open_lists(joined: DataFrame) -> DataFrame:
         lists = led.select("tok", "sig", "n").join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("comp", F.coalesce("component", "sig"))
         several = lists.groupBy("tok").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("length")).where("c0 < c1").select("tok", "length")
-        return staged(lists.join(several, "tok").select("tok", "sig", "n", "comp", "length"), "open")
+        return tables.save(lists.join(several, "tok").select("tok", "sig", "n", "comp", "length"), "open")
 
     lists = open_lists(joined)
     crowded = lists.where(F.col("length") > LONG_LIST)
-    crowd = staged(_crowds(crowded, _sets_of(docs, reps, crowded.select("sig").distinct(), text, doc_id), percent), "crowds")
+    sets = _sets_of(docs, classes, crowded.select("sig").distinct(), text, doc_id, tables, seed)
+    crowd = tables.save(_crowds(crowded, sets, percent), "crowds")
+    tables.drop(sets)
     if not crowd.isEmpty():
-        first = staged(first.union(crowd), "links")
-        joined = staged(components(first), "joined")
+        first = tables.save(first.union(crowd), "links")
+        joined = tables.save(components(first, tables), "joined")
+        tables.drop(lists)
         lists = open_lists(joined)
+    tables.drop(led)
     lists = lists.withColumn("long", F.col("length") > LONG_LIST)
-    n_long = lists.groupBy("sig").agg(F.count_if("long").alias("n_long"))
-    lists = lists.join(n_long, "sig").withColumn("at", F.row_number().over(Window.partitionBy("sig", "long").orderBy("tok")))
-    a, b = lists.alias("a"), lists.alias("b")
-    a = a.select(*[F.col(c).alias(f"a_{c}") for c in lists.columns])
-    b = b.select(*[F.col(c).alias(f"b_{c}") for c in lists.columns])
+    of_sig = lists.groupBy("sig").agg(F.count_if("long").alias("n_long"), F.sum("length").alias("reach"))
+    lists = lists.join(of_sig, "sig").withColumn("at", F.row_number().over(Window.partitionBy("sig", "long").orderBy("tok")))
+    lists = lists.withColumn("parts", F.expr(f"1 + length div {LIST_PART}"))
+    # the members of a long list meet part by part
+    a = lists.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    b = lists.withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")))
+    a, b = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns]), b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
     skipped = F.least("a_n_long", "b_n_long")
     # of so many shared lists, the first stands no later than this among the long ones of either
     early = (F.col("a_at") <= F.col("a_n_long") - enough("a_n", "b_n") + 1) & (F.col("b_at") <= F.col("b_n_long") - enough("a_n", "b_n") + 1)
-    pair = (F.col("a_tok") == F.col("b_tok")) & (F.col("a_sig") < F.col("b_sig")) & (F.col("a_comp") != F.col("b_comp")) & sizes_fit("a_n", "b_n")
+    pair = (F.col("a_tok") == F.col("b_tok")) & (F.col("a_part") == F.col("b_part")) & (F.col("a_sig") < F.col("b_sig")) & (F.col("a_comp") != F.col("b_comp")) & sizes_fit("a_n", "b_n")
     pairs = a.join(b, pair & (~F.col("a_long") | early))
-    pairs = pairs.groupBy("a_sig", "b_sig", "a_n", "b_n", skipped.alias("skipped")).agg(F.count_if(~F.col("a_long")).alias("c"))
-    pairs = pairs.where(F.col("c") + F.col("skipped") >= enough("a_n", "b_n")).select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"))
-    pairs = staged(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    second = _verified(pairs, _sets_of(docs, reps, nodes, text, doc_id), percent)
-    across = staged(second, "across")
-    comp = joined
-    if not across.isEmpty():
-        comp = staged(components(first.union(across)), "components")
-
-    found = rows.select("doc_id", "n", "sig").join(comp.select(F.col("node").alias("sig"), "component"), "sig", "left")
-    found = found.withColumn("class", F.coalesce("component", "sig"))
-    lowest = found.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("low"))
-    own = found.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return found.where("n > 0").join(lowest, "class").select("doc_id", F.col("n").alias("n_shingles"), F.col("low").alias("component_id")).union(own)
+    pairs = pairs.groupBy("a_sig", "b_sig", "a_n", "b_n", "a_reach", skipped.alias("skipped")).agg(F.count_if(~F.col("a_long")).alias("c"))
+    pairs = pairs.where(F.col("c") + F.col("skipped") >= enough("a_n", "b_n")).select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"), "a_n", F.col("a_reach").alias("crowd"))
+    across = links(tables.save(pairs, "pairs"))
+    comp = joined if across.isEmpty() else components(first.union(across), tables)
+
+    class_of = classes.select("sig", "low").join(comp.select(F.col("node").alias("sig"), "component"), "sig", "left")
+    class_of = tables.save(class_of.select("sig", "low", F.coalesce("component", "sig").alias("class")), "members")
+    lowest = skew_join(class_of.drop("low"), class_of.groupBy("class").agg(F.min("low").alias("low")), "class").select("sig", "low")
+    some = rows.where("n > 0").select("doc_id", "n", "sig")
+    found = skew_join(some, tables.save(lowest, "lowest"), "sig").select("doc_id", F.col("n").alias("n_shingles"), F.col("low").alias("component_id"))
+    own = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return tables.keep(found.union(own), "found")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .jaccard import PERCENT, WORDS
-from .quality import COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_REFERENCE, MIN_WORDS, SYMBOLS, VOCABULARY
+from .quality import LANGUAGES, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS, SYMBOLS, WORD_SHARES
+from .toolcalls import MAX_TEXT, MAX_TURN
 
 _GAP = r"[\x20\x09-\x0D]+"
 
@@ -29,14 +30,18 @@ def _distance(p: str, q: str) -> str:
     return f"sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z: {half('z[1]')} + {half('z[2]')})) / 2))"
 
 
+def _of_language(values: dict[str, str]) -> str:
+    every = f"[{', '.join(values.values())}]"
+    return f"CASE lang {' '.join(f"WHEN '{k}' THEN [{v}]" for k, v in values.items())} ELSE {every} END"
+
+
 QUALITY = rf"""
 WITH t AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t FROM documents),
 f AS (
   SELECT k, doc_id, lang, {_words('t')} AS words, length(t) AS n_chars,
          length(regexp_replace(t, '{_GAP}', '', 'g')) AS word_chars, {_matches(f'[{SYMBOLS}]')} AS n_symbols,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
-         {_matches('[A-Z]')} AS upper, {_matches('[0-9]')} AS digit, {_matches(r'[!-/:-@\[-`{-~]')} AS mark, {_matches(r'[^\x00-\x7F]')} AS wide,
-         list_transform({_words('lower(t)')}, lambda x: regexp_extract(x, '^({'|'.join(VOCABULARY)})([.,;:!?].*)?$', 1)) AS common
+         {_matches('[A-Z]')} AS upper, {_matches('[0-9]')} AS digit, {_matches(r'[!-/:-@\[-`{-~]')} AS mark, {_matches(r'[^\x00-\x7F]')} AS wide
   FROM t),
 positions AS (SELECT k, words, unnest(range(1, len(words) - 1)) AS i FROM f),
 windows AS (SELECT k, i, count(*) OVER (PARTITION BY k, words[i], words[i + 1], words[i + 2]) AS n FROM positions),
@@ -45,31 +50,30 @@ g AS (
   SELECT f.k, doc_id, lang, len(words) AS n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
          coalesce(n_repeat_words, 0) AS n_repeat_words, n_chars,
          [word_chars - upper - digit - mark - wide, upper, digit, mark, wide, n_chars - word_chars] AS classes,
-         list_transform([{_quoted(VOCABULARY)}], lambda v: len(list_filter(common, lambda x: x = v))) AS known
+         list_transform(words, lambda x: rtrim(lower(x), '.,;:!?')) AS bare
   FROM f LEFT JOIN repeated ON repeated.k = f.k),
-h AS (
-  SELECT *, list_append(known, greatest(0, n_words - list_sum(known))) AS vocab, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         coalesce(n_words >= {MIN_WORDS} AND n_chars >= {MIN_CHARS} AND lang IN ({_quoted(COMMON_WORDS)}), false) AS usable
-  FROM g),
-seen AS (SELECT lang, {_shares('classes')} AS c, {_shares('vocab')} AS w FROM (SELECT DISTINCT lang, classes, vocab FROM h WHERE usable AND NOT base_failed)),
-ref_c AS (SELECT lang, list(m ORDER BY i) AS c FROM (SELECT lang, i, avg(x) AS m FROM (SELECT lang, unnest(c) AS x, unnest(range(len(c))) AS i FROM seen) GROUP BY lang, i) GROUP BY lang),
-ref_w AS (SELECT lang, list(m ORDER BY i) AS w FROM (SELECT lang, i, avg(x) AS m FROM (SELECT lang, unnest(w) AS x, unnest(range(len(w))) AS i FROM seen) GROUP BY lang, i) GROUP BY lang),
-ref AS (SELECT lang, c, w FROM ref_c JOIN ref_w USING (lang) JOIN (SELECT lang FROM seen GROUP BY lang HAVING count(*) >= {MIN_REFERENCE}) USING (lang)),
-judged AS (
-  SELECT h.*, {_distance(_shares('h.classes'), 'ref.c')} AS class_distance, {_distance(_shares('h.vocab'), 'ref.w')} AS word_distance
-  FROM h LEFT JOIN ref ON h.usable AND ref.lang = h.lang)
+h AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM g),
+u AS (SELECT *, NOT base_failed AND n_words >= {MIN_WORDS} AND n_chars >= {MIN_CHARS} AS usable FROM h),
+w AS (SELECT k, n_words, bare, unnest({_of_language({k: f"[{_quoted(v[0])}]" for k, v in LANGUAGES.items()})}) AS list FROM u WHERE usable),
+c AS (SELECT k, list_transform(list, lambda v: len(list_filter(bare, lambda x: x = v))) AS known, n_words FROM w),
+word AS (SELECT k, min({_distance(_shares('counts'), str(WORD_SHARES))}) AS d FROM (SELECT k, list_append(known, greatest(0, n_words - list_sum(known))) AS counts FROM c) GROUP BY k),
+r AS (SELECT k, classes, unnest({_of_language({k: str(v[1]) for k, v in LANGUAGES.items()})}) AS ref FROM u WHERE usable),
+class AS (SELECT k, min({_distance(_shares('classes'), 'ref')}) AS d FROM r GROUP BY k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce(class_distance > {MAX_CLASS_DISTANCE} OR word_distance > {MAX_WORD_DISTANCE}, false) AS kept
-FROM judged"""
+       NOT base_failed AND NOT coalesce(class.d > {MAX_CLASS_DISTANCE} OR word.d > {MAX_WORD_DISTANCE}, false) AS kept
+FROM u LEFT JOIN word ON word.k = u.k LEFT JOIN class ON class.k = u.k"""
 
 #: Five hex digits are four base32 characters.
 RECORDS = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
-d AS (SELECT page_id, strlen(body) AS n, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+d AS (
+  SELECT page_id, strlen(body) AS n, sha1(body) AS hex, row_number() OVER (PARTITION BY body ORDER BY page_id NULLS LAST) AS nth,
+         min(page_id) OVER (PARTITION BY body) AS first
+  FROM p)
 SELECT page_id, n AS payload_bytes,
        list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(hex, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
-       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+       CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN nth > 1 THEN first END AS refers_to
 FROM d"""
 
 JACCARD = f"""
@@ -86,4 +90,29 @@ reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id"""
 
-ORACLE_SQL = {"op2_quality_rules": QUALITY, "op6_warc_dictionary": RECORDS, "op9_jaccard_join": JACCARD}
+#: The first call without a result that another follows (knot) and all later ones lie in or behind a cycle.
+TOOL_LINKS = f"""
+WITH m AS (
+  SELECT conv_id, turn, role, text,
+         count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role DESC, text NULLS FIRST ROWS UNBOUNDED PRECEDING) AS k
+  FROM conversations),
+u AS (SELECT conv_id, k, turn, text FROM m WHERE role = 'user'),
+a AS (SELECT conv_id, k, count(*) AS n, min(text) AS content FROM m WHERE role = 'assistant' GROUP BY ALL),
+j AS (
+  SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.k, a.k) AS k, u.turn, u.text, a.n, a.content, u.k IS NOT NULL AS called
+  FROM u FULL JOIN a ON u.conv_id IS NOT DISTINCT FROM a.conv_id AND u.k = a.k),
+w AS (SELECT *, max(k) FILTER (called) OVER (PARTITION BY conv_id) AS last FROM j),
+v AS (SELECT *, min(k) FILTER (called AND n IS NULL AND k < last) OVER (PARTITION BY conv_id) AS knot FROM w),
+l AS (SELECT *, concat(conv_id, ':', k) AS call_id, CASE WHEN called AND (knot IS NULL OR k < knot) THEN k - 1 END AS level FROM v)
+SELECT conv_id, call_id, level,
+       row_number() OVER (PARTITION BY conv_id ORDER BY called DESC, level NULLS LAST, coalesce(turn, 0), call_id) - 1 AS position,
+       CASE WHEN NOT called THEN 'no call' WHEN n > 1 THEN 'repeated' WHEN level IS NULL THEN 'cycle' WHEN n IS NULL THEN 'no result' ELSE 'linked' END AS status,
+       CASE WHEN called THEN concat_ws('; ', CASE WHEN text IS NULL THEN 'text is missing' END, CASE WHEN turn IS NULL THEN 'turn is missing' END,
+                                       CASE WHEN length(text) < 1 THEN 'text is shorter than 1' END, CASE WHEN length(text) > {MAX_TEXT} THEN 'text is longer than {MAX_TEXT}' END,
+                                       CASE WHEN turn < 0 THEN 'turn is below 0' END, CASE WHEN turn > {MAX_TURN} THEN 'turn is above {MAX_TURN}' END) ELSE '' END AS errors,
+       md5(CAST(CASE WHEN called
+             THEN json_object('arguments', json_object('text', text, 'turn', turn), 'id', call_id, 'name', 'reply', 'result', content)
+             ELSE json_object('arguments', json_object(), 'id', call_id, 'name', NULL, 'result', content) END AS VARCHAR)) AS json_md5
+FROM l"""
+
+ORACLE_SQL = {"op2_quality_rules": QUALITY, "op6_warc_dictionary": RECORDS, "op8_tool_links": TOOL_LINKS, "op9_jaccard_join": JACCARD}

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents the trees are fitted on, about; candidates taken from them, at most.
-SAMPLE_DOCS, SAMPLE_SPANS = 20_000, 50_000
+#: The trees are fitted on planted spans: PLANTS texts made from snippets of SNIPPET characters at most,
+#: one of each of SNIPPETS documents at most, those of the smallest hashes.
+SNIPPETS, SNIPPET, PLANTS = 4000, 240, 16_000
 TREES, DEPTH, RATE, BINS, SMOOTH = 30, 3, 0.3, 16, 1.0
 #: Precision asked for on held-out spans, and the least calibrated probability.
 PRECISION, LEAST = 0.99, 0.9
@@ -68,18 +72,21 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     }
 
 
-FEATURES = ("length", "digits", "digit_runs", "longest_run", "largest_number", "first_run", "separators", "kinds_of_separator", "plus", "brackets", "dots", "luhn", "first_digit", "at_sign", "masked", "letter_share", "last_label", "after_space", "before_space", "left_colon", "left_word", "line_start", "digits_near")
+FEATURES = ("length", "digits", "digit_runs", "run_1", "run_2", "run_3", "run_4", "last_run", "longest_run", "first_number", "largest_number", "separators", "kinds_of_separator", "first_separator", "plus", "brackets", "dots", "slashes", "luhn", "issuer", "first_digit", "zeros", "at_sign", "masked", "letter_share", "letters_after_at", "last_label", "spaces", "after_space", "before_space", "left_colon", "left_letter", "cue", "line_start", "digits_near")
+_CUE = re.compile(r"(?i)\b(tel|phone|telefon|call|fax|mobile?|cell|card|visa|pay|mail|e-mail|contact|write|reach)\b")
+_AT = re.compile(r" ?(?:@|\[at\]|\(at\)) ?")
 
 
 def features(text: str, start: int, end: int) -> list[float]:
     """Format of the span and its context, as numbers in the order of FEATURES."""
     s = text[start:end]
     d = _digits(s)
-    runs = re.findall("[0-9]+", s)
+    runs = _GROUP.findall(s)
+    sizes = [len(r) for r in runs]
     seps = re.findall("[^A-Za-z0-9]", s)
     left, right = text[max(0, start - 24) : start], text[end : end + 24]
-    word = re.search(r"(\w+)\W*$", left)
-    return [len(s), len(d), len(runs), max(map(len, runs), default=0), max((min(9999, int(r[:5])) for r in runs), default=0), len(runs[0]) if runs else 0, len(seps), len(set(seps)), "+" in s, s.count("("), s.count("."), 13 <= len(d) <= 19 and luhn(d), int(d[0]) if d else -1, "@" in s, "[" in s or "(at)" in s, sum(c.isalpha() for c in s) / len(s), len(re.split(r"[.\])]", s)[-1].strip()), right[:1].isspace() or not right, left[-1:].isspace() or not left, left.rstrip().endswith((":", "=")), len(word[1]) if word else 0, not left or left.endswith("\n"), len(_digits(left + right))]
+    host = _AT.split(s, maxsplit=1)[-1]
+    return [len(s), len(d), len(runs), *(sizes + [0] * 4)[:4], sizes[-1] if sizes else 0, max(sizes, default=0), min(9999, int(runs[0][:5])) if runs else -1, max((min(9999, int(r[:5])) for r in runs), default=0), len(seps), len(set(seps)), " -./()[@".find(seps[0]) if seps else -2, "+" in s, s.count("("), s.count("."), s.count("/"), 13 <= len(d) <= 19 and luhn(d), d[:1] in "3456" and d != "", int(d[0]) if d else -1, d.startswith("00"), "@" in s, "[" in s or "(at)" in s, sum(c.isalpha() for c in s) / len(s), sum(c.isalpha() for c in host), len(re.split(r"[.\])]", s)[-1].strip()), s.count(" "), right[:1].isspace() or not right, left[-1:].isspace() or not left, left.rstrip().endswith((":", "=")), left[-1:].isalpha(), bool(_CUE.search(left)), not left or left.endswith("\n"), len(_digits(left + right))]
 
 
 def number_spans(text: str) -> list[tuple[int, int, int]]:
@@ -210,122 +217,144 @@ def fit_trees(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Trees:
     return model
 
 
-def _variants(kind: str, s: str) -> list[tuple[int, str]]:
-    """Spans like a found one with their labels: true forms that the base pattern misses, and false
-    ones that look alike."""
-    if kind == "email":
-        name, _, host = s.partition("@")
-        return [(1, f"{name} [at] {host.replace('.', ' [dot] ')}"), (1, f"{name}(at){host}"), (0, f"{name} @ {host[-3:]} . {host[:2]}"), (0, f"{name[-2:]}(at)1.{len(name)}")]
-    if kind == "ip":
-        parts = s.split(".")
-        return [(0, ".".join([*parts[:2], str(256 + len(s)), parts[3]])), (0, ".".join([*parts[:3], "7" * 3]))]
-    if kind == "card":
-        d = _digits(s)
-        groups = [d[i : i + 4] for i in range(0, len(d), 4)]
-        return [(1, ".".join(groups)), (1, "/".join(groups)), (0, d[:-1] + str((int(d[-1]) + 1) % 10)), (0, "-".join(groups)[:-1] + str((int(d[-1]) + 3) % 10))]
-    bare = s.removeprefix("+")
-    return [(1, bare), (1, bare.partition(" ")[2] or bare), (0, _digits(s)), (0, "-".join(re.findall("[0-9]{1,2}", bare))), (0, ".".join(re.findall("[0-9]+", bare)))]
-
-
-#: Numbers that a found one is put next to in training.
-NEIGHBOURS = ("190.137.223.204", "4845168114407329", "(826) 555-4081", "2024", "7", "31 500 12", "5326 0043 7718 2290")
-
-
-def _beside(kind: str, s: str, before: str, after: str):
-    """(label, text, start, end) of the candidates of a kind in a found span with another number on
-    either side, which the base pattern reads as one run; the neighbour itself is left out."""
-    pick = hashlib.md5(s.encode()).digest()
-    for k, right in enumerate((True, False)):
-        other = NEIGHBOURS[pick[k] % len(NEIGHBOURS)]
-        text = before + (f"{s} {other}" if right else f"{other} {s}") + after
-        start = len(before) + (0 if right else len(other) + 1)
-        end = start + len(s)
-        for what, a, b in candidates(text):
-            if what == kind and a < end and b > start:
-                yield int((a, b) == (start, end)), text, a, b
-
-
-def _label(kind: str, text: str, start: int, end: int, base: dict[str, list[tuple[int, int]]]) -> int | None:
-    """1 if the base pattern of the kind finds the span, None if that is unknown: a masked address,
-    which it can't find, or a part of a longer run that it would find alone."""
-    if (start, end) in base[kind]:
-        return 1
-    s = text[start:end]
-    if kind == "email":
-        return None if "[" in s or "(at)" in s else 0
-    if not any(a < end and b > start for a, b in base[kind]) and base_spans(s)[kind] == [(0, len(s))]:
-        return None
-    return 0
-
-
-def _training_rows(batches):
-    """Candidates of a document with features and a weak label: the base pattern of that kind finds it.
-
-    Variants of found spans, in their place, and found numbers beside others are further rows."""
-    names = ["kind", "label", "held", "x"]
-    for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if not text:
-                continue
-            base = base_spans(text)
-            held = hashlib.md5(str(doc).encode()).digest()[0] < 128
-            for kind, start, end in candidates(text):
-                label = _label(kind, text, start, end, base)
-                if label is None:
-                    continue
-                many = [(label, features(text, start, end))]
-                if label:
-                    before, after = text[max(0, start - 80) : start], text[end : end + 80]
-                    many += [(y, features(before + v + after, len(before), len(before) + len(v))) for y, v in _variants(kind, text[start:end])]
-                    if kind != "email":
-                        many += [(y, features(t, a, b)) for y, t, a, b in _beside(kind, text[start:end], before, after)]
-                for y, v in many:
-                    for to, value in zip(out, (kind, y, held, [float(f) for f in v]), strict=True):
-                        to.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.list_(pa.float64()))], names)
+def _card(rnd: random.Random) -> str:
+    head = rnd.choice(["4", "51", "53", "55", "37", "6011"])
+    n = 15 if head == "37" else 16
+    d = head + "".join(rnd.choice("0123456789") for _ in range(n - len(head) - 1))
+    return d + next(c for c in "0123456789" if luhn(d + c))
 
 
-def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> dict[str, Trees]:
-    """Trees for each kind, fitted on the candidates of about SAMPLE_DOCS documents, chosen by a hash
-    of doc_id; at most SAMPLE_SPANS candidates reach the driver."""
-    n = docs.count()
-    share = min(1.0, SAMPLE_DOCS / max(1, n))
-    t = F.col(text)
-    some = docs.select(F.col(doc_id).alias("doc_id"), t.alias("text")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    rows = some.where(F.col("text").rlike("[0-9@]")).mapInArrow(_training_rows, "kind string, label int, held boolean, x array<double>")
-    got = rows.limit(SAMPLE_SPANS).toPandas()
-    out = {}
+def _groups(d: str, sizes: list[int], sep: str) -> str:
+    out, at = [], 0
+    for n in sizes:
+        out.append(d[at : at + n])
+        at += n
+    return sep.join(out)
+
+
+def planted_span(rnd: random.Random) -> tuple[str, str, bool]:
+    """(kind, text, whether it is personal data of that kind), made by rules that know the truth and
+    ask no pattern: forms people write, among them those the base patterns miss, and look-alikes."""
+    num = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    name = rnd.choice(["jo", "anna.k", "m_lee", "info", "r.diaz", "user"]) + rnd.choice(["", num(2)])
+    host, top = rnd.choice(["mail", "post", "example", "corp-net", "uni"]) + rnd.choice(["", num(1)]), rnd.choice(["com", "org", "net", "de", "fr", "example"])
+    area, rest, line = f"{rnd.randint(201, 989)}", f"{rnd.randint(200, 999)}", num(4)
+    card = _card(rnd)
+    by_four = [4] * (len(card) // 4) + [len(card) % 4] * (len(card) % 4 > 0)
+    bad = card[:-1] + str((int(card[-1]) + rnd.randint(1, 9)) % 10)
+    day, month, year = f"{rnd.randint(1, 28):02d}", f"{rnd.randint(1, 12):02d}", str(rnd.randint(1900, 2035))
+    ip = ".".join(str(rnd.randint(0, 255)) for _ in range(4))
+    return rnd.choice([
+        ("email", f"{name} [at] {host} [dot] {top}", True), ("email", f"{name}(at){host}.{top}", True), ("email", f"{name} @ {host}.{top}", True), ("email", f"{name}[at]{host}.{top}", True), ("email", f"{name} (at) {host} (dot) {top}", True),
+        ("email", f"{rnd.randint(2, 90)} @ {rnd.randint(1, 9)}.{num(2)}", False), ("email", f"{rnd.choice(['met', 'look', 'sold'])} @ {num(2)}.{num(1)}", False), ("email", f"{name}(at){num(1)}.{num(2)}", False),
+        ("ip", ip, True), ("ip", f"{rnd.randint(256, 999)}.{num(1)}.{rnd.randint(256, 999)}.{num(2)}", False),
+        ("card", card, True), ("card", _groups(card, by_four, "."), True), ("card", _groups(card, by_four, "/"), True), ("card", _groups(card, by_four, "  "), True), ("card", _groups(card, by_four, " "), True),
+        ("card", bad, False), ("card", _groups(bad, by_four, "."), False), ("card", _groups(bad, by_four, " "), False), ("card", f"17{num(11)}", False), ("card", f"{year}{month}{day}{num(6)}", False),
+        ("phone", f"({area}) {rest}-{line}", True), ("phone", f"{area}-{rest}-{line}", True), ("phone", f"{area}.{rest}.{line}", True), ("phone", f"{area} {rest} {line}", True), ("phone", f"00{rnd.randint(30, 49)} {area} {num(7)}", True), ("phone", f"1-{area}-{rest}-{line}", True), ("phone", f"+1 ({area}) {rest}-{line}", True),
+        ("phone", f"{year}-{month}-{day}", False), ("phone", f"{day}.{month}.{year}", False), ("phone", f"{day}/{month}/{year}", False), ("phone", f"{year}-{int(year) + rnd.randint(1, 9)}", False), ("phone", f"978-3-{num(2)}-{num(6)}-{num(1)}", False), ("phone", f"{num(1)}.{num(8)}", False), ("phone", f"{rnd.randint(1, 999)} {num(3)} {num(3)}", False), ("phone", num(rnd.randint(7, 12)), False), ("phone", f"{num(2)}-{num(2)}-{num(2)}-{num(2)}", False), ("phone", f"{num(5)}-{num(4)}", False), ("phone", f"{year} {num(4)}", False),
+    ])
+
+
+def planted_text(snippet: str, rnd: random.Random) -> tuple[str, list[tuple[str, int, int]], list[tuple[int, int]]]:
+    """(text, true spans, all planted places): a snippet with one or two spans between its words; half of
+    pairs stand side by side."""
+    words = snippet.split(" ")
+    cuts = sorted(rnd.randrange(len(words) + 1) for _ in range(rnd.choice((1, 1, 2))))
+    if len(cuts) == 2 and rnd.random() < 0.5:
+        cuts[1] = cuts[0]
+    out, truth, places, at = "", [], [], 0
+    for cut in cuts:
+        before = " ".join(words[at:cut])
+        out += (" " if out and before else "") + before
+        kind, span, good = planted_span(rnd)
+        cue = rnd.choice(["", "", "", "", "", "call ", "tel: ", "card ", "write "])
+        out += (" " if out else "") + cue
+        places.append((len(out), len(out) + len(span)))
+        if good:
+            truth.append((kind, *places[-1]))
+        out += span
+        at = cut
+    tail = " ".join(words[at:])
+    return out + rnd.choice(["", "", ",", "."]) + (" " if tail else "") + tail, truth, places
+
+
+def training_rows(snippets: list[str], plants: int = PLANTS, seed: int = 11) -> list[tuple[str, int, bool, list[float]]]:
+    """(kind, label, held, features) of the candidates that touch planted spans and no base span. A
+    candidate is true if it is a planted true span of its kind, end for end. What stands in the
+    snippet itself is left out, as the truth about it is not known."""
+    out = []
+    for i in range(plants if snippets else 0):
+        rnd = random.Random(f"{seed}:{i}")
+        text, truth, places = planted_text(snippets[i % len(snippets)], rnd)
+        taken = [s for spans in base_spans(text).values() for s in spans]
+        for kind, a, b in candidates(text):
+            if any(a < e and b > s for s, e in places) and not any(a < e and b > s for s, e in taken):
+                out.append((kind, int((kind, a, b) in truth), i % 2 == 1, [float(f) for f in features(text, a, b)]))
+    return out
+
+
+def fit_models(snippets: list[str], plants: int = PLANTS) -> dict[str, Trees]:
+    """Trees for each kind, fitted on planted spans in half of the texts, calibrated on the other half."""
+    rows, out = training_rows(snippets, plants), {}
     for kind in KINDS:
-        part = got[got["kind"] == kind]
-        x = np.stack(part["x"].to_numpy()) if len(part) else np.zeros((0, len(FEATURES)))
-        order = np.lexsort(x.T) if len(x) else []  # the same trees whatever order rows came in
-        out[kind] = fit_trees(x[order], part["label"].to_numpy(dtype=float)[order], part["held"].to_numpy(dtype=bool)[order])
+        part = [r for r in rows if r[0] == kind]
+        x = np.array([r[3] for r in part]) if part else np.zeros((0, len(FEATURES)))
+        out[kind] = fit_trees(x, np.array([r[1] for r in part], dtype=float), np.array([r[2] for r in part], dtype=bool))
     return out
 
 
-def find_spans(text: str, models: dict[str, Trees]) -> tuple[dict, list[tuple[str, int, int]]]:
-    """(base spans by kind, all spans by kind and start); added ones overlap no other span."""
-    base = base_spans(text)
-    spans = [(kind, a, b) for kind in KINDS for a, b in base[kind]]
-    new = []
-    marks = np.zeros(len(text) + 1, dtype=bool) if len(text) else np.zeros(1, dtype=bool)
-    for _, a, b in spans:
-        marks[a:b] = True
-    by_kind: dict[str, list[tuple[int, int]]] = {}
-    for kind, a, b in candidates(text):
-        if models[kind].trees and not marks[a:b].any():
-            by_kind.setdefault(kind, []).append((a, b))
-    for kind, at in by_kind.items():
-        for i in range(0, len(at), 4096):
-            p = models[kind].probability(np.array([features(text, a, b) for a, b in at[i : i + 4096]], dtype=float))
-            new += [(float(x), kind, a, b) for x, (a, b) in zip(p, at[i : i + 4096], strict=True) if x >= models[kind].threshold]
-    # of spans of equal probability the longer one, so that no part of a number is left
-    for _, kind, a, b in sorted(new, key=lambda s: (-s[0], s[2] - s[3], s[2], s[1])):
-        if not marks[a:b].any():
-            marks[a:b] = True
-            spans.append((kind, a, b))
-    return base, sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> dict[str, Trees]:
+    """Trees fitted on spans planted in a bounded sample of the documents' own words (SNIPPETS, SNIPPET,
+    PLANTS). The sample is chosen by a hash, so it does not depend on files or partitions."""
+    t = F.col(text)
+    spread = F.xxhash64(F.col(doc_id), t)
+    some = docs.where(F.length(t) > 0).select(spread.alias("h"), F.substr(t, (F.pmod(spread, F.greatest(F.lit(1), F.length(t) - SNIPPET)) + 1).cast("int"), F.lit(SNIPPET)).alias("s"))
+    return fit_models([r["s"] for r in some.orderBy("h", "s").limit(SNIPPETS).collect()])
+
+
+def find_spans(texts: list[str | None], models: dict[str, Trees]) -> list[tuple[dict, list[tuple[str, int, int]]]]:
+    """(base spans by kind, all spans by kind and start) of each text; added ones overlap no other span.
+
+    The candidates of all texts are judged together, in blocks; each tree runs once for a block."""
+    base = [base_spans(t) if t else {k: [] for k in KINDS} for t in texts]
+    new: list[list] = [[] for _ in texts]
+    held: dict[str, list] = {k: [] for k in KINDS}
+
+    def judge(kind: str) -> None:
+        rows = held[kind]
+        if rows:
+            p = models[kind].probability(np.array([r[3] for r in rows], dtype=float))
+            for x, (i, a, b, _) in zip(p.tolist(), rows, strict=True):
+                if x >= models[kind].threshold:
+                    new[i].append((x, kind, a, b))
+            rows.clear()
+
+    for i, t in enumerate(texts):
+        if not t:
+            continue
+        taken = sorted(s for spans in base[i].values() for s in spans)
+        starts = [a for a, _ in taken]
+        upto = list(accumulate((b for _, b in taken), max))
+        for kind, a, b in candidates(t):
+            k = bisect_left(starts, b) - 1  # the last base span that starts before the candidate ends
+            if models[kind].trees and (k < 0 or upto[k] <= a):
+                held[kind].append((i, a, b, features(t, a, b)))
+                if len(held[kind]) >= 8192:
+                    judge(kind)
+    for kind in KINDS:
+        judge(kind)
+    out = []
+    for i in range(len(texts)):
+        spans = [(kind, a, b) for kind in KINDS for a, b in base[i][kind]]
+        # of spans of equal probability the longer one, so that no part of a number is left
+        picked: list[tuple[int, int]] = []
+        for _, kind, a, b in sorted(new[i], key=lambda s: (-s[0], s[2] - s[3], s[2], s[1])):
+            k = bisect_left(picked, (a, b))
+            if (k == 0 or picked[k - 1][1] <= a) and (k == len(picked) or picked[k][0] >= b):
+                picked.insert(k, (a, b))
+                spans.append((kind, a, b))
+        out.append((base[i], sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
+    return out
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -342,17 +371,20 @@ def find_private(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mo
     """A row for each document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256 and
     spans (base and added, "kind:start:end" by kind then start, comma-joined, in code points).
 
-    Generators propose spans of high recall, among them every part of a run of numbers at group
-    boundaries whose digits fit a kind; boosted trees on format and context features judge those that overlap no base span, and calibrated thresholds choose. Labels are the base patterns'
-    verdicts on a bounded sample. A null or empty text has no spans; an empty table gives no rows;
-    equal rows are judged alike. Other columns are ignored, whatever their names."""
+    Generators propose overlapping spans of high recall, among them every part of a run of numbers at
+    group boundaries whose digits fit a kind; boosted trees on format and context features judge
+    those that overlap no base span, and calibrated thresholds choose. The trees learn from spans
+    planted in snippets of the documents, whose truth is known from their making (train).
+
+    A null or empty text has no spans; a null doc_id stays null; texts of any length are read whole;
+    equal rows are judged alike; ties of probability go to the longer, then the earlier span; an
+    empty table gives no rows. Other columns are ignored, whatever their names."""
     models = train(docs, text, doc_id) if models is None else models
 
     def find(batches):
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for t in batch.column("text").to_pylist():
-                base, spans = find_spans(t, models) if t else ({k: [] for k in KINDS}, [])
+            for base, spans in find_spans(batch.column("text").to_pylist(), models):
                 line = ",".join(f"{k}:{a}:{b}" for k in KINDS for a, b in base[k])
                 row = [*(len(base[k]) for k in KINDS), hashlib.sha256(line.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for k, a, b in spans)]
                 for to, v in zip(out, row, strict=True):
@@ -372,13 +404,17 @@ def _may_hold(text: Column) -> Column:
 
 
 def redact_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", models: dict[str, Trees] | None = None) -> DataFrame:
-    """docs with each span that find_private finds replaced by its kind in brackets, all else as it was."""
+    """docs with each span that find_private finds replaced by its kind in brackets, all else as it was.
+
+    Nulls, empty and long texts, equal rows and empty tables are as in find_private; other columns
+    go through as they are."""
     models = train(docs, text, doc_id) if models is None else models
     at = docs.columns.index(text)
 
     def change(batches):
         for batch in batches:
-            new = [redact(t, find_spans(t, models)[1]) if t else t for t in batch.column(at).to_pylist()]
+            texts = batch.column(at).to_pylist()
+            new = [redact(t, spans) if t else t for t, (_, spans) in zip(texts, find_spans(texts, models), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(new, pa.string()), *batch.columns[at + 1 :]], batch.schema.names)
 
     hit = docs.where(_may_hold(F.col(text))).mapInArrow(change, docs.schema)

@@ -5,25 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, staged
+from .common import GAP
 
 SYMBOLS = "#*$%&|<>"
 
-# Common function words of each language.
-COMMON_WORDS = {
-    "de": ["der", "die", "und", "den", "von", "zu", "das", "mit", "des", "ist", "nicht", "ein"],
-    "en": ["the", "of", "and", "to", "in", "is", "that", "was", "for", "with", "on", "as"],
-    "es": ["que", "el", "en", "y", "los", "del", "se", "las", "por", "con", "la", "no"],
-    "fr": ["le", "et", "les", "des", "un", "une", "est", "pour", "dans", "qui", "de", "ne"],
+# The sixteen commonest words of each language in the order of their frequency, and
+# the usual shares of lower-case and other plain letters, capitals, digits, punctuation, characters
+# outside ASCII and white space in its prose.
+LANGUAGES = {
+    "de": (["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "dem"], [0.770, 0.050, 0.005, 0.025, 0.015, 0.135]),
+    "en": (["the", "of", "and", "to", "a", "in", "is", "that", "it", "for", "was", "on", "with", "as", "by", "be"], [0.780, 0.025, 0.005, 0.025, 0.000, 0.165]),
+    "es": (["de", "la", "que", "el", "en", "y", "los", "se", "las", "del", "un", "por", "con", "no", "una", "su"], [0.765, 0.020, 0.005, 0.025, 0.020, 0.165]),
+    "fr": (["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "pour", "est", "dans", "qui", "par"], [0.745, 0.025, 0.005, 0.030, 0.035, 0.160]),
+    "it": (["di", "e", "la", "il", "che", "in", "a", "un", "per", "del", "non", "una", "con", "della", "i", "le"], [0.780, 0.025, 0.005, 0.025, 0.010, 0.155]),
+    "nl": (["de", "het", "van", "een", "en", "in", "is", "dat", "op", "te", "zijn", "voor", "met", "die", "niet", "aan"], [0.780, 0.025, 0.005, 0.025, 0.001, 0.164]),
+    "pt": (["de", "a", "o", "que", "e", "do", "da", "em", "um", "para", "com", "não", "uma", "os", "no", "se"], [0.750, 0.025, 0.005, 0.025, 0.035, 0.160]),
 }
-VOCABULARY = sorted({w for words in COMMON_WORDS.values() for w in words})
+VOCABULARY = sorted({w for words, _ in LANGUAGES.values() for w in words})
+#: Zipf's law for common words: the share of the word of rank r is FIRST / r ** EXPONENT.
+FIRST, EXPONENT, RANKS = 0.063, 0.87, 16
+WORD_SHARES = [round(FIRST / r**EXPONENT, 6) for r in range(1, RANKS + 1)]
+WORD_SHARES.append(round(1 - sum(WORD_SHARES), 6))
 
-#: A document is judged by divergence from this many words and code points, where its language has
-#: a reference of this many distinct histograms.
-MIN_WORDS, MIN_CHARS, MIN_REFERENCE = 50, 200, 30
-#: Largest Jensen-Shannon distance (base 2, 0 to 1) to the language's reference. A text without any
-#: function word lies at 0.3 to 0.36 of prose, 998 of 1000 documents labelled good below 0.28.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.27, 0.28
+#: A document is judged by divergence from this many words and code points.
+MIN_WORDS, MIN_CHARS = 50, 200
+#: Largest Jensen-Shannon distance (base 2, 0 to 1) to the language's reference.
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.27, 0.30
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -42,12 +49,12 @@ def _repeat_words(words: Column) -> Column:
 
     def covered(marked: Column) -> Column:
         again = F.filter(marked, lambda x, i: (x["h"] == F.get(marked, i - 1)["h"]) | (x["h"] == F.get(marked, i + 1)["h"]))
-        return _once(F.array_sort(F.transform(again, lambda x: x["i"])), lambda at: F.aggregate(F.transform(at, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x))
+        return _once(F.sort_array(F.transform(again, lambda x: x["i"])), lambda at: F.aggregate(F.transform(at, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x))
 
     return _once(
         hashes,
         lambda h: F.when(F.size(h) == F.size(F.array_distinct(h)), F.lit(0)).otherwise(
-            _once(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), covered)
+            _once(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), covered)
         ),
     )
 
@@ -58,37 +65,49 @@ def _once(value: Column, use) -> Column:
 
 
 def text_features(docs: DataFrame, text: str, doc_id: str, lang: str) -> DataFrame:
-    """A row for each document: base statistics and the two histograms as arrays of counts."""
+    """A row for each document: row (all its columns), base statistics, the character classes as an
+    array of counts, and its common words, each between two spaces."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), t.alias("t"), F.filter(F.split(t, GAP), lambda w: w != "").alias("words"), F.lower(t).alias("low"))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), t.alias("t"), F.filter(F.split(t, GAP), lambda w: w != "").alias("words"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    found = F.regexp_extract_all("low", F.lit(rf"(?<![^\x20\x09-\x0D])({'|'.join(VOCABULARY)})(?![^\x20\x09-\x0D.,;:!?])"), F.lit(1))
+    bare = F.transform("words", lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?")))
+    common = F.array_join(F.filter(bare, lambda w: w.isin(*VOCABULARY)), "  ")
+    n_chars, white = F.char_length("t").cast("long"), _count(F.col("t"), r"[\x20\x09-\x0D]")
+    upper, digit, mark, wide = (_count(F.col("t"), p) for p in ("[A-Z]", "[0-9]", r"[!-/:-@\[-`{-~]", r"[^\x00-\x7F]"))
     df = df.select(
+        "row",
         "doc_id",
         "lang",
         F.size("words").cast("long").alias("n_words"),
-        F.char_length(F.regexp_replace("t", GAP, "")).cast("long").alias("word_chars"),
+        (n_chars - white).alias("word_chars"),
         _count(F.col("t"), f"[{SYMBOLS}]").alias("n_symbols"),
         _once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
-        F.char_length("t").cast("long").alias("n_chars"),
-        _count(F.col("t"), "[A-Z]").alias("upper"),
-        _count(F.col("t"), "[0-9]").alias("digit"),
-        _count(F.col("t"), r"[!-/:-@\[-`{-~]").alias("mark"),
-        _count(F.col("t"), r"[^\x00-\x7F]").alias("wide"),
-        F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" ")).alias("common"),
+        n_chars.alias("n_chars"),
+        F.array(upper, digit, mark, wide, white).alias("counts"),
+        F.concat(F.lit(" "), common, F.lit(" ")).alias("common"),
     )
-    white = F.col("n_chars") - F.col("word_chars")
-    plain = F.col("word_chars") - F.col("upper") - F.col("digit") - F.col("mark") - F.col("wide")
-    sizes = [((F.octet_length("common") - F.octet_length(F.replace("common", F.lit(f" {w} "), F.lit("")))) / len(f" {w} ".encode())).cast("long") for w in VOCABULARY]
-    df = df.withColumns({"classes": F.array(plain, "upper", "digit", "mark", "wide", white), "known": F.array(*sizes)})
-    other = F.greatest(F.lit(0), F.col("n_words") - F.aggregate("known", F.lit(0).cast("long"), lambda a, x: a + x))
-    return df.withColumn("vocab", F.concat("known", F.array(other))).drop("upper", "digit", "mark", "wide", "common", "known")
+    plain = F.col("n_chars") - F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    return df.withColumn("classes", F.concat(F.array(plain), "counts")).drop("counts")
 
 
-def _shares(counts: str) -> Column:
-    total = F.greatest(F.lit(1), F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x))
-    return _once(total, lambda n: F.transform(counts, lambda x: x / n))
+def _common_counts(words: Column) -> Column:
+    """How often each of the words is among the common ones, and the number of all other words."""
+    size = lambda w: ((F.octet_length("common") - F.octet_length(F.replace("common", F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)).cast("long")
+    return _once(F.transform(words, size), lambda n: F.concat(n, F.array(F.greatest(F.lit(0), F.col("n_words") - F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x)))))
+
+
+def _of_language(values: dict[str, Column]) -> Column:
+    """An array of the language's own value, or of those of all languages where it is not known."""
+    out = F.array(*values.values())
+    for name, value in values.items():
+        out = F.when(F.col("lang") == name, F.array(value)).otherwise(out)
+    return out
+
+
+def _shares(counts: Column) -> Column:
+    total = lambda n: F.greatest(F.lit(1), F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x))
+    return _once(counts, lambda n: F.transform(n, lambda x: x / total(n)))
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -108,36 +127,34 @@ def judge_quality(
     lang: str = "lang",
     max_class: float = MAX_CLASS_DISTANCE,
     max_word: float = MAX_WORD_DISTANCE,
+    with_row: bool = False,
 ) -> DataFrame:
     """A row for each document: doc_id, lang, the base statistics, class_distance, word_distance,
-    base_failed and kept.
+    base_failed and kept; with_row adds row, the document's own columns.
 
     Words are runs of characters other than ASCII white space. word_chars counts their code points,
     n_symbols the characters #*$%&|<>, n_dup_lines the lines with a word that equal an earlier line,
     n_repeat_words the words in 3-word windows that occur twice or more. base_failed: fewer than 50
     words, or more than half of them repeated.
 
-    The reference of a language is the mean share of each character class and of each common word,
-    over the distinct histograms of all documents of that language that pass the base rules, so that
-    exact copies count once. A document is rejected if its Jensen-Shannon distance to its
-    language's reference exceeds either limit. Guards: documents below MIN_WORDS or MIN_CHARS, of no
-    language, of a language without common words above, or with fewer than MIN_REFERENCE
-    histograms, are judged by the base rules alone.
+    References are fixed and stand apart from the corpus: usual shares of six character classes,
+    and Zipf's law over a language's commonest words in their order. A document is rejected if its
+    Jensen-Shannon distance to its language's reference exceeds either limit; one of a language
+    without a reference, or of none, is held against the nearest of all references. Documents
+    below MIN_WORDS or MIN_CHARS are judged by the base rules alone. A verdict depends on the
+    document's own text and language only, so no rows meet and equal rows have equal verdicts.
 
-    A null text has no words, so it fails the base rules; an empty table gives no rows; equal rows
-    are judged alike, each for itself. Other columns are ignored, whatever their names."""
-    rows = staged(text_features(docs, text, doc_id, lang), "features")
+    A null text has no words, so it fails the base rules, as does an empty one; texts of any length are
+    read whole; an empty table gives no rows. Other columns are ignored, whatever their names."""
+    rows = text_features(docs, text, doc_id, lang)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed)
-    usable = (F.col("n_words") >= MIN_WORDS) & (F.col("n_chars") >= MIN_CHARS) & F.col("lang").isin(*COMMON_WORDS)
-    seen = rows.where(usable & ~F.col("base_failed")).select("lang", "classes", "vocab").distinct().select("lang", _shares("classes").alias("c"), _shares("vocab").alias("w"))
-    mean = seen.groupBy(F.col("lang").alias("l")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(F.get("c", F.lit(i))) for i in range(6)]).alias("ref_c"),
-        F.array(*[F.avg(F.get("w", F.lit(i))) for i in range(len(VOCABULARY) + 1)]).alias("ref_w"),
-    )
-    # at most one row for each language of COMMON_WORDS
-    judged = rows.join(F.broadcast(mean.where(F.col("n") >= MIN_REFERENCE)), usable & (F.col("lang") == F.col("l")), "left")
-    judged = judged.withColumns({"class_distance": _distance(_shares("classes"), F.col("ref_c")), "word_distance": _distance(_shares("vocab"), F.col("ref_w"))})
+    usable = ~failed & (F.col("n_words") >= MIN_WORDS) & (F.col("n_chars") >= MIN_CHARS)
+    lists = _of_language({k: F.array(*map(F.lit, words)) for k, (words, _) in LANGUAGES.items()})
+    classes = _of_language({k: F.array(*map(F.lit, shares)) for k, (_, shares) in LANGUAGES.items()})
+    zipf = F.array(*map(F.lit, WORD_SHARES))
+    class_distance = _once(_shares(F.col("classes")), lambda p: F.array_min(F.transform(classes, lambda q: _distance(p, q))))
+    word_distance = F.array_min(F.transform(lists, lambda words: _distance(_shares(_common_counts(words)), zipf)))
+    rows = rows.withColumns({"base_failed": failed, "class_distance": F.when(usable, class_distance), "word_distance": F.when(usable, word_distance)})
     far = F.coalesce((F.col("class_distance") > max_class) | (F.col("word_distance") > max_word), F.lit(False))
-    return judged.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", (~F.col("base_failed") & ~far).alias("kept"))
+    names = ("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed")
+    return rows.select(*names, (~F.col("base_failed") & ~far).alias("kept"), *(["row"] if with_row else []))

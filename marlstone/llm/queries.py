@@ -44,7 +44,7 @@ def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = toolcalls.conversation_calls(_read(spark, sf_dir, "conversations"))
     linked = toolcalls.link_tool_calls(calls, results, toolcalls.REPLY_SCHEMA)
-    return linked.select("conv_id", "call_id", "position", "status", (F.size("errors") == 0).alias("valid"), F.md5("json").alias("json_md5"))
+    return linked.select("conv_id", "call_id", "level", "position", "status", F.array_join("errors", "; ").alias("errors"), F.md5("json").alias("json_md5"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,23 +57,4 @@ def op10_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_source_mix, op2_quality_rules, op3_cross_polytope, op4_minimax_shards, op5_repeat_removal, op6_warc_dictionary, op7_sampled_pieces, op8_tool_links, op9_jaccard_join, op10_private_spans)}
 
-ORACLE_SQL = oracle.ORACLE_SQL | {
-    "op8_tool_links": """
-WITH m AS (
-  SELECT conv_id, turn, role, text,
-         count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn, role DESC, text ROWS UNBOUNDED PRECEDING) AS k
-  FROM conversations),
-u AS (SELECT conv_id, concat(conv_id, ':', k) AS call_id, turn, text FROM m WHERE role = 'user'),
-a AS (SELECT conv_id, concat(conv_id, ':', k) AS call_id, count(*) AS n, min(text) AS content FROM m WHERE role = 'assistant' GROUP BY ALL),
-j AS (
-  SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.call_id, a.call_id) AS call_id, u.turn, u.text, a.n, a.content, u.call_id IS NOT NULL AS called
-  FROM u FULL JOIN a ON u.conv_id = a.conv_id AND u.call_id = a.call_id)
-SELECT conv_id, call_id,
-       row_number() OVER (PARTITION BY conv_id ORDER BY called DESC, coalesce(turn, 0), call_id) - 1 AS position,
-       CASE WHEN NOT called THEN 'no call' WHEN n > 1 THEN 'repeated' WHEN n IS NULL THEN 'no result' ELSE 'linked' END AS status,
-       (NOT called OR (text IS NOT NULL AND turn >= 0)) AS valid,
-       md5(CAST(CASE WHEN called
-             THEN json_object('arguments', json_object('text', text, 'turn', turn), 'id', call_id, 'name', 'reply', 'result', content)
-             ELSE json_object('arguments', json_object(), 'id', call_id, 'name', NULL, 'result', content) END AS VARCHAR)) AS json_md5
-FROM j""",
-}
+ORACLE_SQL = oracle.ORACLE_SQL

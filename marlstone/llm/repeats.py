@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import SHARES, Tables, skew_join
 from .hashing import byte_column, mix, pieces, prefix_sums, range_hashes
 
 #: Least bytes of a repeat; a window of LENGTH bytes holds SPREAD grams of GRAM bytes.
@@ -17,7 +17,9 @@ LENGTH, SPREAD = 200, 128
 GRAM = LENGTH - SPREAD + 1
 LEFT, RIGHT = LENGTH - GRAM, LENGTH
 #: Contexts sorted together in one task; buckets above it are split by longer cores.
-MOST = 4096
+MOST = 1024
+#: Bytes of one text that are sampled at once, and how far a slice reaches beyond them on either side.
+SLICE, BEYOND = 2 << 20, 2 * (LENGTH + GRAM + SPREAD)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -49,6 +51,21 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return row, chosen - start, left, right, h[chosen].view(np.int64), context.view(np.int64)
 
 
+def sampled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """anchors(), a single long text slice by slice: each slice reaches far enough beyond its own
+    positions to hold every window and context of theirs, so the anchors are the same."""
+    n = len(data)
+    if len(offsets) > 2 or n <= SLICE:
+        return anchors(data, offsets)
+    out = []
+    for own in range(0, n, SLICE):
+        first, last = max(0, own - BEYOND), min(n, own + SLICE + BEYOND)
+        row, pos, *rest = anchors(data[first:last], np.array([0, last - first]))
+        mine = (pos + first >= own) & (pos + first < own + SLICE)
+        out.append((row[mine], pos[mine] + first, *(x[mine] for x in rest)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Length of the common start of each row of a and b, at most most."""
     differ = a != b
@@ -133,7 +150,7 @@ def _scan(batches):
         yield flush(held)
 
 
-def _found(contexts: DataFrame) -> DataFrame:
+def _found(contexts: DataFrame, tables: Tables) -> DataFrame:
     """(h, c, l, r): contexts (h, c, left, right) that lie in repeats with others, how far each way.
 
     Buckets start as equal grams. One with more than MOST contexts is split: a window with o bytes
@@ -151,7 +168,7 @@ def _found(contexts: DataFrame) -> DataFrame:
         got = scanned.union(equal)
         out = got if out is None else out.union(got)
         large = sized.where((F.col("n") > MOST) & (F.col("lo") < F.col("hi")))
-        large = staged(large, "large")
+        large = tables.save(large, "large")
         if large.isEmpty():
             break
         middle = F.expr("(lo + hi) div 2").cast("int")
@@ -160,7 +177,7 @@ def _found(contexts: DataFrame) -> DataFrame:
         # the hull: all bytes of the range's windows; equal hulls repeat every window, and one goes on for all
         whole = (F.octet_length("left") >= F.col("hi")) & (F.octet_length("right") >= F.lit(LENGTH) - F.col("lo"))
         hull = F.xxhash64("h", "lo", "hi", F.expr("right(hex(left), 2 * hi)"), F.expr(f"substring(right, 1, {LENGTH} - lo)"))
-        halves = staged(halves.withColumn("hull", F.when(whole, hull).otherwise(F.xxhash64("h", "c", "lo", "hi"))), "halves")
+        halves = tables.save(halves.withColumn("hull", F.when(whole, hull).otherwise(F.xxhash64("h", "c", "lo", "hi"))), "halves")
         alike = halves.groupBy("hull").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
         told = halves.select("h", "c", "hull").join(alike.where("n > 1").drop("c"), "hull")
         out = out.union(told.select("h", "c", F.col("hi").cast("long"), (F.lit(LENGTH) - F.col("lo")).cast("long")))
@@ -170,7 +187,7 @@ def _found(contexts: DataFrame) -> DataFrame:
     return out.groupBy("h", "c").agg(F.max("l").alias("l"), F.max("r").alias("r"))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, tables: Tables) -> DataFrame:
     """(key, start, end) of bytes in repeats, overlapping, for docs (key, text)."""
 
     def sample(batches):
@@ -178,16 +195,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             key = batch.column("key").to_numpy()
             data, at = byte_column(batch.column("text"))
             for i, j in pieces(at):
-                row, pos, _, right, h, c = anchors(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                row, pos, _, right, h, c = sampled(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(key[i + row]), pa.array(pos), pa.array(right.astype(np.int32))], ["h", "c", "key", "pos", "right"])
 
-    all_ = staged(docs.mapInArrow(sample, "h long, c long, key long, pos long, right int"), "anchors")
+    all_ = tables.save(docs.mapInArrow(sample, "h long, c long, key long, pos long, right int"), "anchors")
     twice = all_.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
-    # staged, so that the join below reads both sides from shuffles and a frequent gram can be split
-    twice = staged(twice.select("h", (F.col("c0") < F.col("c1")).alias("several")), "grams")
-    some = staged(all_.join(twice, "h"), "candidates")
+    twice = tables.save(twice.select("h", "n", (F.col("c0") < F.col("c1")).alias("several")), "grams")
+    hot = twice.where(F.col("n") * SHARES > all_.count()).select("h").collect()
+    some = tables.save(skew_join(all_, twice.drop("n"), "h", hot=hot, grows=True), "candidates")
+    tables.drop(all_, twice)
     kinds = some.groupBy("h", "c", "several").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos")).alias("at"))
-    kinds = staged(kinds, "contexts")
+    kinds = tables.save(kinds, "contexts")
+    hot = kinds.where(F.col("n") * SHARES > some.count()).select("h", "c").collect()
     wanted = kinds.where("several").groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("at.pos", "h", "c")).alias("at"))
 
     def cut(batches):
@@ -203,11 +222,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["h", "c", "left", "right"])
 
     # a key stands for equal rows: one of them will do
-    texts = docs.join(wanted, "key").select("text", "at")
-    contexts = staged(texts.mapInArrow(cut, "h long, c long, left binary, right binary").dropDuplicates(["h", "c"]), "bytes")
+    texts = docs.join(wanted.hint("merge"), "key").select("text", "at")
+    contexts = tables.save(texts.mapInArrow(cut, "h long, c long, left binary, right binary").dropDuplicates(["h", "c"]), "bytes")
     whole = kinds.where("n > 1").select("h", "c", F.lit(LEFT).cast("long").alias("l"), F.lit(RIGHT).cast("long").alias("r"))
-    reach = staged(_found(contexts).union(whole).groupBy("h", "c").agg(F.max("l").alias("l"), F.max("r").alias("r")), "reach")
-    spans = some.join(reach, ["h", "c"]).select("key", F.greatest(F.lit(0), F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.least("right", "r")).alias("end"))
+    reach = tables.save(_found(contexts, tables).union(whole).groupBy("h", "c").agg(F.max("l").alias("l"), F.max("r").alias("r")), "reach")
+    spans = skew_join(some, reach, ["h", "c"], hot=hot, grows=True).select("key", F.greatest(F.lit(0), F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.least("right", "r")).alias("end"))
     return spans.where(F.col("end") - F.col("start") >= LENGTH)
 
 
@@ -219,18 +238,28 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     removed whole where they have LENGTH bytes. For the others: positions are sampled so that each
     window holds one (anchors); equal grams bring occurrences together; equal contexts are a repeat
     at once; different ones are sorted into an enhanced suffix array whose interval tree gives the
-    maximal repeats (repeats). Grams, contexts and rows are told apart by 64-bit hashes, contexts by
-    two of them.
+    maximal repeats (repeats). Grams are told apart by a 64-bit hash, contexts by two; rows by one of
+    doc_id and text, drawn anew if the texts' SHA-256 shows that it holds two rows for one.
 
-    A null text has no bytes; an empty table gives no rows; equal rows remove each other. Other
-    columns are ignored, whatever their names."""
+    A null or empty text has no bytes; texts of any length are sampled slice by slice, with the same
+    result; an empty table gives no rows; equal rows remove each other. Other columns are ignored,
+    whatever their names."""
+    tables = Tables(docs.sparkSession, "repeats")
     raw = F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
-    docs = docs.select(F.col(doc_id).alias("doc_id"), raw.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    rows = staged(docs.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "texts")
+    plain = docs.select(F.col(doc_id).alias("doc_id"), raw.alias("text"))
+    for seed in range(8):
+        docs = plain.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "text"))
+        rows = tables.save(docs.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "texts")
+        if rows.groupBy("key").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("a <> b").isEmpty():
+            break
+        tables.drop(rows)
+    else:
+        raise RuntimeError("no hash tells the rows apart")
     copies = rows.groupBy("sha").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    rows = rows.join(copies, "sha", "left").withColumn("gone", F.col("copies").isNotNull() & (F.col("n_bytes") >= LENGTH))
-    spans = repeated_spans(docs.select("key", "text")).join(rows.where("gone").select("key").distinct(), "key", "left_anti")
-    spans = staged(spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    rows = skew_join(rows, copies, "sha", "left", grows=True).withColumn("gone", F.col("copies").isNotNull() & (F.col("n_bytes") >= LENGTH))
+    rows = tables.save(rows.select("doc_id", "key", "n_bytes", "sha", "gone"), "rows")
+    spans = repeated_spans(docs.select("key", "text"), tables).join(rows.where("gone").select("key").distinct().hint("merge"), "key", "left_anti")
+    spans = tables.save(spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
 
     def strip(batches):
         for batch in batches:
@@ -249,10 +278,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.binary())], ["key", "removed", "runs", "kept_sha", "bytes"])
 
-    stripped = docs.join(spans, "key").mapInArrow(strip, "key long, removed long, runs long, kept_sha string, bytes binary")
+    stripped = docs.join(spans.hint("merge"), "key").mapInArrow(strip, "key long, removed long, runs long, kept_sha string, bytes binary")
     stripped = stripped.dropDuplicates(["key"])
     gone = F.col("gone")
-    out = rows.join(stripped, "key", "left").select(
+    out = rows.join(stripped.hint("merge"), "key", "left").select(
         "doc_id",
         "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
@@ -260,4 +289,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         F.when(gone, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
         *([F.when(gone, F.lit(b"")).otherwise(F.col("bytes")).alias("kept")] if with_text else []),
     )
-    return out
+    return tables.keep(out, "out")

@@ -8,7 +8,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_sum, staged
+from .common import Tables, running_sum
 
 FIRST_DIGITS, MORE_DIGITS, ALL_DIGITS = 3, 2, 64
 
@@ -93,9 +93,11 @@ def shard_documents(
     Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, law "bytes", shard, slot, grown_shard
     (null). slot counts each shard's documents from 0. A null text has no bytes: size 1, CRC 0, and
     is a group of its own. An empty table gives no rows. Rows that are equal in all take different
-    slots. Other columns are ignored, whatever their names."""
+    slots; documents of equal text and id are in no fixed order among them. Texts of any length are hashed
+    whole and never leave their row. Other columns are ignored, whatever their names."""
     raw = F.col(text).cast("binary")
-    rows = staged(
+    tables = Tables(docs.sparkSession, "shards")
+    rows = tables.save(
         docs.select(
             F.col(doc_id).alias("doc_id"),
             (F.coalesce(F.octet_length(raw), F.lit(0)) + 1).cast("long").alias("size"),
@@ -124,9 +126,10 @@ def shard_documents(
         shard = shard + F.when(F.col("sha") >= cut, 1).otherwise(0)
     dealt = rows.withColumn("shard", shard).withColumn("part", F.pmod(F.xxhash64("doc_id", "sha"), F.lit(slot_parts)))
     order = [F.col("sha"), F.col("doc_id")]
-    return running_sum(dealt, "shard", "part", order, F.lit(1), "slot").select(
+    out = running_sum(dealt, "shard", "part", order, F.lit(1), "slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard")
     )
+    return tables.keep(out, "shards")
 
 
 def _sums(df: DataFrame) -> list[tuple[str, int, bool]]:
