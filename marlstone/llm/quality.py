@@ -74,10 +74,8 @@ def text_features(docs: DataFrame, text: str, doc_id: str, lang: str) -> DataFra
     common = F.array_join(F.filter(bare, lambda w: w.isin(*VOCABULARY)), "  ")
     n_chars, white = F.char_length("t").cast("long"), _count(F.col("t"), r"[\x20\x09-\x0D]")
     upper, digit, mark, wide = (_count(F.col("t"), p) for p in ("[A-Z]", "[0-9]", r"[!-/:-@\[-`{-~]", r"[^\x00-\x7F]"))
-    df = df.select(
-        "row",
-        "doc_id",
-        "lang",
+    # a generator, so that no filter on the verdict moves these into itself and computes them over and over
+    features = F.struct(
         F.size("words").cast("long").alias("n_words"),
         (n_chars - white).alias("word_chars"),
         _count(F.col("t"), f"[{SYMBOLS}]").alias("n_symbols"),
@@ -87,6 +85,7 @@ def text_features(docs: DataFrame, text: str, doc_id: str, lang: str) -> DataFra
         F.array(upper, digit, mark, wide, white).alias("counts"),
         F.concat(F.lit(" "), common, F.lit(" ")).alias("common"),
     )
+    df = df.select("row", "doc_id", "lang", F.explode(F.array(features)).alias("f")).select("row", "doc_id", "lang", "f.*")
     plain = F.col("n_chars") - F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
     return df.withColumn("classes", F.concat(F.array(plain), "counts")).drop("counts")
 
