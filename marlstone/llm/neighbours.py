@@ -17,7 +17,7 @@ TABLES, ROTATIONS, SEED = 12, 3, 20240501
 #: Probes are fitted so that this share of the true neighbours of FIT_QUERIES queries is found.
 RECALL, FIT_QUERIES = 0.95, 64
 #: Rows of a sample, one of FLOOR_SHARE at most, that give each query a score its neighbours must reach.
-FLOOR_ROWS, FLOOR_SHARE = 4096, 32
+FLOOR_ROWS, FLOOR_SHARE = 4096, 10
 #: Index rows searched at once; larger cells are searched in blocks.
 BLOCK = 1 << 16
 #: Largest ratio of lengths in a band of vectors for which these need no extra coordinate.
@@ -54,7 +54,7 @@ def signed_axes(x: np.ndarray, table: int, part: int = 0, least: int = 0, seed:
 def second_axes(rows: int, d: int) -> int:
     """Coordinates of the second hash, which grow with the square root of the rows up to all of them:
     buckets are pairs of a signed axis of all coordinates and one of these."""
-    return int(min(d, max(1, 2 ** round(math.log2(max(rows, 2)) / 2 - 3.5))))
+    return int(min(d, 1 << 13, max(1, 2 ** round(math.log2(max(rows, 2)) / 2 - 3.5))))
 
 
 def hashes(y: np.ndarray, table: int, least: int, seed: int = SEED) -> np.ndarray:
@@ -156,10 +156,9 @@ def _search(batches, k: int):
                 stored = [tuple(np.concatenate(c) for c in zip(*stored, strict=True))]
             keys, subs, size, vec = stored[0]
             order = np.argsort(subs, kind="stable")
-            asked = part.column("subs")
-            a = np.asarray(asked.offsets)
-            of = np.repeat(np.arange(j - i), np.diff(a))
-            wanted = np.asarray(asked.values)[a[0] : a[-1]]
+            asked = part.column("subs").to_pylist()
+            of = np.repeat(np.arange(j - i), [len(x) // 2 for x in asked])
+            wanted = np.frombuffer(b"".join(asked), dtype=np.int16).astype(np.int32)
             floor = part.column("size").to_numpy()
             out = []
             by = np.argsort(wanted, kind="stable")
@@ -274,11 +273,12 @@ def nearest_neighbours(
         costs = {}
         for r in (r for r in best if r["q"] == q):
             if r["band"] not in costs:
-                costs[r["band"]] = np.sort(probe_costs(space.query(y, r["band"]), tables, space.least, seed)[0])
-            own = probe_costs(space.query(y, r["band"]), tables, space.least, seed)[0].reshape(tables, -1)
+                own = probe_costs(space.query(y, r["band"]), tables, space.least, seed)[0]
+                costs[r["band"]] = (np.sort(own), own.reshape(tables, -1))
+            ranked, own = costs[r["band"]]
             x = space.index(np.array([r["unit"]]), np.array([r["size"]]), r["band"])
             cost = min(own[t, hashes(x, t, space.least, seed)[0]] for t in range(tables))
-            need.append(int(np.searchsorted(costs[r["band"]], cost, side="right")))
+            need.append(int(np.searchsorted(ranked, cost, side="right")))
     probes = max(1, int(np.quantile(need, recall, method="higher"))) if need else 1
 
     def hashed(batches):
@@ -323,10 +323,10 @@ def nearest_neighbours(
                             pick = np.sort(np.argpartition(cost, m - 1, axis=1)[:, :m], axis=1)
                             cells, sub = np.divmod(pick, wide)
                             q = np.repeat(np.arange(len(some)), m)
-                            cells, sub = cells.reshape(-1), sub.reshape(-1).astype(np.int32)
+                            cells, sub = cells.reshape(-1), sub.reshape(-1).astype(np.int16)
                             new = np.flatnonzero(np.concatenate(([True], (np.diff(cells) != 0) | (np.diff(q) != 0))))
                             tab, axis = np.divmod(cells[new], cost.shape[1] // n_tables // wide)
-                            subs = pa.ListArray.from_arrays(pa.array(np.append(new, len(sub)).astype(np.int32)), pa.array(sub))
+                            subs = pa.array([sub[x:y].tobytes() for x, y in zip(new.tolist(), [*new[1:].tolist(), len(sub)], strict=True)], pa.binary())
                             full = lambda x: pa.array(np.full(len(new), x, dtype=np.int32))  # noqa: B023, E731
                             yield pa.RecordBatch.from_arrays([pa.array(mine[q[new]]), full(d), full(b), pa.array(tab.astype(np.int32)), pa.array(axis.astype(np.int32)), subs, pa.array(floor[q[new]]), codes.take(pa.array(q[new]))], names)
 
@@ -338,7 +338,7 @@ def nearest_neighbours(
         """(q, near): for each query vector its nearest (score, ids), best first, for k ids beside any own."""
         spots = index.select("key", "d", "band", "size", "code", "wide", F.posexplode(F.slice("h", 1, n_tables)).alias("tab", "at"))
         spots = spots.select("key", *cell[:3], F.expr("at div wide").cast("int").alias("axis"), F.expr("cast(at % wide as int)").alias("sub"), "size", "code")
-        asks = base.select("key", "unit").join(of.select("key").distinct(), "key", "left_semi").mapInArrow(probed(n_tables, every), "key long, d int, band int, tab int, axis int, subs array<int>, size double, code binary")
+        asks = base.select("key", "unit").join(of.select("key").distinct(), "key", "left_semi").mapInArrow(probed(n_tables, every), "key long, d int, band int, tab int, axis int, subs binary, size double, code binary")
         large = store.save(spots.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select(*cell, F.expr(f"1 + n div {BLOCK}").alias("blocks")), "cells")
         if large.isEmpty():
             spots, asks = spots.withColumn("block", F.lit(0)), asks.withColumn("block", F.lit(0))
@@ -347,7 +347,7 @@ def nearest_neighbours(
             spots = spots.join(large, cell, "left").withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).drop("blocks")
             asks = asks.join(large, cell, "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1))).drop("blocks")
         both = spots.withColumn("kind", F.lit(0)).unionByName(asks.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-        both = both.select(*cell, "block", "kind", "key", F.coalesce("sub", F.lit(0)).alias("sub"), F.coalesce("subs", F.array().cast("array<int>")).alias("subs"), "size", "code")
+        both = both.select(*cell, "block", "kind", "key", F.coalesce("sub", F.lit(0)).alias("sub"), "subs", "size", "code")
         met = both.repartition(*cell, "block").sortWithinPartitions(*cell, "block", "kind").mapInArrow(lambda it: _search(it, k), "q long, key long, score double, slack double")
         # a pair from two tables may differ in its last bits
         met = met.groupBy("q", "key").agg(F.max("score").alias("score"), F.max("slack").alias("slack"))
@@ -360,6 +360,9 @@ def nearest_neighbours(
         own = of.select("key").distinct().join(base, "key").select(F.col("key").alias("q"), "key", dot("vec", "vec").alias("score"))
         scored = with_vec.select("q", "key", dot("vec", "own").alias("score")).union(own).join(ids, "key")
         scored = scored.select("q", F.explode(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("minus"), i.alias("vec_id")))).alias("x"))
+        # part by part first, as many rows may be as near as one another
+        by_part = Window.partitionBy("q", F.pmod(F.xxhash64("x.vec_id"), F.lit(16))).orderBy("x")
+        scored = scored.withColumn("r", F.row_number().over(by_part)).where(F.col("r") <= k + 1)
         scored = scored.withColumn("r", F.row_number().over(by_query.orderBy("x"))).where(F.col("r") <= k + 1)
         lists = store.save(scored.groupBy(F.col("q").alias("key")).agg(F.array_sort(F.collect_list("x")).alias("near")), "near")
         near = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("id")), 1, k)
