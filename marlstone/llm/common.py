@@ -40,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _cleaning(spark: SparkSession):
+def cleaning(spark: SparkSession):
     """Spark's own removal of shuffle files is on while any thread is inside; as it was once all are out."""
     with _lock:
         if not _writing["n"]:
@@ -76,7 +76,7 @@ class Tables:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.folder}/{self.n:03d}-{name}"
-        with _cleaning(self.spark):
+        with cleaning(self.spark):
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.live[id(out)] = (out, path)
@@ -84,7 +84,7 @@ class Tables:
 
     def write(self, writer, form: str, path: str) -> None:
         """Write files of our own form."""
-        with _cleaning(self.spark):
+        with cleaning(self.spark):
             writer.format(form).save(path)
 
     def drop_all(self) -> None:
@@ -110,8 +110,9 @@ def hot_keys(rows: DataFrame, key: str | list[str]) -> list:
     """Keys that hold more than 1 / SHARES of the rows: fewer than SHARES, as rows of their columns."""
     keys = [key] if isinstance(key, str) else key
     known = rows.dropna(subset=keys)
-    total = rows.count()
-    return known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * SHARES > total).select(*keys).collect() if total else []
+    with cleaning(rows.sparkSession):
+        total = rows.count()
+        return known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * SHARES > total).select(*keys).collect() if total else []
 
 
 def skew_join(rows: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner", hot: list | None = None, grows: bool = False) -> DataFrame:
@@ -163,7 +164,8 @@ def components(edges: DataFrame, tables: Tables, a: str = "a", b: str = "b") ->
         small = skew_join(large, large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(small.select("u", "m"))
         new = tables.save(small.where("u <> v").distinct(), "small")
-        same = new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty()
+        with cleaning(tables.spark):
+            same = new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty()
         tables.drop(large, e)
         e = new
         if same:

@@ -19,9 +19,9 @@ from .hashing import byte_column, mix, pieces, prefix_sums, range_hashes
 
 #: Words in a shingle, and the similarity from which documents link, in hundredths.
 WORDS, PERCENT = 5, 80
-#: Shingles in the longer prefixes of COMMON documents or more come later in the global order, by the
-#: power of two of their number. Numbers are kept for 2 ** LEVEL_BITS classes of shingles, the largest
-#: of each, so that the table has this many bytes whatever the input; any such order gives the same links.
+#: Shingles of COMMON sets or more come later in the global order, by the power of two of their number.
+#: Levels are kept for 2 ** LEVEL_BITS classes of shingles, the largest of each, so that the table has
+#: this many bytes whatever the input; any such order gives the same links.
 COMMON, LEVEL_BITS = 64, 22
 #: Lists of more than LONG_LIST sets are skipped and probed where the overlap asked for allows.
 LONG_LIST = 64
@@ -137,45 +137,65 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def common_levels(docs: DataFrame, text: str, percent: int) -> np.ndarray:
-    """For each class of shingles the power of two of the most documents that hold one of them among
-    their first shingles by hash, half as many again as the prefix; 0 below COMMON documents.
+def _class(tok: Column) -> Column:
+    return tok.bitwiseAND(F.lit((1 << LEVEL_BITS) - 1)).cast("int").alias("class")
 
-    Counted over all documents; only the largest number of each class reaches the driver."""
 
-    def first(_, sets):
-        some = [t[: (m := _prefix_length(len(t), percent)) + m // 2 + 1] for t in sets if len(t)]
-        t, n = np.unique(np.concatenate(some), return_counts=True) if some else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n)], ["tok", "n"])
-
-    found = docs.select(F.col(text).alias("t")).mapInArrow(lambda it: _in_pieces(it, "t", first), "tok long, n long")
-    found = found.groupBy("tok").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
-    got = found.groupBy(F.col("tok").bitwiseAND(F.lit((1 << LEVEL_BITS) - 1)).cast("int").alias("class")).agg(F.floor(F.log2(F.max("n"))).cast("byte").alias("level")).toArrow()
-    out = np.zeros(1 << LEVEL_BITS, dtype=np.uint8)
-    out[got.column("class").to_numpy()] = got.column("level").to_numpy()
-    return out
+def _flat(lists: list[np.ndarray]) -> pa.ListArray:
+    at = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)))
 
 
-def shingle_rows(docs: DataFrame, text: str, doc_id: str, levels: np.ndarray, percent: int, seed: int = 0) -> DataFrame:
+def shingle_rows(docs: DataFrame, text: str, doc_id: str, percent: int, seed: int = 0) -> DataFrame:
     """key (of the row), doc_id, n (shingles), sig and check (two hashes of the set) and prefix: the
-    set's first shingles in the global order (by level, then by hash), so many that linked sets share one."""
-    mask = np.uint64((1 << LEVEL_BITS) - 1)
+    set's first shingles by hash, so many that linked sets share one."""
 
     def rows(batch, sets):
-        prefix = []
-        for t in sets:
-            m = _prefix_length(len(t), percent)
-            level = levels[(t & mask).astype(np.int64)]
-            prefix.append((t[np.argsort(level, kind="stable")] if level.any() else t)[:m].view(np.int64))
-        at = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
-        flat = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
+        prefix = [t[: _prefix_length(len(t), percent)] for t in sets]
         marks = [pa.array([_signature(t, 2 * seed + k) for t in sets], pa.int64()) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array([len(t) for t in sets], pa.int64()), *marks, flat], ["key", "doc_id", "n", "sig", "check", "prefix"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array([len(t) for t in sets], pa.int64()), *marks, _flat(prefix)], ["key", "doc_id", "n", "sig", "check", "prefix"])
 
     src = _keyed(docs, text, doc_id).withColumnRenamed("rep", "key")
     return src.mapInArrow(lambda it: _in_pieces(it, "t", rows), "key long, doc_id long, n long, sig long, check long, prefix array<long>")
 
 
+def _common_last(entries: DataFrame, sets_of, tables: Tables, percent: int) -> DataFrame:
+    """entries (tok, sig, n) of prefixes by hash -> entries of prefixes in the global order.
+
+    Sets with a shingle in the prefixes of COMMON sets or more are read whole; all their shingles
+    that COMMON of them hold get a level. The prefix of a set without any shingle of a class that
+    has a level stays as it is; those of all others are made anew, first by level, then by hash."""
+    common = tables.save(entries.groupBy("tok").agg(F.count(F.lit(1)).alias("n_sets")).where(F.col("n_sets") >= COMMON).select("tok"), "common")
+    near = tables.save(entries.join(common, "tok", "left_semi").select("sig").distinct(), "near")
+    if near.isEmpty():
+        return entries
+    sets = sets_of(near)
+    counts = sets.select(F.explode("tokens").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n_sets")).where(F.col("n_sets") >= COMMON)
+    kinds = counts.groupBy(_class(F.col("tok"))).agg(F.floor(F.log2(F.max("n_sets"))).cast("byte").alias("level"))
+    kinds = tables.save(kinds, "levels")
+    got = kinds.toArrow()
+    levels = np.zeros(1 << LEVEL_BITS, dtype=np.uint8)
+    levels[got.column("class").to_numpy()] = got.column("level").to_numpy()
+    mask = np.uint64((1 << LEVEL_BITS) - 1)
+    changed = tables.save(entries.withColumn("class", _class(F.col("tok"))).join(kinds, "class", "left_semi").select("sig").distinct(), "changed")
+    more = sets_of(changed.join(near, "sig", "left_anti"))
+
+    def order(batches):
+        for batch in batches:
+            lists = batch.column("tokens")
+            at, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
+            out, sizes = [], np.diff(at)
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                t = np.sort(flat[i:j])
+                out.append(t[np.argsort(levels[(t & mask).astype(np.int64)], kind="stable")][: _prefix_length(len(t), percent)])
+            yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(sizes.astype(np.int64)), _flat(out)], ["sig", "n", "prefix"])
+
+    anew = sets.union(more).join(changed, "sig", "left_semi").mapInArrow(order, "sig long, n long, prefix array<long>")
+    out = tables.save(entries.join(changed, "sig", "left_anti").unionByName(anew.select(F.explode("prefix").alias("tok"), "sig", "n")), "entries")
+    tables.drop(entries, sets, more, common, near, kinds, changed)
+    return out
+
+
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     i, t = F.col(doc_id).cast("long"), F.col(text)
     return docs.select(F.xxhash64(i, t).alias("rep"), i.alias("doc_id"), t.alias("t"))
@@ -189,9 +209,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, text: str, d
     def rows(batch, sets):
         own = np.array([_signature(t, 2 * seed) for t in sets], dtype=np.int64)
         keep = np.flatnonzero(own == batch.column("sig").to_numpy())  # other rows may bear the same key
-        at = np.cumsum([0, *(len(sets[k]) for k in keep)]).astype(np.int32)
-        flat = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([sets[k] for k in keep]).view(np.int64) if len(keep) else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(own[keep]), flat], ["sig", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array(own[keep]), _flat([sets[k] for k in keep])], ["sig", "tokens"])
 
     got = texts.select("sig", "t").mapInArrow(lambda it: _in_pieces(it, "t", rows), "sig long, tokens array<long>")
     return tables.save(got.dropDuplicates(["sig"]), "sets")
@@ -277,9 +295,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     component_id is the smallest doc_id that links reach. Shingles are told apart by 64-bit hashes;
     sets by a 64-bit hash, drawn anew if a second one shows that it holds two sets for one.
 
-    1. Shingles get a global order, those of many documents last (common_levels). Equal sets are one
-       class. Each class puts its prefix in an inverted index; prefixes of linked sets share at
-       least T - ceil(percent * n) + 1 shingles, T the overlap asked for.
+    1. Equal sets are one class. Shingles get a global order, those of many classes last, by their
+       counts over the whole table (_common_last). Each class puts its prefix in an inverted index;
+       prefixes of linked sets share at least T - ceil(percent * n) + 1 shingles, T the overlap asked for.
     2. In each list the smallest class leads. Pairs of a leader and a member with enough lists in
        common are searched (T-occurrence with DivideSkip, on whole sets) and linked.
     3. Members of long lists that still hold several components are walked over in blocks, which
@@ -295,9 +313,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     slices cut between words, so memory grows with their words only. An empty table gives no rows.
     Other columns are ignored, whatever their names."""
     tables = Tables(docs.sparkSession, "jaccard")
-    levels = common_levels(docs, text, percent)
     for seed in range(8):
-        rows = tables.save(shingle_rows(docs, text, doc_id, levels, percent, seed), "prefixes")
+        rows = tables.save(shingle_rows(docs, text, doc_id, percent, seed), "prefixes")
         classes = rows.where("n > 0").groupBy("sig").agg(F.min("key").alias("rep"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"))
         classes = tables.save(classes, "classes")
         if classes.where("c0 <> c1").isEmpty():
@@ -308,10 +325,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
     entries = rows.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]).select(F.explode("prefix").alias("tok"), "sig", "n")
     entries = tables.save(entries, "entries")
+    full, rows = rows, tables.save(rows.select("doc_id", "n", "sig"), "rows")
+    tables.drop(full)
+    entries = _common_last(entries, lambda nodes: _sets_of(docs, classes, nodes, text, doc_id, tables, seed), tables, percent)
     heads = entries.groupBy("tok").agg(F.count(F.lit(1)).alias("length"), F.min(F.struct("sig", "n")).alias("head")).where("length > 1")
     heads = tables.save(heads.select("tok", "length", F.col("head.sig").alias("leader"), F.col("head.n").alias("leader_n")), "heads")
-    total = entries.count()
-    hot = heads.where(F.col("length") * SHARES > total).select("tok").collect()
+    hot = heads.where(F.col("length") * SHARES > entries.count()).select("tok").collect()
     led = tables.save(skew_join(entries, heads, "tok", hot=hot), "lists")
     tables.drop(entries, heads)
 
