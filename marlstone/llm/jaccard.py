@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SHARES, Tables, components, skew_join
+from .common import Tables, components, skew_join
 from .hashing import byte_column, mix, pieces, prefix_sums, range_hashes
 
 #: Words in a shingle, and the similarity from which documents link, in hundredths.
@@ -159,16 +159,23 @@ def shingle_rows(docs: DataFrame, text: str, doc_id: str, percent: int, seed: in
     return src.mapInArrow(lambda it: _in_pieces(it, "t", rows), "key long, doc_id long, n long, sig long, check long, prefix array<long>")
 
 
-def _common_last(entries: DataFrame, sets_of, tables: Tables, percent: int) -> DataFrame:
-    """entries (tok, sig, n) of prefixes by hash -> entries of prefixes in the global order.
+def _entries(prefixes: DataFrame) -> DataFrame:
+    return prefixes.select(F.posexplode("prefix").alias("pos", "tok"), "sig", "n")
 
-    Sets with a shingle in the prefixes of COMMON sets or more are read whole; all their shingles
-    that COMMON of them hold get a level. The prefix of a set without any shingle of a class that
+
+def _common_last(prefixes: DataFrame, sets_of, tables: Tables, percent: int) -> DataFrame:
+    """prefixes (sig, n, prefix) by hash -> prefixes in the global order.
+
+    Sets are crowded if half their prefix or more stands in the prefixes of COMMON sets or more:
+    members of large groups of alike texts, and short texts. They are read whole, and all their
+    shingles that COMMON of them hold get a level. The prefix of a set without any shingle of a class that
     has a level stays as it is; those of all others are made anew, first by level, then by hash."""
+    entries = _entries(prefixes)
     common = tables.save(entries.groupBy("tok").agg(F.count(F.lit(1)).alias("n_sets")).where(F.col("n_sets") >= COMMON).select("tok"), "common")
-    near = tables.save(entries.join(common, "tok", "left_semi").select("sig").distinct(), "near")
+    share = entries.join(common, "tok", "left_semi").groupBy("sig", "n").agg(F.count(F.lit(1)).alias("k"))
+    near = tables.save(share.where(2 * F.col("k") >= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100.0 - 1e-9) + 1).select("sig"), "near")
     if near.isEmpty():
-        return entries
+        return prefixes
     sets = sets_of(near)
     counts = sets.select(F.explode("tokens").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n_sets")).where(F.col("n_sets") >= COMMON)
     kinds = counts.groupBy(_class(F.col("tok"))).agg(F.floor(F.log2(F.max("n_sets"))).cast("byte").alias("level"))
@@ -191,8 +198,8 @@ def _common_last(entries: DataFrame, sets_of, tables: Tables, percent: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(sizes.astype(np.int64)), _flat(out)], ["sig", "n", "prefix"])
 
     anew = sets.union(more).join(changed, "sig", "left_semi").mapInArrow(order, "sig long, n long, prefix array<long>")
-    out = tables.save(entries.join(changed, "sig", "left_anti").unionByName(anew.select(F.explode("prefix").alias("tok"), "sig", "n")), "entries")
-    tables.drop(entries, sets, more, common, near, kinds, changed)
+    out = tables.save(prefixes.join(changed, "sig", "left_anti").unionByName(anew), "prefixes")
+    tables.drop(prefixes, sets, more, common, near, kinds, changed)
     return out
 
 
@@ -303,8 +310,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     3. Members of long lists that still hold several components are walked over in blocks, which
        joins large groups of near copies.
     4. Lists then hold few components. Only pairs across components go on: those that short lists
-       bring together often enough, long lists counting as shared until probed; a long list
-       itself brings pairs together only where the short ones could miss them. They are searched too.
+       bring together often enough, at places early enough in both sets for their sizes, long lists
+       counting as shared until probed; a long list itself brings pairs together only where the
+       short ones could miss them. They are searched too.
 
     Every link between different sets either is found in steps 2 to 4 or lies inside a component that
     is already joined. A null or empty text has no shingles and its own doc_id as component; a
@@ -323,16 +331,16 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     else:
         raise RuntimeError("no hash tells the sets apart")
 
-    entries = rows.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]).select(F.explode("prefix").alias("tok"), "sig", "n")
-    entries = tables.save(entries, "entries")
+    prefixes = tables.save(rows.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]), "distinct")
     full, rows = rows, tables.save(rows.select("doc_id", "n", "sig"), "rows")
     tables.drop(full)
-    entries = _common_last(entries, lambda nodes: _sets_of(docs, classes, nodes, text, doc_id, tables, seed), tables, percent)
-    heads = entries.groupBy("tok").agg(F.count(F.lit(1)).alias("length"), F.min(F.struct("sig", "n")).alias("head")).where("length > 1")
-    heads = tables.save(heads.select("tok", "length", F.col("head.sig").alias("leader"), F.col("head.n").alias("leader_n")), "heads")
-    hot = heads.where(F.col("length") * SHARES > entries.count()).select("tok").collect()
-    led = tables.save(skew_join(entries, heads, "tok", hot=hot), "lists")
-    tables.drop(entries, heads)
+    prefixes = _common_last(prefixes, lambda nodes: _sets_of(docs, classes, nodes, text, doc_id, tables, seed), tables, percent)
+    # a list holds one shingle, narrow rows only; common shingles have left most prefixes
+    of_list, by_sig = Window.partitionBy("tok"), Window.partitionBy("tok").orderBy("sig")
+    led = _entries(prefixes).withColumns({"leader": F.first("sig").over(by_sig), "leader_n": F.first("n").over(by_sig), "after": F.lead("sig").over(by_sig)})
+    led = led.where("sig <> leader or after is not null").drop("after").withColumn("length", F.count(F.lit(1)).over(of_list))
+    led = tables.save(led, "lists")
+    tables.drop(prefixes)
 
     def sizes_fit(a: str, b: str) -> Column:
         return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
@@ -354,9 +362,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     joined = tables.save(components(first, tables), "joined")
 
     def open_lists(joined: DataFrame) -> DataFrame:
-        lists = led.select("tok", "sig", "n").join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("comp", F.coalesce("component", "sig"))
+        lists = led.select("tok", "sig", "n", "pos").join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("comp", F.coalesce("component", "sig"))
         several = lists.groupBy("tok").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("length")).where("c0 < c1").select("tok", "length")
-        return tables.save(lists.join(several, "tok").select("tok", "sig", "n", "comp", "length"), "open")
+        return tables.save(lists.join(several, "tok").select("tok", "sig", "n", "pos", "comp", "length"), "open")
 
     lists = open_lists(joined)
     crowded = lists.where(F.col("length") > LONG_LIST)
@@ -381,7 +389,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     # of so many shared lists, the first stands no later than this among the long ones of either
     early = (F.col("a_at") <= F.col("a_n_long") - enough("a_n", "b_n") + 1) & (F.col("b_at") <= F.col("b_n_long") - enough("a_n", "b_n") + 1)
     pair = (F.col("a_tok") == F.col("b_tok")) & (F.col("a_part") == F.col("b_part")) & (F.col("a_sig") < F.col("b_sig")) & (F.col("a_comp") != F.col("b_comp")) & sizes_fit("a_n", "b_n")
-    pairs = a.join(b, pair & (~F.col("a_long") | early))
+    # linked sets share so many shingles in their first ones, counted from their own sizes
+    shared = need(F.col("a_n"), F.col("b_n"), percent) - enough("a_n", "b_n")
+    placed = (F.col("a_pos") < F.col("a_n") - shared) & (F.col("b_pos") < F.col("b_n") - shared)
+    pairs = a.join(b, pair & placed & (~F.col("a_long") | early))
     pairs = pairs.groupBy("a_sig", "b_sig", "a_n", "b_n", "a_reach", skipped.alias("skipped")).agg(F.count_if(~F.col("a_long")).alias("c"))
     pairs = pairs.where(F.col("c") + F.col("skipped") >= enough("a_n", "b_n")).select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"), "a_n", F.col("a_reach").alias("crowd"))
     across = links(tables.save(pairs, "pairs"))
