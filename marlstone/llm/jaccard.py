@@ -22,7 +22,7 @@ WORDS, PERCENT = 5, 80
 #: Shingles of COMMON sets or more come later in the global order, by the power of two of their number.
 #: Levels are kept for 2 ** LEVEL_BITS classes of shingles, the largest of each, so that the table has
 #: this many bytes whatever the input; any such order gives the same links.
-COMMON, LEVEL_BITS = 64, 22
+COMMON, COUNTED, LEVEL_BITS = 64, 2, 22
 #: Lists of more than LONG_LIST sets are skipped and probed where the overlap asked for allows.
 LONG_LIST = 64
 #: Sets searched in one index: at most BLOCK, and of about BLOCK_TOKENS shingles in all.
@@ -166,18 +166,22 @@ def _entries(prefixes: DataFrame) -> DataFrame:
 def _common_last(prefixes: DataFrame, sets_of, tables: Tables, percent: int) -> DataFrame:
     """prefixes (sig, n, prefix) by hash -> prefixes in the global order.
 
-    Sets are crowded if half their prefix or more stands in the prefixes of COMMON sets or more:
-    members of large groups of alike texts, and short texts. They are read whole, and all their
-    shingles that COMMON of them hold get a level. The prefix of a set without any shingle of a class that
-    has a level stays as it is; those of all others are made anew, first by level, then by hash."""
+    Sets with a shingle in the prefixes of COMMON sets or more are read whole; of their shingles those
+    that COMMON of them hold get a level. Of a set whose prefix is common by half (a member of a large
+    group of alike texts, or a short text) all shingles count, of others the first by hash, COUNTED
+    times as many as the prefix, as its new prefix reaches no further. The prefix of a set without any
+    shingle of a class that has a level stays as it is; those of all others are made anew, first by
+    level, then by hash. Whatever the levels, prefixes in one order find the same links."""
     entries = _entries(prefixes)
     common = tables.save(entries.groupBy("tok").agg(F.count(F.lit(1)).alias("n_sets")).where(F.col("n_sets") >= COMMON).select("tok"), "common")
     share = entries.join(common, "tok", "left_semi").groupBy("sig", "n").agg(F.count(F.lit(1)).alias("k"))
-    near = tables.save(share.where(2 * F.col("k") >= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100.0 - 1e-9) + 1).select("sig"), "near")
+    size = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100.0 - 1e-9).cast("int") + 1
+    near = share.select("sig", F.when(2 * F.col("k") >= size, F.col("n")).otherwise(F.least(F.col("n"), COUNTED * size)).cast("int").alias("first"))
+    near = tables.save(near, "near")
     if near.isEmpty():
         return prefixes
-    sets = sets_of(near)
-    counts = sets.select(F.explode("tokens").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n_sets")).where(F.col("n_sets") >= COMMON)
+    sets = sets_of(near.select("sig"))
+    counts = sets.join(near, "sig").select(F.explode(F.slice("tokens", 1, F.col("first"))).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n_sets")).where(F.col("n_sets") >= COMMON)
     kinds = counts.groupBy(_class(F.col("tok"))).agg(F.floor(F.log2(F.max("n_sets"))).cast("byte").alias("level"))
     kinds = tables.save(kinds, "levels")
     got = kinds.toArrow()
@@ -209,7 +213,8 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, text: str, doc_id: str, tables: Tables, seed: int) -> DataFrame:
-    """(sig, tokens) of the given sets, read again from one row of each, found by its key."""
+    """(sig, tokens) of the given sets, read again from a row of each, found by its key; more than
+    once where rows are equal, which gives the same links more than once."""
     wanted = nodes.join(classes, "sig").select("rep", "sig")
     texts = _keyed(docs, text, doc_id).select("rep", "t").join(wanted, "rep")
 
@@ -219,7 +224,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, text: str, d
         yield pa.RecordBatch.from_arrays([pa.array(own[keep]), _flat([sets[k] for k in keep])], ["sig", "tokens"])
 
     got = texts.select("sig", "t").mapInArrow(lambda it: _in_pieces(it, "t", rows), "sig long, tokens array<long>")
-    return tables.save(got.dropDuplicates(["sig"]), "sets")
+    return tables.save(got, "sets")
 
 
 def _dealt(sig: str, crowd: Column) -> Column:
