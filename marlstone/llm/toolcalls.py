@@ -52,7 +52,7 @@ def _has_type(part: Column, kinds: list[str]) -> Column:
     for k in kinds:
         if k == "integer":  # whole numbers, however they are written
             value = F.try_variant_get(part, "$", "double")
-            good = good | (kind.rlike(f"^{NUMBER}$") & F.coalesce(value == F.floor(value), F.lit(False)))
+            good = good | (kind.rlike(f"^{NUMBER}$") & F.coalesce(value == F.rint(value), F.lit(False)))
         else:
             good = good | kind.rlike(f"^{TYPES[k]}$")
     return F.coalesce(good, F.lit("null" in kinds))
