@@ -113,13 +113,13 @@ def adjacent_caption(spark, sf_dir):
 
 
 def outside_ranges(spark, sf_dir):
-    """Links that stand in no protected range: an interval anti join. Navigation elements protect."""
+    """Links that stand in no protected range: an interval anti join. The first item of each list is protected."""
     pages = _read(spark, sf_dir, "pages")
     links = link_spans(pages)
-    parts = pages.select("page_id", F.posexplode(F.split("html", "<nav>")).alias("k", "part"))
+    parts = pages.select("page_id", F.posexplode(F.split("html", "<ul>")).alias("k", "part"))
     w = Window.partitionBy("page_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    lo = F.sum(F.octet_length("part")).over(w) + 5 * F.col("k")
-    ranges = parts.withColumn("lo", lo).where("k > 0").select("page_id", "lo", (F.col("lo") + F.octet_length(F.substring_index("part", "</nav>", 1))).alias("hi"))
+    lo = F.sum(F.octet_length("part")).over(w) + 4 * F.col("k")
+    ranges = parts.withColumn("lo", lo).where("k > 0").select("page_id", "lo", (F.col("lo") + F.octet_length(F.substring_index("part", "</li>", 1))).alias("hi"))
     on = (F.col("l.page_id") == F.col("r.page_id")) & (F.col("l.start_b") >= F.col("r.lo")) & (F.col("l.start_b") < F.col("r.hi"))
     return links.alias("l").join(ranges.alias("r"), on, "left_anti").select("page_id", "i", "start_b")
 
@@ -167,7 +167,7 @@ ORACLE_SQL = {
     "shared_refs": f"WITH {_LINKS} SELECT dest, count(DISTINCT page_id) AS n_docs, count(*) AS n_refs FROM links WHERE i > 0 GROUP BY dest HAVING count(DISTINCT page_id) > 1",
     "dup_sha": "SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "secret_lines": r"""SELECT doc_id, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-        WHERE regexp_matches(line, '(?i)(api[_-]?key|secret|token|password)[ \t]*[:=][ \t]*[''"][^$<{\n''"][^''"\n]+') GROUP BY doc_id""",
+        WHERE regexp_matches(line, '(?i)(api[_-]?key|secret|token|password)[[:space:]]*[:=][[:space:]]*[''"][^$<{][^''"]+') GROUP BY doc_id""",
     "category_rollup": "SELECT lang, source, count(*) AS n, CAST(grouping(lang, source) AS BIGINT) AS level FROM documents GROUP BY ROLLUP (lang, source)",
     "unmatched_anti": "SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "unmatched_beside_semi": """SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
@@ -192,9 +192,9 @@ ORACLE_SQL = {
     "adjacent_caption": """SELECT conv_id, turn, coalesce(lag(length(text)) OVER w, -1) AS before, coalesce(lead(length(text)) OVER w, -1) AS after
         FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
     "outside_ranges": f"""WITH {_LINKS}, parts AS (
-          SELECT page_id, unnest(p) AS part, CAST(unnest(range(len(p))) AS BIGINT) AS k FROM (SELECT page_id, string_split(html, '<nav>') AS p FROM pages)),
-        ranges AS (SELECT page_id, k, lo, lo + strlen(split_part(part, '</nav>', 1)) AS hi FROM (
-          SELECT page_id, k, part, sum(strlen(part) + 5) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo FROM parts) WHERE k > 0)
+          SELECT page_id, unnest(p) AS part, CAST(unnest(range(len(p))) AS BIGINT) AS k FROM (SELECT page_id, string_split(html, '<ul>') AS p FROM pages)),
+        ranges AS (SELECT page_id, k, lo, lo + strlen(split_part(part, '</li>', 1)) AS hi FROM (
+          SELECT page_id, k, part, sum(strlen(part) + 4) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo FROM parts) WHERE k > 0)
         SELECT page_id, i, start_b FROM links l WHERE i > 0 AND NOT EXISTS (SELECT 1 FROM ranges r WHERE r.page_id = l.page_id AND l.start_b >= r.lo AND l.start_b < r.hi)""",
     "tree_changes": """WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS sha256 FROM documents),
         b AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(replace(text, chr(10), ' ')) AS sha256 FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id))

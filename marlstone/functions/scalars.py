@@ -12,13 +12,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Device names that no file may bear, image extensions, schemes, type prefixes.
+# Device names that no file may bear, image extensions, schemes, type prefixes, and the
+# credential pattern of single lines ([[:space:]] spelt out, as Java has no such class).
 RESERVED = ("con", "prn", "aux", "nul", "com1", "com2", "com3", "com4", "com5", "com6", "com7", "com8", "com9", "lpt1", "lpt2", "lpt3", "lpt4", "lpt5", "lpt6", "lpt7", "lpt8", "lpt9")
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "webp", "gif", "bmp", "tiff", "svg")
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 PREFIXES = {"image": "fig", "table": "table", "chart": "chart"}
 LABEL = r"^\s*(figure|fig\.?|图|table|表|chart)\s*\.?\s*([0-9]+)\s*[.:：]?\s*"
-CREDENTIAL = r"""(?i)(api[_-]?key|secret|token|password)[ \t]*[:=][ \t]*['"][^$<{\n'"][^'"\n]+"""
+CREDENTIAL = r"""(?i)(api[_-]?key|secret|token|password)[[:space:]]*[:=][[:space:]]*['"][^$<{][^'"]+""".replace("[[:space:]]", r"[ \t\r\f\x0B]")
 LIMIT = 120
 
 

@@ -6,6 +6,7 @@ import csv
 import json
 import os
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +24,9 @@ def read_files(spark: SparkSession, root: str, pattern: str = "*", content: bool
 
     Spark's reader leaves out names that start with . or _ and matches the pattern case-sensitively."""
     base = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    at = "/" + os.path.abspath(root).strip("/") + "/" if "://" not in root else root.rstrip("/") + "/"
-    path = F.expr(f"substring_index(path, '{at}', -1)")
+    # a path is what follows the root's first place in it, whatever the root's characters
+    at = F.lit("/" + (urlparse(root).path if "://" in root else os.path.abspath(root)).strip("/") + "/")
+    path = F.substr("path", F.instr("path", at) + F.length(at))
     return base.select(path.alias("path"), "length", *(["content"] if content else []))
 
 

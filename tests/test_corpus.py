@@ -139,3 +139,40 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["doc_id"] for r in spark.sql("select * from flags").collect()] == [1]
+
+
+def test_roots_of_any_name(spark, tmp_path):
+    for root in ("r", "it's", "a b"):
+        for inner in ("", f"tmp/{root}/", f"{root}/"):
+            folder = tmp_path / root / inner
+            folder.mkdir(parents=True, exist_ok=True)
+            (folder / "a.md").write_text("x")
+        got = sorted(r["path"] for r in corpus.read_files(spark, str(tmp_path / root), "*.md").collect())
+        assert got == sorted(["a.md", f"tmp/{root}/a.md", f"{root}/a.md"])
+
+
+def test_slugs_against_plain_version(spark):
+    import re
+    import unicodedata
+
+    texts = ["Éther ﬁlm: ½ ß", "a’b", "图 1 温度", "", "  --x--  ", "Ångström № ２", None]
+    plain = lambda t: None if t is None else re.sub("[^a-z0-9]+", "-", unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower()).strip("-")
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(S.slugify(F.col("t"))).collect()] == [plain(t) for t in texts]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from marlstone import cli
+
+    root, out = tmp_path / "docs", tmp_path / "out"
+    (root / "images").mkdir(parents=True)
+    (root / "a.md").write_text("# Title\n\n![Figure 1. First reactor](images/x.png)\n")
+    (root / "images" / "x.png").write_bytes(b"png")
+    assert cli.main(["plan", str(root), str(out), "--json"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["documents"] == 1
+    plan = next(str(p) for p in [out, *out.rglob("*")] if str(p).endswith(".json")) if out.is_dir() else str(out)
+    (root / "images" / "x.png").write_bytes(b"other")
+    assert cli.main(["apply", str(root), plan, str(tmp_path / "new")], spark) == 2
+    assert "source hash changed" in capsys.readouterr().err and not (tmp_path / "new").exists()
