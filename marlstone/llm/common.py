@@ -126,10 +126,12 @@ def skew_join(rows: DataFrame, small: DataFrame, key: str | list[str], how: str
     other = small.hint("merge") if grows else small
     if not hot:
         return rows.join(other, keys, how)
-    some = F.broadcast(rows.sparkSession.createDataFrame([tuple(r) for r in hot], rows.select(*keys).schema))
-    of_hot = F.broadcast(small.join(some, keys, "left_semi"))
-    rest = rows.join(some, keys, "left_anti").join(small.join(some, keys, "left_anti").hint("merge") if grows else small.join(some, keys, "left_anti"), keys, how)
-    return rows.join(some, keys, "left_semi").join(of_hot, keys, how).unionByName(rest)
+    # by a hash of the key, the same on both sides, so that a filter parts them
+    named = rows.sparkSession.createDataFrame([tuple(r) for r in hot], rows.select(*keys).schema)
+    marks = [r[0] for r in named.select(F.xxhash64(*keys)).collect()]
+    is_hot = F.xxhash64(*keys).isin(marks)
+    rest = small.where(~is_hot)
+    return rows.where(is_hot).join(F.broadcast(small.where(is_hot)), keys, how).unionByName(rows.where(~is_hot).join(rest.hint("merge") if grows else rest, keys, how))
 
 
 def running_sum(df: DataFrame, key: str, part: str, order: list[Column], value: Column, out: str) -> DataFrame:
