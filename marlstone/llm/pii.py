@@ -218,7 +218,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Trees:
 
 
 def _card(rnd: random.Random) -> str:
-    head = rnd.choice(["4", "51", "53", "55", "37", "6011"])
+    head = rnd.choice(["4", "51", "53", "55", "37", "6011", *"123456789"])
     n = 15 if head == "37" else 16
     d = head + "".join(rnd.choice("0123456789") for _ in range(n - len(head) - 1))
     return d + next(c for c in "0123456789" if luhn(d + c))
@@ -245,7 +245,7 @@ def planted_span(rnd: random.Random) -> tuple[str, str, bool]:
     day, month, year = f"{rnd.randint(1, 28):02d}", f"{rnd.randint(1, 12):02d}", str(rnd.randint(1900, 2035))
     ip = ".".join(str(rnd.randint(0, 255)) for _ in range(4))
     return rnd.choice([
-        ("email", f"{name} [at] {host} [dot] {top}", True), ("email", f"{name}(at){host}.{top}", True), ("email", f"{name} @ {host}.{top}", True), ("email", f"{name}[at]{host}.{top}", True), ("email", f"{name} (at) {host} (dot) {top}", True),
+        ("email", f"{name} [at] {host} [dot] {top}", True), ("email", f"{name}(at){host}.{top}", True), ("email", f"{name} @ {host}.{top}", True), ("email", f"{name}[at]{host}.{top}", True), ("email", f"{name} (at) {host} (dot) {top}", True), ("email", f"{name} [at] {host}.example [dot] {top}", True), ("email", f"{name.split('.')[0]} [at] {host}.{top}", True),
         ("email", f"{rnd.randint(2, 90)} @ {rnd.randint(1, 9)}.{num(2)}", False), ("email", f"{rnd.choice(['met', 'look', 'sold'])} @ {num(2)}.{num(1)}", False), ("email", f"{name}(at){num(1)}.{num(2)}", False),
         ("ip", ip, True), ("ip", f"{rnd.randint(256, 999)}.{num(1)}.{rnd.randint(256, 999)}.{num(2)}", False),
         ("card", card, True), ("card", _groups(card, by_four, "."), True), ("card", _groups(card, by_four, "/"), True), ("card", _groups(card, by_four, "  "), True), ("card", _groups(card, by_four, " "), True),
