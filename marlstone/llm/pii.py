@@ -74,6 +74,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 FEATURES = ("length", "digits", "digit_runs", "run_1", "run_2", "run_3", "run_4", "last_run", "longest_run", "first_number", "largest_number", "separators", "kinds_of_separator", "first_separator", "plus", "brackets", "dots", "slashes", "luhn", "issuer", "first_digit", "zeros", "at_sign", "masked", "letter_share", "letters_after_at", "last_label", "spaces", "after_space", "before_space", "left_colon", "left_letter", "cue", "line_start", "digits_near")
 _CUE = re.compile(r"(?i)\b(tel|phone|telefon|call|fax|mobile?|cell|card|visa|pay|mail|e-mail|contact|write|reach)\b")
+_LABEL, HOST = re.compile(r"[A-Za-z0-9-]+(?![A-Za-z0-9\])-])"), 253
 _AT = re.compile(r" ?(?:@|\[at\]|\(at\)) ?")
 
 
@@ -113,9 +114,20 @@ def number_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def masked_spans(text: str) -> list[tuple[int, int]]:
+    """Masked addresses, whole and cut after each label of the host but the first, as a sentence may go on
+    after the address ("jo [at] uni.net. Then"). A host has HOST characters at most, so cuts end there."""
+    out = []
+    for m in _MASKED.finditer(text):
+        host = _AT.search(text, m.start(), m.end()).end()
+        ends = [p.end() for p in _LABEL.finditer(text, host, min(m.end(), host + HOST))]
+        out += [(m.start(), e) for e in ends[1:] if e < m.end()] + [m.span()]
+    return out
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Overlapping proposals of high recall: (kind, start, end)."""
-    out = [("email", *m.span()) for m in _MASKED.finditer(text)] if "@" in text or "at" in text and ("[at]" in text or "(at)" in text) else []
+    out = [("email", *s) for s in masked_spans(text)] if "@" in text or "at" in text and ("[at]" in text or "(at)" in text) else []
     for start, end, n in number_spans(text):
         s = text[start:end]
         if n <= 12 and s.count(".") == 3 and not re.search("[^0-9.]", s):

@@ -304,6 +304,13 @@ SIDE_BY_SIDE = [
 ]
 
 
+def test_masked_hosts():
+    for text, want in (("jo [at] uni.net. Then we", ["jo [at] uni.net", "jo [at] uni.net. Then"]), ("m (at) a [dot] b (dot) c", ["m (at) a [dot] b", "m (at) a [dot] b (dot) c"]), ("q[at]post.fr.", ["q[at]post.fr"]), ("a at b", [])):
+        assert [text[a:b] for a, b in pii.masked_spans(text)] == want
+    # a chain of labels stays linear
+    assert len(pii.masked_spans("x(at)" + "a. " * 50_000)) <= pii.HOST
+
+
 def test_numbers_side_by_side(spark):
     rnd = random.Random(6)
     for run, want in SIDE_BY_SIDE:
