@@ -8,7 +8,7 @@ import sys
 
 from .functions.scalars import endpoint_class
 from .plans import plan as P
-from .sources.corpus import vision_config
+from .sources.corpus import document_hashes, vision_config
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:
@@ -35,7 +35,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     try:
         if got.command == "plan":
             plan, _, summary = P.create_plan(spark, got.root)
-            P.save_plan(plan, summary, got.out)
+            P.save_plan(plan, summary, got.out, document_hashes(spark, got.root))
             counts = summary.first().asDict()
             print(json.dumps(counts) if got.json else "\n".join(f"{k}: {v}" for k, v in counts.items()))
             return 0

@@ -80,13 +80,17 @@ def choose_evidence(contexts: DataFrame, metadata: DataFrame) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r").withColumns({"explicit": label_number(F.col("caption")), "semantic": F.coalesce("semantic", F.lit(""))})
 
 
-def run_summary(documents: DataFrame, references: DataFrame, records: DataFrame, warnings: DataFrame) -> DataFrame:
+def run_summary(documents: DataFrame, references: DataFrame, records: DataFrame, warnings: DataFrame, asked: DataFrame, calls: bool) -> DataFrame:
+    """One row of counts. asked holds the assets whose evidence is generic, with any cached response;
+    calls says whether an analyzer is there to be asked about the rest."""
     counts = {
         "documents": documents.agg(F.count(F.lit(1))),
         "unique_references": references.agg(F.count_distinct("asset_path")),
         "eligible": records.agg(F.count(F.lit(1))),
         "missing": warnings.agg(F.count_if(F.col("code") == "missing-asset")),
         "unreferenced": warnings.agg(F.count_if(F.col("code") == "unreferenced-asset")),
+        "vision_needed": asked.agg(F.count(F.lit(1))),
+        "vision_calls": asked.agg(F.count_if(F.col("response").isNull() & F.lit(calls))),
         "warnings": warnings.agg(F.count(F.lit(1))),
     }
     out = None
@@ -107,6 +111,13 @@ def tree_difference(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.exceptAll(after).withColumn("side", F.lit("before")).unionByName(after.exceptAll(before).withColumn("side", F.lit("after")))
 
 
+def without_copy(upstream: DataFrame, copies: DataFrame, names: DataFrame) -> DataFrame:
+    """Projects of upstream (project) without a copy (name); names (project, name) maps the projects whose
+    copy has another name than their own."""
+    named = upstream.join(names, "project", "left").select("project", F.coalesce("name", "project").alias("name"))
+    return named.join(copies, "name", "left_anti").select("project")
+
+
 def broken_links(references: DataFrame, files: DataFrame) -> DataFrame:
     return references.join(files, references["asset_path"] == files["path"], "left_anti")
 

@@ -22,6 +22,25 @@ CONFIDENCE = 0.5
 STAGES = ("staged", "first-rename", "documents", "verify")
 
 
+def _asked(evidence: DataFrame, config: dict, cache: DataFrame | None) -> DataFrame:
+    """Assets whose evidence is generic, with the cached response of each, if any."""
+    key = S.cache_key(F.col("sha256"), F.lit(config.get("model", "")), F.lit("1"))
+    asked = evidence.where(F.col("semantic").isin(*GENERIC)).select("asset_path", "caption", key.alias("cache_key"))
+    if cache is None:
+        return asked.withColumn("response", F.lit(None).cast("struct<description:string,keywords:array<string>,confidence:double>"))
+    return asked.join(cache.dropDuplicates(["cache_key"]), "cache_key", "left")
+
+
+def response_fields(got: dict) -> tuple[str, float]:
+    """(description, confidence) of an analyzer's response; ValueError if its shape is not the agreed one."""
+    description, keywords, confidence = got.get("description"), got.get("keywords"), got.get("confidence")
+    if not isinstance(description, str) or not isinstance(keywords, list) or not all(isinstance(k, str) for k in keywords):
+        raise ValueError("description must be a string, keywords a list of strings")
+    if isinstance(confidence, bool) or not isinstance(confidence, (int, float)) or not 0 <= confidence <= 1:
+        raise ValueError("confidence must be a number from 0 to 1")
+    return description, float(confidence)
+
+
 def with_vision(evidence: DataFrame, analyzer: Callable[..., dict] | None, config: dict | None = None, cache: DataFrame | None = None) -> DataFrame:
     """vision_status of each asset, and the analyzer's description where the evidence is generic.
 
@@ -31,12 +50,7 @@ def with_vision(evidence: DataFrame, analyzer: Callable[..., dict] | None, confi
     if analyzer is None:
         return evidence.withColumn("vision_status", F.when(needed, "needed").otherwise("not-needed"))
     config = config or {}
-    key = S.cache_key(F.col("sha256"), F.lit(config.get("model", "")), F.lit("1"))
-    asked = evidence.where(needed).select("asset_path", "caption", key.alias("cache_key"))
-    if cache is not None:
-        asked = asked.join(cache, "cache_key", "left")
-    else:
-        asked = asked.withColumn("response", F.lit(None).cast("struct<description:string,keywords:array<string>,confidence:double>"))
+    asked = _asked(evidence, config, cache)
     known = asked.where("response is not null").select("asset_path", "response.description", "response.confidence")
 
     def ask(batches):
@@ -44,8 +58,7 @@ def with_vision(evidence: DataFrame, analyzer: Callable[..., dict] | None, confi
             rows = []
             for path, caption in zip(pdf["asset_path"], pdf["caption"], strict=True):
                 try:
-                    got = analyzer(path, {"caption": caption}, config)
-                    rows.append((path, str(got["description"]), float(got["confidence"])))
+                    rows.append((path, *response_fields(analyzer(path, {"caption": caption}, config))))
                 except Exception:  # a failing analyzer must not stop the plan
                     rows.append((path, None, None))
             yield pd.DataFrame(rows, columns=["asset_path", "description", "confidence"])
@@ -69,8 +82,10 @@ def propose_names(evidence: DataFrame) -> DataFrame:
     return named.withColumn("new_path", F.when(folder == "", name).otherwise(F.concat_ws("/", folder, name)))
 
 
-def create_plan(spark: SparkSession, root: str, analyzer: Callable[..., dict] | None = None, config: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(plan, warnings, summary) of the corpus under root, which is only read."""
+def create_plan(spark: SparkSession, root: str, analyzer: Callable[..., dict] | None = None, config: dict | None = None, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(plan, warnings, summary) of the corpus under root, which is only read.
+
+    cache (cache_key, response) holds earlier responses of the analyzer, which is asked for the rest only."""
     documents, assets = corpus.markdown_files(spark, root), corpus.assets(spark, root)
     references = resolve(scan_markdown(documents))
     edges, records, warnings = build_graph(references, assets)
@@ -83,17 +98,21 @@ def create_plan(spark: SparkSession, root: str, analyzer: Callable[..., dict] |
             raise
         extracted = spark.createDataFrame([], "path string, caption string, visual_type string, page_idx int, bbox array<double>, source string")
     evidence = choose_evidence(contexts, extracted).join(records, "asset_path")
-    named = propose_names(with_vision(evidence, analyzer, config))
+    named = propose_names(with_vision(evidence, analyzer, config, cache))
     plan = named.select(F.col("asset_path").alias("old_path"), "new_path", "sha256", "reason", "references", "vision_status").orderBy("old_path")
-    return plan, warnings, run_summary(documents, references, records, warnings)
+    return plan, warnings, run_summary(documents, references, records, warnings, _asked(evidence, config or {}, cache), analyzer is not None)
 
 
-def save_plan(plan: DataFrame, summary: DataFrame, folder: str) -> tuple[str, str]:
-    return corpus.write_plan([r.asDict(recursive=True) for r in plan.collect()], summary.first().asDict(), folder)
+def save_plan(plan: DataFrame, summary: DataFrame, folder: str, documents: DataFrame | None = None) -> tuple[str, str]:
+    """Write the plan; documents (path, sha256) are recorded, so that applying finds any that changed."""
+    known = None if documents is None else [r.asDict() for r in documents.orderBy("path").collect()]
+    return corpus.write_plan([r.asDict(recursive=True) for r in plan.collect()], summary.first().asDict(), folder, known)
 
 
 def preflight(spark: SparkSession, root: str, plan: dict) -> list[str]:
-    """What stands against applying the plan: changed sources, collisions, occupied targets, overlaps."""
+    """What stands against applying the plan: changed sources, collisions, occupied targets, overlaps.
+
+    Where the plan records documents, one changed, gone or added since is an error too."""
     rows = plan["assets"]
     if not rows:
         return []
@@ -101,6 +120,10 @@ def preflight(spark: SparkSession, root: str, plan: dict) -> list[str]:
     now = corpus.assets(spark, root)
     changed = df.alias("p").join(now.alias("n"), F.col("p.old_path") == F.col("n.path"), "left").where(~F.col("n.sha256").eqNullSafe(F.col("p.sha256")))
     errors = [f"source hash changed: {r['old_path']}" for r in changed.select("old_path").collect()]
+    if plan.get("documents") is not None:
+        was = spark.createDataFrame([(d["path"], d["sha256"]) for d in plan["documents"]], "path string, was string")
+        for r in was.join(corpus.document_hashes(spark, root), "path", "full_outer").where(~F.col("was").eqNullSafe(F.col("sha256"))).collect():
+            errors.append(f"document added: {r['path']}" if r["was"] is None else f"source hash changed: {r['path']}")
     errors += [f"target collision: {r['target']}" for r in target_collisions(df).collect()]
     taken = df.where("old_path <> new_path").alias("p").join(now.alias("n"), (F.col("p.new_path") == F.col("n.path")) & (F.col("p.sha256") != F.col("n.sha256")))
     errors += [f"target occupied: {r['new_path']}" for r in taken.select("new_path").collect()]
@@ -131,7 +154,7 @@ def apply_plan(spark: SparkSession, root: str, plan_path: str, target: str, fail
         raise ValueError("; ".join(errors))
     target_dir = Path(target)
     stage = target_dir.with_name(S.staging_name(target_dir.name, "1"))
-    journal = {"schema": 1, "state": "rolled-back", "operations": []}
+    journal = {"schema": 1, "state": "staging", "operations": []}
 
     def reached(name: str) -> None:
         if fail_after == name:
@@ -139,7 +162,9 @@ def apply_plan(spark: SparkSession, root: str, plan_path: str, target: str, fail
 
     def log(kind: str, source: str, to: str) -> None:
         journal["operations"].append({"seq": len(journal["operations"]), "kind": kind, "source": source, "target": to, "status": "done"})
+        corpus.write_json(f"{target}.journal.json", journal)
 
+    corpus.write_json(f"{target}.journal.json", journal)
     try:
         shutil.copytree(root, stage, ignore=lambda d, names: [n for n in names if n in corpus.CACHE_DIRECTORIES])
         reached("staged")
@@ -164,7 +189,10 @@ def apply_plan(spark: SparkSession, root: str, plan_path: str, target: str, fail
     finally:
         if journal["state"] != "committed":
             shutil.rmtree(stage, ignore_errors=True)
-        Path(f"{target}.journal.json").write_text(json.dumps(journal, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+            journal["state"] = "rolled-back"
+            if stage.exists():
+                journal.update(state="rollback-incomplete", left=str(stage))
+        corpus.write_json(f"{target}.journal.json", journal)
     return f"{target}.journal.json"
 
 
@@ -175,6 +203,8 @@ def _rescan(spark: SparkSession, root: str, plan: dict) -> list[str]:
     errors = [f"asset missing or changed: {r['path']}" for r in want.join(have, ["path", "sha256"], "left_anti").collect()]
     errors += [f"asset not referenced: {r['path']}" for r in want.join(refs, want["path"] == refs["asset_path"], "left_anti").collect()]
     old = spark.createDataFrame([(a["old_path"],) for a in plan["assets"] if a["old_path"] != a["new_path"]], "path string")
+    planned = want.select("path")
+    errors += [f"reference not in plan: {r['path']}" for r in refs.withColumnRenamed("asset_path", "path").join(have, "path", "left_semi").join(planned, "path", "left_anti").collect()]
     errors += [f"old name still referenced: {r['path']}" for r in old.join(refs, old["path"] == refs["asset_path"], "left_semi").collect()]
     return sorted(errors)
 
@@ -184,13 +214,23 @@ def validate_plan(spark: SparkSession, root: str, plan_path: str) -> list[str]:
 
 
 def rollback(journal_path: str) -> list[str]:
-    """Drop the version that the journal committed; what could not be undone is returned."""
+    """Drop the version that the journal committed, or what a stopped run staged; what could not be
+    undone is returned."""
     journal = json.loads(Path(journal_path).read_text(encoding="utf-8"))
     target = Path(journal_path.removesuffix(".journal.json"))
-    if journal["state"] == "committed":
+    if journal["state"] == "rolled-back":
+        return []
+    if journal["state"] in ("staging", "committed"):
+        # noted before anything is dropped, so that a second try drops the same
+        journal["left"] = str(target.with_name(S.staging_name(target.name, "1")) if journal["state"] == "staging" else target)
         journal["state"] = "rolling-back"
-        shutil.rmtree(target, ignore_errors=True)
-        journal["state"] = "rollback-incomplete" if target.exists() else "rolled-back"
         journal["operations"].reverse()
-        Path(journal_path).write_text(json.dumps(journal, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
-    return [str(target)] if journal["state"] == "rollback-incomplete" else []
+        corpus.write_json(journal_path, journal)
+    shutil.rmtree(journal["left"], ignore_errors=True)
+    if Path(journal["left"]).exists():
+        journal["state"] = "rollback-incomplete"
+    else:
+        journal["state"] = "rolled-back"
+        del journal["left"]
+    corpus.write_json(journal_path, journal)
+    return [journal["left"]] if "left" in journal else []

@@ -94,11 +94,29 @@ def metadata(spark: SparkSession, root: str) -> DataFrame:
     return rows.where("path is not null")
 
 
-def write_plan(plan: list[dict], summary: dict, folder: str) -> tuple[str, str]:
-    """The plan as canonical JSON and as CSV with a byte order mark; nothing in them varies by run."""
+def document_hashes(spark: SparkSession, root: str) -> DataFrame:
+    return read_files(spark, root, "*.md").select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def holding(files: DataFrame, secret: str) -> DataFrame:
+    """Files that hold the secret's bytes anywhere; none should."""
+    return files.where(F.contains("content", F.lit(secret.encode()))).select("path")
+
+
+def write_json(path: str, value: dict) -> None:
+    """Replace the file in one step, so that a reader finds the old or the new state, never a part."""
+    Path(f"{path}.tmp").write_text(json.dumps(value, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+    os.replace(f"{path}.tmp", path)
+
+
+def write_plan(plan: list[dict], summary: dict, folder: str, documents: list[dict] | None = None) -> tuple[str, str]:
+    """The plan as canonical JSON and as CSV with a byte order mark; nothing in them varies by run.
+
+    With documents (path, sha256) given, their hashes are recorded for the preflight."""
     target = Path(folder)
     target.mkdir(parents=True, exist_ok=True)
-    body = json.dumps({"schema": PLAN_SCHEMA, "summary": summary, "assets": plan}, ensure_ascii=False, indent=2, sort_keys=True) + "\n"
+    known = {} if documents is None else {"documents": documents}
+    body = json.dumps({"schema": PLAN_SCHEMA, "summary": summary, "assets": plan, **known}, ensure_ascii=False, indent=2, sort_keys=True) + "\n"
     (target / "plan.json").write_bytes(body.encode())
     flat = ("old_path", "new_path", "sha256", "reason", "vision_status")
     with open(target / "plan.csv", "w", encoding="utf-8-sig", newline="") as f:

@@ -85,7 +85,7 @@ def test_graph_and_plan(spark, tree, tmp_path):
         saved.append((open(path, "rb").read(), open(table, "rb").read()))
     assert saved[0] == saved[1] and saved[0][1].startswith(b"\xef\xbb\xbf")
     got = json.loads(saved[0][0])
-    assert got["schema"] == 1 and got["summary"] == {"documents": 2, "unique_references": 2, "eligible": 1, "missing": 1, "unreferenced": 1, "warnings": 2}
+    assert got["schema"] == 1 and got["summary"] == {"documents": 2, "unique_references": 2, "eligible": 1, "missing": 1, "unreferenced": 1, "vision_needed": 0, "vision_calls": 0, "warnings": 2}
     assert before == {p: p.read_bytes() for p in tree.rglob("*") if p.is_file()}
 
     journal = P.apply_plan(spark, str(tree), path, str(tmp_path / "new"))
@@ -176,3 +176,81 @@ def test_command_line(spark, tmp_path, capsys):
     (root / "images" / "x.png").write_bytes(b"other")
     assert cli.main(["apply", str(root), plan, str(tmp_path / "new")], spark) == 2
     assert "source hash changed" in capsys.readouterr().err and not (tmp_path / "new").exists()
+
+
+def test_documents_since_planning(spark, tree, tmp_path):
+    plan, _, summary = P.create_plan(spark, str(tree))
+    path, _ = P.save_plan(plan, summary, str(tmp_path / "plan"), corpus.document_hashes(spark, str(tree)))
+    saved = corpus.read_plan(path)
+    assert P.preflight(spark, str(tree), saved) == []
+    before = (tree / "a.md").read_bytes()
+    (tree / "a.md").write_bytes(before + b"more")
+    (tree / "c.md").write_text("new")
+    (tree / "sub/b.md").unlink()
+    assert P.preflight(spark, str(tree), saved) == ["document added: c.md", "source hash changed: a.md", "source hash changed: sub/b.md"]
+
+
+def test_journal_of_a_stopped_run(spark, tree, tmp_path):
+    plan, _, summary = P.create_plan(spark, str(tree))
+    path, _ = P.save_plan(plan, summary, str(tmp_path / "plan"))
+    with pytest.raises(RuntimeError):
+        P.apply_plan(spark, str(tree), path, str(tmp_path / "no"), fail_after="documents")
+    journal = json.loads((tmp_path / "no.journal.json").read_text())
+    assert journal["state"] == "rolled-back" and [o["kind"] for o in journal["operations"]] == ["rename", "replace", "replace"]
+    # a run that ended without its cleanup
+    stage = tmp_path / S.staging_name("no", "1")
+    stage.mkdir()
+    corpus.write_json(str(tmp_path / "no.journal.json"), {**journal, "state": "staging"})
+    assert P.rollback(str(tmp_path / "no.journal.json")) == [] and not stage.exists()
+
+
+def test_reference_not_in_plan(spark, tree, tmp_path):
+    plan, _, summary = P.create_plan(spark, str(tree))
+    path, _ = P.save_plan(plan, summary, str(tmp_path / "plan"))
+    P.apply_plan(spark, str(tree), path, str(tmp_path / "new"))
+    (tmp_path / "new/c.md").write_text("![](images/loose.png) ![](images/nowhere.png)")
+    assert P.validate_plan(spark, str(tmp_path / "new"), path) == ["reference not in plan: images/loose.png"]
+
+
+def test_vision_cache_and_counts(spark, tmp_path):
+    write(tmp_path, {"a.md": "![](x.png) ![](y.png) ![A blue pump on a wall](z.png)\n", "x.png": b"x", "y.png": b"y", "z.png": b"z"})
+
+    def analyzer(path, context, config):
+        return {"description": "green valve", "keywords": [], "confidence": 0.9}
+
+    key = hashlib.sha256(hashlib.sha256(b"x").hexdigest().encode() + b"\0\x001").hexdigest()
+    cache = spark.createDataFrame([(key, ("red motor", ["k"], 0.9))], "cache_key string, response struct<description:string,keywords:array<string>,confidence:double>")
+    for cached, calls, first in ((None, 2, "green-valve"), (cache, 1, "red-motor")):
+        plan, _, summary = P.create_plan(spark, str(tmp_path), analyzer, None, cached)
+        got = {r["old_path"]: r["new_path"] for r in plan.collect()}
+        assert first in got["x.png"] and "green-valve" in got["y.png"]
+        assert (summary.first()["vision_needed"], summary.first()["vision_calls"]) == (2, calls)
+    summary = P.create_plan(spark, str(tmp_path))[2].first()
+    assert (summary["vision_needed"], summary["vision_calls"]) == (2, 0)
+
+
+@pytest.mark.parametrize("got", [{}, {"description": 1, "keywords": [], "confidence": 0.5}, {"description": "a", "keywords": "a", "confidence": 0.5}, {"description": "a", "keywords": [1], "confidence": 0.5}, {"description": "a", "keywords": [], "confidence": True}, {"description": "a", "keywords": [], "confidence": 2}])
+def test_response_shape(got):
+    with pytest.raises(ValueError):
+        P.response_fields(got)
+
+
+def test_no_secret_in_artifacts(spark, tree, tmp_path, capsys, monkeypatch):
+    from marlstone import cli
+
+    secret = "SENTINEL-not-to-be-written"
+    monkeypatch.setenv("VISION_API_KEY", secret)
+    assert cli.main(["check-vision", "--json"], spark) == 0
+    assert cli.main(["plan", str(tree), str(tmp_path / "out"), "--json"], spark) == 0
+    shown = capsys.readouterr()
+    assert secret not in shown.out + shown.err
+    assert corpus.holding(corpus.read_files(spark, str(tmp_path / "out")), secret).count() == 0
+    write(tmp_path, {"out/leak.txt": f"x {secret} y"})
+    assert [r["path"] for r in corpus.holding(corpus.read_files(spark, str(tmp_path / "out")), secret).collect()] == ["leak.txt"]
+
+
+def test_projects_without_copy(spark):
+    upstream = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "project string")
+    copies = spark.createDataFrame([("a",), ("other-b",)], "name string")
+    names = spark.createDataFrame([("b", "other-b"), ("c", "lost")], "project string, name string")
+    assert sorted(r[0] for r in graph.without_copy(upstream, copies, names).collect()) == ["c", "d"]
