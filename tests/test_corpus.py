@@ -254,3 +254,17 @@ def test_projects_without_copy(spark):
     copies = spark.createDataFrame([("a",), ("other-b",)], "name string")
     names = spark.createDataFrame([("b", "other-b"), ("c", "lost")], "project string, name string")
     assert sorted(r[0] for r in graph.without_copy(upstream, copies, names).collect()) == ["c", "d"]
+
+
+def test_rollback_can_be_tried_again(tmp_path, monkeypatch):
+    journal, target = str(tmp_path / "new.journal.json"), tmp_path / "new"
+    for state, left in (("committed", target), ("staging", tmp_path / S.staging_name("new", "1"))):
+        left.mkdir()
+        corpus.write_json(journal, {"schema": 1, "state": state, "operations": [{"seq": 0}, {"seq": 1}]})
+        with monkeypatch.context() as m:
+            m.setattr(P.shutil, "rmtree", lambda *a, **k: None)
+            assert P.rollback(journal) == [str(left)]
+        assert json.loads(open(journal).read())["state"] == "rollback-incomplete"
+        assert P.rollback(journal) == [] and not left.exists()
+        got = json.loads(open(journal).read())
+        assert got["state"] == "rolled-back" and [o["seq"] for o in got["operations"]] == [1, 0]
