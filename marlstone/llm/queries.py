@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, neighbours, oracle, pieces, pii, quality, repeats, sharding, toolcalls, warc
+from . import audit, jaccard, media, mixing, negatives, neighbours, oracle, pieces, pii, quality, repeats, sharding, toolcalls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,6 +55,22 @@ def op10_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_private(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_quality_rules, op3_cross_polytope, op4_minimax_shards, op5_repeat_removal, op6_warc_dictionary, op7_sampled_pieces, op8_tool_links, op9_jaccard_join, op10_private_spans)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = media.fingerprint_documents(_read(spark, sf_dir, "documents"))
+    listed = F.concat_ws(";", *[F.array_join(c, ",") for c in ("times", "codes")])
+    feature = F.concat_ws(":", "frames", "peaks", F.size("times"), F.md5(listed))
+    return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_negatives(_read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, label=label)
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_quality_rules, op3_cross_polytope, op4_minimax_shards, op5_repeat_removal, op6_warc_dictionary, op7_sampled_pieces, op8_tool_links, op9_jaccard_join, op10_private_spans, op11_filter_audit, op12_wav_fingerprints, op13_hard_negatives)}
 
 ORACLE_SQL = oracle.ORACLE_SQL
