@@ -143,18 +143,21 @@ def _count_block(rows: pa.Table):
         yield pa.RecordBatch.from_arrays([names.take(pa.array(at[some])), step, *[pa.array(flat[some, j]) for j in range(len(COUNTS))]], ["part", "at", *COUNTS])
 
 
-def _count(batches):
-    held, n = [], 0
-    for batch in batches:
-        held, n = [*held, batch], n + batch.num_rows
-        if n >= BLOCK_ROWS:
+def _count(block_rows: int):
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n >= block_rows:
+                yield from _count_block(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
             yield from _count_block(pa.Table.from_batches(held))
-            held, n = [], 0
-    if n:
-        yield from _count_block(pa.Table.from_batches(held))
+
+    return run
 
 
-def audit_filters(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", part: str = "lang") -> DataFrame:
+def audit_filters(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", part: str = "lang", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """What each filter removes at each step of each order of the five, by part: part, filter_order,
     step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley.
 
@@ -170,7 +173,7 @@ def audit_filters(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
     rows, zeros included; an empty table gives none. Other columns are ignored, whatever their names."""
     tables = Tables(docs.sparkSession, "audit")
     rows = with_labels(failures(docs, tables, text, doc_id, part), labels, doc_id).select("part", "bits")
-    counted = rows.mapInArrow(_count, f"part string, at int, {', '.join(f'{c} long' for c in COUNTS)}")
+    counted = rows.mapInArrow(_count(block_rows), f"part string, at int, {', '.join(f'{c} long' for c in COUNTS)}")
     counts = tables.save(counted.groupBy("part", "at").agg(*[F.sum(c).alias(c) for c in COUNTS]), "counts")
     n = len(FILTERS)
     place = {step: i for i, step in enumerate(STEPS)}

@@ -55,7 +55,7 @@ def read_wav(media: bytes) -> bytes:
 
 
 def _power(samples: np.ndarray, first: int, last: int) -> np.ndarray:
-    """Power spectra of the frames first to last - 1, each without its mean; frames past the end hold its mean."""
+    """Power spectra of the frames first to last - 1, each without its mean."""
     part = samples[first * HOP : (last - 1) * HOP + FRAME]
     frames = sliding_window_view(part, FRAME)[::HOP].astype(np.float64)
     z = np.fft.rfft((frames - frames.mean(axis=1, keepdims=True)) * _WINDOW, axis=1)
@@ -69,12 +69,12 @@ def n_frames(n_samples: int) -> int:
 def spectral_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(frame, bin) of the peaks of the short-time Fourier transform, in that order.
 
-    Samples of bytes; the last frame is filled up with 128. Powers are compared as whole numbers
+    Samples of bytes; the last frame is filled up with the last sample. Powers are compared as whole numbers
     scaled by a frame's own mean, so silence has no peaks. BLOCK frames are transformed at a time,
     with one more on both sides, so the peaks are those of the whole."""
     total = n_frames(len(samples))
     room = (total - 1) * HOP + FRAME
-    samples = np.concatenate((samples, np.full(room - len(samples), 128, dtype=np.uint8))) if room > len(samples) else samples
+    samples = np.concatenate((samples, np.full(room - len(samples), samples[-1]))) if room > len(samples) else samples
     frames, bins = [], []
     for a in range(0, total, BLOCK):
         b = min(total, a + BLOCK)

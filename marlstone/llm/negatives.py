@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,12 +82,13 @@ def _columns(run: pa.Table, dim: int) -> list[pa.Array]:
     return [pa.array([dim], pa.int32()), pa.array([float(run.column("norm").to_numpy().max())]), raw(ids), raw(marks), raw(labels), pa.array([width], pa.int32()), pa.array([vectors], pa.binary())]
 
 
-def _bucketed(batches):
-    from pyspark import TaskContext
+def _bucketed(size: int):
+    def run(batches):
+        part = pa.array([TaskContext.get().partitionId()], pa.int32())
+        for dim, rows in _cut(batches, size):
+            yield pa.RecordBatch.from_arrays([part, *_columns(rows, dim)], [c.split()[0] for c in _BUCKETS.split(", ")])
 
-    part = pa.array([TaskContext.get().partitionId()], pa.int32())
-    for dim, run in _cut(batches, BUCKET):
-        yield pa.RecordBatch.from_arrays([part, *_columns(run, dim)], [c.split()[0] for c in _BUCKETS.split(", ")])
+    return run
 
 
 _WINDOWS = "of array<int>, name array<int>, low array<long>, high array<long>, kth array<long>, same boolean, reach double"
@@ -100,12 +102,12 @@ def reach_of(norm: np.ndarray, limit: np.ndarray) -> np.ndarray:
     return np.where(need <= 0, -np.inf, np.where(norm > 0, out, np.inf))
 
 
-def _blocks(same: bool):
+def _blocks(same: bool, size: int):
     """Anchors sorted by dim and norm, each with its windows -> blocks of them."""
 
     def run(batches):
         names = [c.split()[0] for c in _ROWS.split(", ")] + [c.split()[0] for c in _WINDOWS.split(", ")]
-        for dim, rows in _cut(batches, BLOCK):
+        for dim, rows in _cut(batches, size):
             windows = rows.column("windows").combine_chunks()
             of = np.repeat(np.arange(len(rows)), np.diff(np.asarray(windows.offsets)))
             w = windows.flatten()
@@ -215,35 +217,36 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _searched(anchors: DataFrame, buckets: DataFrame, tables: Tables, same: bool, k: int, spread: int, name: str) -> DataFrame:
+def _place() -> Column:
+    return F.struct("top", "part", F.xxhash64("ids", "marks").alias("mark"))
+
+
+def _searched(anchors: DataFrame, buckets: DataFrame, first: DataFrame, parts: DataFrame, tables: Tables, same: bool, k: int, block: int, name: str) -> DataFrame:
     """The k best rows of each window of anchors (vec_id, mark, label, vec, dim, norm, windows), a table.
+    first holds the place of the bucket of the largest norms of each dim, parts the largest norm of each part.
 
     The bucket of the largest norms of each dim is met first; what it gives is the running kth score
     that prunes the blocks' way through all other buckets."""
 
     def blocks(rows: DataFrame) -> DataFrame:
         dealt = rows.select("vec_id", "mark", "label", "vec", "dim", "norm", "windows").repartitionByRange("dim", F.desc("norm"), "vec_id")
-        return dealt.sortWithinPartitions("dim", F.desc("norm"), "vec_id").mapInArrow(_blocks(same), f"{_ROWS}, {_WINDOWS}")
+        return dealt.sortWithinPartitions("dim", F.desc("norm"), "vec_id").mapInArrow(_blocks(same, block), f"{_ROWS}, {_WINDOWS}")
 
-    place = F.struct("top", "part", F.xxhash64("ids", "marks").alias("mark"))
-    marked = buckets.withColumn("place", place)
-    # one row for each dim, and for each dim of a part
-    first = tables.save(buckets.groupBy("dim").agg(F.max(place).alias("place")), f"{name}-first")
-    parts = tables.save(buckets.groupBy("part", "dim").agg(F.max("top").alias("part_top")), f"{name}-parts")
+    marked = buckets.withColumn("place", _place())
     at_first = marked.join(F.broadcast(first), ["dim", "place"], "left_semi").drop("place")
     others = marked.join(F.broadcast(first), ["dim", "place"], "left_anti").drop("place")
     seeds = first.select("dim", "place.part", F.col("place.top").alias("part_top"))
-    found = tables.save(_best(_search(blocks(anchors), at_first, seeds, k, SEED_TASKS * spread), k), f"{name}-seeds")
+    found = tables.save(_best(_search(blocks(anchors), at_first, seeds, k, PART_TASKS * SEED_TASKS), k), f"{name}-seeds")
     kth = found.where(F.col("rank") == k).groupBy(F.col("anchor_id").alias("vec_id"), F.col("anchor_mark").alias("mark"))
     kth = kth.agg(F.map_from_entries(F.collect_list(F.struct("window", "score"))).alias("got"))
     score = F.coalesce(F.transform("windows", lambda w: F.try_element_at("got", w["name"])), F.transform("windows", lambda w: F.lit(None).cast("long")))
     raised = anchors.join(kth, ["vec_id", "mark"], "left").withColumn("windows", F.zip_with("windows", score, lambda w, s: w.withField("kth", F.coalesce(s, w["kth"])))).drop("got")
     raised = tables.save(raised, f"{name}-raised")
-    more = _search(blocks(raised), others, parts, k, spread)
+    more = _search(blocks(raised), others, parts, k, PART_TASKS)
     return tables.save(_best(found.drop("rank").unionByName(more), k), name)
 
 
-def mine_negatives(rows: DataFrame, anchor, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding", label: Column | str = "label") -> DataFrame:
+def mine_negatives(rows: DataFrame, anchor, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding", label: Column | str = "label", bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """Hard negatives: anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
 
     A row's score is the inner product, exactly, of the floors of scale times the components of its
@@ -268,18 +271,21 @@ def mine_negatives(rows: DataFrame, anchor, positives: int = 5, negatives: int =
     base = tables.save(whole_vectors(rows, vec_id, embedding, label, scale), "whole")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ("dim", F.desc("norm"), "vec_id")
-    buckets = base.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_bucketed, _BUCKETS)
+    buckets = base.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_bucketed(bucket), _BUCKETS)
     buckets = tables.save(buckets, "buckets")
+    # one row for each dim, and for each dim of a part
+    first = tables.save(buckets.groupBy("dim").agg(F.max(_place()).alias("place")), "first")
+    parts = tables.save(buckets.groupBy("part", "dim").agg(F.max("top").alias("part_top")), "parts")
     window = lambda name, lo, hi: F.struct(name.cast("int").alias("name"), lo.cast("long").alias("low"), hi.cast("long").alias("high"), F.lit(_LOW).cast("long").alias("kth"))
     anchors = base.where(anchor(F.col("vec_id")))
-    alike = _searched(anchors.withColumn("windows", F.array(window(F.lit(1), F.lit(_LOW), F.lit(_HIGH)))), buckets, tables, True, positives, PART_TASKS, "positives")
+    alike = _searched(anchors.withColumn("windows", F.array(window(F.lit(1), F.lit(_LOW), F.lit(_HIGH)))), buckets, first, parts, tables, True, positives, block, "positives")
     alike = alike.select("anchor_id", "anchor_mark", F.col("rank").alias("window"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
     # percent * score / 100, rounded inwards, in whole numbers
     part = lambda percent, rounded: F.expr(f"{percent} * (positive_score div 100)") + rounded(F.expr(f"{percent} * (positive_score % 100)") / 100.0)
     windows = alike.withColumns({"lo": part(low, F.ceil), "hi": part(high, F.floor)}).where("lo <= hi")
     windows = windows.groupBy(F.col("anchor_id").alias("vec_id"), F.col("anchor_mark").alias("mark")).agg(F.array_sort(F.collect_list(window(F.col("window"), F.col("lo"), F.col("hi")))).alias("windows"))
     asked = tables.save(anchors.join(windows, ["vec_id", "mark"]), "asked")
-    unlike = _searched(asked, buckets, tables, False, negatives, PART_TASKS, "negatives")
+    unlike = _searched(asked, buckets, first, parts, tables, False, negatives, block, "negatives")
     out = unlike.select("anchor_id", "anchor_mark", "window", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
     out = out.join(alike, ["anchor_id", "anchor_mark", "window"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
     return tables.keep(out, "mined")

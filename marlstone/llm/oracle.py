@@ -115,4 +115,65 @@ SELECT conv_id, call_id, level,
              ELSE json_object('arguments', json_object(), 'id', call_id, 'name', NULL, 'result', content) END AS VARCHAR)) AS json_md5
 FROM l"""
 
-ORACLE_SQL = {"op2_quality_rules": QUALITY, "op6_warc_dictionary": RECORDS, "op8_tool_links": TOOL_LINKS, "op9_jaccard_join": JACCARD}
+AUDIT = rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_words("coalesce(text, '')")} AS w FROM documents
+),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CAST(len(w) < 100 AS INT)
+    + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INT)
+    + 4 * CAST(100 * ({_matches("[A-Z]")}) > 10 * length(t) AS INT)
+    + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+    + 16 * CAST(coalesce(min(w.doc_id) OVER (PARTITION BY t) < w.doc_id, FALSE) AS INT) AS mask
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id
+),
+g AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+b AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM b AS a, b, b AS c, b AS d, b AS e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31
+),
+s AS (
+  SELECT filter_order, CAST(step AS INT) AS step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INT) AS before
+  FROM o, generate_series(1, 5) AS x(step)
+),
+r AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+  FROM g, s GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+"""
+
+NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS s
+  FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE a.vec_id % 100 = 0
+),
+p AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s WHERE same QUALIFY r <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS INT) AS rank,
+  s.b AS negative_id, p.s AS positive_score, s.s AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.s <= 100 * s.s AND 100 * s.s <= 90 * p.s
+QUALIFY rank <= 10
+"""
+
+ORACLE_SQL = {"op2_quality_rules": QUALITY, "op6_warc_dictionary": RECORDS, "op8_tool_links": TOOL_LINKS, "op9_jaccard_join": JACCARD, "op11_filter_audit": AUDIT, "op13_hard_negatives": NEGATIVES}
