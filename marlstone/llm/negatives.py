@@ -91,7 +91,7 @@ def _bucketed(size: int):
     return run
 
 
-_WINDOWS = "of array<int>, name array<int>, low array<long>, high array<long>, kth array<long>, same boolean, reach double"
+_WINDOWS = "of array<int>, name array<int>, low array<long>, high array<long>, kth array<long>, kth_id array<long>, same boolean, reach double"
 
 
 def reach_of(norm: np.ndarray, limit: np.ndarray) -> np.ndarray:
@@ -111,9 +111,9 @@ def _blocks(same: bool, size: int):
             windows = rows.column("windows").combine_chunks()
             of = np.repeat(np.arange(len(rows)), np.diff(np.asarray(windows.offsets)))
             w = windows.flatten()
-            name, low, high, kth = (np.asarray(w.field(f)) for f in ("name", "low", "high", "kth"))
+            name, low, high, kth, kth_id = (np.asarray(w.field(f)) for f in ("name", "low", "high", "kth", "kth_id"))
             reach = reach_of(rows.column("norm").to_numpy()[of], np.maximum(low, kth)).min(initial=np.inf)
-            lists = [pa.array([x.tolist()], pa.list_(t)) for x, t in ((of, pa.int32()), (name, pa.int32()), (low, pa.int64()), (high, pa.int64()), (kth, pa.int64()))]
+            lists = [pa.array([x.tolist()], pa.list_(t)) for x, t in ((of, pa.int32()), (name, pa.int32()), (low, pa.int64()), (high, pa.int64()), (kth, pa.int64()), (kth_id, pa.int64()))]
             yield pa.RecordBatch.from_arrays([*_columns(rows, dim), *lists, pa.array([same]), pa.array([float(reach)])], names)
 
     return run
@@ -143,9 +143,9 @@ class Block:
         self.vectors = unpack(row["width"], row["vectors"], self.dim, len(self.ids))
         with np.errstate(over="ignore"):
             self.norm = np.sqrt((self.vectors**2).sum(axis=1))
-        self.of, self.name, self.low, self.high = (np.array(row[c], dtype=np.int64) for c in ("of", "name", "low", "high"))
-        # what another round has found: a row must reach it, but it is not among the rows found here
-        self.floor = np.maximum(self.low, np.array(row["kth"], dtype=np.int64))
+        self.of, self.name, low, self.high, kth, kth_id = (np.array(row[c], dtype=np.int64) for c in ("of", "name", "low", "high", "kth", "kth_id"))
+        # a row must score more than the floor, or as much with an id up to floor_id; another round may have raised it
+        self.floor, self.floor_id = np.maximum(low, kth), np.where(kth >= low, kth_id, _HIGH)
         self.best = [(np.zeros(0, np.int64),) * 3 for _ in self.of]
 
     def meet(self, row: dict) -> None:
@@ -159,7 +159,8 @@ class Block:
         scores = products(self.vectors[anchors], vectors)
         for w, i in zip(open_.tolist(), line.tolist(), strict=True):
             a, score = self.of[w], scores[i]
-            fit = (score >= self.floor[w]) & (score <= self.high[w])
+            fit = (score > self.floor[w]) | ((score == self.floor[w]) & (ids <= self.floor_id[w]))
+            fit &= score <= self.high[w]
             fit &= (labels == self.labels[a]) & (ids != self.ids[a]) if self.same else labels != self.labels[a]
             at = np.flatnonzero(fit)
             if not len(at):
@@ -171,7 +172,8 @@ class Block:
                 near = near[np.lexsort((m[near], v[near], -s[near]))[: self.k]]
                 s, v, m = s[near], v[near], m[near]
             if len(s) == self.k:
-                self.floor[w] = max(self.floor[w], s.min())
+                last = np.lexsort((-v, s))[0]
+                self.floor[w], self.floor_id[w] = s[last], v[last]
             self.best[w] = s, v, m
 
     def found(self) -> pa.RecordBatch:
@@ -237,10 +239,12 @@ def _searched(anchors: DataFrame, buckets: DataFrame, first: DataFrame, parts: D
     others = marked.join(F.broadcast(first), ["dim", "place"], "left_anti").drop("place")
     seeds = first.select("dim", "place.part", F.col("place.top").alias("part_top"))
     found = tables.save(_best(_search(blocks(anchors), at_first, seeds, k, PART_TASKS * SEED_TASKS), k), f"{name}-seeds")
-    kth = found.where(F.col("rank") == k).groupBy(F.col("anchor_id").alias("vec_id"), F.col("anchor_mark").alias("mark"))
-    kth = kth.agg(F.map_from_entries(F.collect_list(F.struct("window", "score"))).alias("got"))
-    score = F.coalesce(F.transform("windows", lambda w: F.try_element_at("got", w["name"])), F.transform("windows", lambda w: F.lit(None).cast("long")))
-    raised = anchors.join(kth, ["vec_id", "mark"], "left").withColumn("windows", F.zip_with("windows", score, lambda w, s: w.withField("kth", F.coalesce(s, w["kth"])))).drop("got")
+    kth = found.where(F.col("rank") == k).select(F.col("anchor_id").alias("a"), F.col("anchor_mark").alias("b"), "window", "score", "vec_id")
+    kth = kth.groupBy(F.col("a").alias("vec_id"), F.col("b").alias("mark")).agg(F.map_from_entries(F.collect_list(F.struct("window", F.struct("score", F.col("vec_id").alias("id"))))).alias("got"))
+    got = F.coalesce("got", F.create_map().cast("map<int,struct<score:bigint,id:bigint>>"))
+    raised = anchors.join(kth, ["vec_id", "mark"], "left").withColumn("got", got)
+    best = lambda w: F.try_element_at("got", w["name"])
+    raised = raised.withColumn("windows", F.transform("windows", lambda w: w.withField("kth_id", F.coalesce(best(w)["id"], w["kth_id"])).withField("kth", F.coalesce(best(w)["score"], w["kth"])))).drop("got")
     raised = tables.save(raised, f"{name}-raised")
     more = _search(blocks(raised), others, parts, k, PART_TASKS)
     return tables.save(_best(found.drop("rank").unionByName(more), k), name)
@@ -276,7 +280,7 @@ def mine_negatives(rows: DataFrame, anchor, positives: int = 5, negatives: int =
     # one row for each dim, and for each dim of a part
     first = tables.save(buckets.groupBy("dim").agg(F.max(_place()).alias("place")), "first")
     parts = tables.save(buckets.groupBy("part", "dim").agg(F.max("top").alias("part_top")), "parts")
-    window = lambda name, lo, hi: F.struct(name.cast("int").alias("name"), lo.cast("long").alias("low"), hi.cast("long").alias("high"), F.lit(_LOW).cast("long").alias("kth"))
+    window = lambda name, lo, hi: F.struct(name.cast("int").alias("name"), lo.cast("long").alias("low"), hi.cast("long").alias("high"), F.lit(_LOW).cast("long").alias("kth"), F.lit(_HIGH).cast("long").alias("kth_id"))
     anchors = base.where(anchor(F.col("vec_id")))
     alike = _searched(anchors.withColumn("windows", F.array(window(F.lit(1), F.lit(_LOW), F.lit(_HIGH)))), buckets, first, parts, tables, True, positives, block, "positives")
     alike = alike.select("anchor_id", "anchor_mark", F.col("rank").alias("window"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))

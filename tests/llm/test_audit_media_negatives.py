@@ -239,7 +239,7 @@ def test_buckets_out_of_reach_are_not_multiplied(spark, monkeypatch):
     whole = negatives.products
     monkeypatch.setattr(negatives, "products", lambda a, b: asked.append(len(b)) or whole(a, b))
     top, small = 4.0 * 256, 0.36 * 256
-    block = negatives.Block({"dim": 2, "same": False, "ids": np.array([0]).tobytes(), "marks": np.array([0]).tobytes(), "labels": np.array([0]).tobytes(), "width": 8, "vectors": np.array([1024.0, 0.0]).tobytes(), "of": [0], "name": [1], "low": [30 * 1024 * 1024 // 100], "high": [90 * 1024 * 1024 // 100], "kth": [-(1 << 63)]}, 10)
+    block = negatives.Block({"dim": 2, "same": False, "ids": np.array([0]).tobytes(), "marks": np.array([0]).tobytes(), "labels": np.array([0]).tobytes(), "width": 8, "vectors": np.array([1024.0, 0.0]).tobytes(), "of": [0], "name": [1], "low": [30 * 1024 * 1024 // 100], "high": [90 * 1024 * 1024 // 100], "kth": [-(1 << 63)], "kth_id": [(1 << 63) - 1]}, 10)
     bucket = lambda top: {"top": top, "ids": np.arange(8).tobytes(), "marks": np.zeros(8, np.int64).tobytes(), "labels": np.ones(8, np.int64).tobytes(), "width": 8, "vectors": np.full((8, 2), top / 2**0.5).tobytes()}
     block.meet(bucket(top))
     block.meet(bucket(small))
