@@ -14,15 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Tables, components, skew_join
+from .common import Tables, cleaning, components, skew_join
 from .hashing import byte_column, mix, pieces, prefix_sums, range_hashes
 
 #: Words in a shingle, and the similarity from which documents link, in hundredths.
 WORDS, PERCENT = 5, 80
-#: Shingles of COMMON sets or more come later in the global order, by the power of two of their number.
+#: Shingles of COMMON documents or more come later in the global order, by the power of two of their number.
 #: Levels are kept for 2 ** LEVEL_BITS classes of shingles, the largest of each, so that the table has
 #: this many bytes whatever the input; any such order gives the same links.
-COMMON, COUNTED, LEVEL_BITS = 64, 2, 22
+COMMON, LEVEL_BITS = 64, 22
+#: Shingles are counted in buckets of about so many, dealt by their first bits.
+COUNTED = 1 << 20
 #: Lists of more than LONG_LIST sets are skipped and probed where the overlap asked for allows.
 LONG_LIST = 64
 #: Sets searched in one index: at most BLOCK, and of about BLOCK_TOKENS shingles in all.
@@ -137,74 +139,110 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def _class(tok: Column) -> Column:
-    return tok.bitwiseAND(F.lit((1 << LEVEL_BITS) - 1)).cast("int").alias("class")
-
-
 def _flat(lists: list[np.ndarray]) -> pa.ListArray:
     at = np.cumsum([0, *map(len, lists)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)))
 
 
-def shingle_rows(docs: DataFrame, text: str, doc_id: str, percent: int, seed: int = 0) -> DataFrame:
-    """key (of the row), doc_id, n (shingles), sig and check (two hashes of the set) and prefix: the
-    set's first shingles by hash, so many that linked sets share one."""
+def shingle_rows(docs: DataFrame, text: str, doc_id: str, seed: int = 0) -> DataFrame:
+    """key (of the row), doc_id, n (shingles), sig and check (two hashes of the set)."""
 
     def rows(batch, sets):
-        prefix = [t[: _prefix_length(len(t), percent)] for t in sets]
         marks = [pa.array([_signature(t, 2 * seed + k) for t in sets], pa.int64()) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array([len(t) for t in sets], pa.int64()), *marks, _flat(prefix)], ["key", "doc_id", "n", "sig", "check", "prefix"])
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("doc_id"), pa.array([len(t) for t in sets], pa.int64()), *marks], ["key", "doc_id", "n", "sig", "check"])
 
-    src = _keyed(docs, text, doc_id).withColumnRenamed("rep", "key")
-    return src.mapInArrow(lambda it: _in_pieces(it, "t", rows), "key long, doc_id long, n long, sig long, check long, prefix array<long>")
+    return _keyed(docs, text, doc_id).mapInArrow(lambda it: _in_pieces(it, "t", rows), "key long, doc_id long, n long, sig long, check long")
 
 
-def _entries(prefixes: DataFrame) -> DataFrame:
-    return prefixes.select(F.posexplode("prefix").alias("pos", "tok"), "sig", "n")
+def _counting_bits(total: int) -> int:
+    return min(20, max(6, (total // COUNTED).bit_length()))
+
+
+def deal_counts(tokens: np.ndarray, bits: int) -> list[tuple[int, bytes, bytes]]:
+    """(bucket, 32 bits of each shingle met once, 32 bits and count of each met more often).
+
+    The bucket is a shingle's first bits. Shingles that agree in the bucket and in bits 22 to 53 are
+    counted as one, which only moves both in the order."""
+    tok, n = np.unique(tokens, return_counts=True)
+    low, bucket = (tok >> np.uint64(LEVEL_BITS)).astype(np.uint32), (tok >> np.uint64(64 - bits)).astype(np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(tok)]
+    out = []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b > a:
+            once = n[a:b] == 1
+            often = np.stack((low[a:b][~once], n[a:b][~once].astype(np.uint32)), axis=1)
+            out.append((int(bucket[a]), low[a:b][once].tobytes(), often.tobytes()))
+    return out
+
+
+def bucket_levels(once: list[bytes], often: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class, level) of the shingles of one bucket that at least so many documents hold."""
+    single = np.frombuffer(b"".join(once), dtype=np.uint32)
+    several = np.frombuffer(b"".join(often), dtype=np.uint32).reshape(-1, 2)
+    key, at = np.unique(np.concatenate((single, several[:, 0])), return_inverse=True)
+    n = np.bincount(at, np.concatenate((np.ones(len(single)), several[:, 1])), minlength=len(key))
+    common = n >= least
+    return key[common] & np.uint32((1 << LEVEL_BITS) - 1), np.floor(np.log2(n[common])).astype(np.int8)
+
+
+def _levels(docs: DataFrame, text: str, doc_id: str, total: int) -> np.ndarray:
+    """The level of each class of shingles: the power of two of the documents that hold its commonest one.
+
+    All shingles of all documents are counted, copies included, four bytes of each; a bucket is
+    counted when all of it has come, in the order of buckets, so a task holds one at a time."""
+    bits, least = _counting_bits(total), COMMON
+
+    def deal(batch, sets):
+        cols = list(zip(*deal_counts(np.concatenate(sets), bits), strict=True)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["bucket", "once", "often"])
 
+    def count(batches):
+        bucket, held = None, ([], [])
 
-def _common_last(prefixes: DataFrame, sets_of, tables: Tables, percent: int) -> DataFrame:
-    """prefixes (sig, n, prefix) by hash -> prefixes in the global order.
-
-    Sets with a shingle in the prefixes of COMMON sets or more are read whole; of their shingles those
-    that COMMON of them hold get a level. Of a set whose prefix is common by half (a member of a large
-    group of alike texts, or a short text) all shingles count, of others the first by hash, COUNTED
-    times as many as the prefix, as its new prefix reaches no further. The prefix of a set without any
-    shingle of a class that has a level stays as it is; those of all others are made anew, first by
-    level, then by hash. Whatever the levels, prefixes in one order find the same links."""
-    entries = _entries(prefixes)
-    common = tables.save(entries.groupBy("tok").agg(F.count(F.lit(1)).alias("n_sets")).where(F.col("n_sets") >= COMMON).select("tok"), "common")
-    share = entries.join(common, "tok", "left_semi").groupBy("sig", "n").agg(F.count(F.lit(1)).alias("k"))
-    size = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100.0 - 1e-9).cast("int") + 1
-    near = share.select("sig", F.when(2 * F.col("k") >= size, F.col("n")).otherwise(F.least(F.col("n"), COUNTED * size)).cast("int").alias("first"))
-    near = tables.save(near, "near")
-    if near.isEmpty():
-        return prefixes
-    sets = sets_of(near.select("sig"))
-    counts = sets.join(near, "sig").select(F.explode(F.slice("tokens", 1, F.col("first"))).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n_sets")).where(F.col("n_sets") >= COMMON)
-    kinds = counts.groupBy(_class(F.col("tok"))).agg(F.floor(F.log2(F.max("n_sets"))).cast("byte").alias("level"))
-    kinds = tables.save(kinds, "levels")
-    got = kinds.toArrow()
+        def levels():
+            cls, level = bucket_levels(*held, least)
+            return pa.RecordBatch.from_arrays([pa.array(cls.astype(np.int32)), pa.array(level)], ["class", "level"])
+
+        for batch in batches:
+            for b, *parts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "once", "often")), strict=True):
+                if b != bucket:
+                    if held[0]:
+                        yield levels()
+                    bucket, held = b, ([], [])
+                for mine, part in zip(held, parts, strict=True):
+                    mine.append(part)
+        if held[0]:
+            yield levels()
+
+    dealt = _keyed(docs, text, doc_id).select("t").mapInArrow(lambda it: _in_pieces(it, "t", deal), "bucket int, once binary, often binary")
+    counted = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "class int, level byte")
+    with cleaning(docs.sparkSession):
+        got = counted.groupBy("class").agg(F.max("level").alias("level")).toArrow()
     levels = np.zeros(1 << LEVEL_BITS, dtype=np.uint8)
     levels[got.column("class").to_numpy()] = got.column("level").to_numpy()
-    mask = np.uint64((1 << LEVEL_BITS) - 1)
-    changed = tables.save(entries.withColumn("class", _class(F.col("tok"))).join(kinds, "class", "left_semi").select("sig").distinct(), "changed")
-    more = sets_of(changed.join(near, "sig", "left_anti"))
+    return levels
 
-    def order(batches):
-        for batch in batches:
-            lists = batch.column("tokens")
-            at, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
-            out, sizes = [], np.diff(at)
-            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                t = np.sort(flat[i:j])
-                out.append(t[np.argsort(levels[(t & mask).astype(np.int64)], kind="stable")][: _prefix_length(len(t), percent)])
-            yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(sizes.astype(np.int64)), _flat(out)], ["sig", "n", "prefix"])
-
-    anew = sets.union(more).join(changed, "sig", "left_semi").mapInArrow(order, "sig long, n long, prefix array<long>")
-    out = tables.save(prefixes.join(changed, "sig", "left_anti").unionByName(anew), "prefixes")
-    tables.drop(prefixes, sets, more, common, near, kinds, changed)
-    return out
+
+def in_order(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Sorted shingles in the global order: by level, then by hash."""
+    return tokens[np.argsort(levels[(tokens >> np.uint64(LEVEL_BITS)).astype(np.int64) & ((1 << LEVEL_BITS) - 1)], kind="stable")]
+
+
+def prefix_rows(docs: DataFrame, text: str, doc_id: str, percent: int, levels: np.ndarray, seed: int) -> DataFrame:
+    """sig, n and prefix of each row with shingles: the first ones in the global order, so many that
+    linked sets share one."""
+
+    def rows(batch, sets):
+        sets = [t for t in sets if len(t)]
+        prefix = [in_order(t, levels)[: _prefix_length(len(t), percent)] for t in sets]
+        sig = pa.array([_signature(t, 2 * seed) for t in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([sig, pa.array([len(t) for t in sets], pa.int64()), _flat(prefix)], ["sig", "n", "prefix"])
+
+    return _keyed(docs, text, doc_id).select("t").mapInArrow(lambda it: _in_pieces(it, "t", rows), "sig long, n long, prefix array<long>")
+
+
+def _entries(prefixes: DataFrame) -> DataFrame:
+    return prefixes.select(F.posexplode("prefix").alias("pos", "tok"), "sig", "n")
 
 
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -307,8 +345,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     component_id is the smallest doc_id that links reach. Shingles are told apart by 64-bit hashes;
     sets by a 64-bit hash, drawn anew if a second one shows that it holds two sets for one.
 
-    1. Equal sets are one class. Shingles get a global order, those of many classes last, by their
-       counts over the whole table (_common_last). Each class puts its prefix in an inverted index;
+    1. Equal sets are one class. Shingles get a global order, those of many documents last, by their
+       counts over the whole table (_levels). Each class puts its prefix in an inverted index;
        prefixes of linked sets share at least T - ceil(percent * n) + 1 shingles, T the overlap asked for.
     2. In each list the smallest class leads. Pairs of a leader and a member with enough lists in
        common are searched (T-occurrence with DivideSkip, on whole sets) and linked.
@@ -327,7 +365,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     Other columns are ignored, whatever their names."""
     tables = Tables(docs.sparkSession, "jaccard")
     for seed in range(8):
-        rows = tables.save(shingle_rows(docs, text, doc_id, percent, seed), "prefixes")
+        rows = tables.save(shingle_rows(docs, text, doc_id, seed), "rows")
         classes = rows.where("n > 0").groupBy("sig").agg(F.min("key").alias("rep"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"))
         classes = tables.save(classes, "classes")
         if classes.where("c0 <> c1").isEmpty():
@@ -336,10 +374,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     else:
         raise RuntimeError("no hash tells the sets apart")
 
-    prefixes = tables.save(rows.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]), "distinct")
-    full, rows = rows, tables.save(rows.select("doc_id", "n", "sig"), "rows")
-    tables.drop(full)
-    prefixes = _common_last(prefixes, lambda nodes: _sets_of(docs, classes, nodes, text, doc_id, tables, seed), tables, percent)
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    levels = _levels(docs, text, doc_id, total) if total else np.zeros(1 << LEVEL_BITS, dtype=np.uint8)
+    prefixes = tables.save(prefix_rows(docs, text, doc_id, percent, levels, seed).dropDuplicates(["sig"]), "prefixes")
     # a list holds one shingle, narrow rows only; common shingles have left most prefixes
     of_list, by_sig = Window.partitionBy("tok"), Window.partitionBy("tok").orderBy("sig")
     led = _entries(prefixes).withColumns({"leader": F.first("sig").over(by_sig), "leader_n": F.first("n").over(by_sig), "after": F.lead("sig").over(by_sig)})

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,6 +258,24 @@ def test_jaccard(docs, rows, empty, long_list, monkeypatch):
         assert jaccard.jaccard_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("bits", [6, 14])
+def test_jaccard_counts_all_shingles(bits):
+    rng = np.random.default_rng(0)
+    common = rng.integers(0, 1 << 63, 30, dtype=np.uint64) * np.uint64(2)
+    slices = [np.concatenate((rng.integers(0, 1 << 63, 500, dtype=np.uint64), *[common[: i % 30] for _ in range(3)])) for i in range(60)]
+    dealt = [x for tokens in slices for x in jaccard.deal_counts(tokens, bits)]
+    n, low = Counter(t for tokens in slices for t in tokens.tolist()), {}
+    for b in {b for b, *_ in dealt}:
+        cls, level = jaccard.bucket_levels([o for k, o, _ in dealt if k == b], [m for k, _, m in dealt if k == b], 64)
+        low |= dict(zip(cls.tolist(), level.tolist(), strict=True))
+    want = {(t >> jaccard.LEVEL_BITS) % (1 << jaccard.LEVEL_BITS): c.bit_length() - 1 for t, c in n.items() if c >= 64}
+    assert low == want and len(want) > 10
+    levels = np.zeros(1 << jaccard.LEVEL_BITS, dtype=np.uint8)
+    levels[list(want)] = list(want.values())
+    ordered = jaccard.in_order(np.sort(slices[29][:530]), levels).tolist()
+    assert ordered == sorted(ordered, key=lambda t: (want.get((t >> jaccard.LEVEL_BITS) % (1 << jaccard.LEVEL_BITS), 0), t))
+
+
 def plain_spans(t):
     digits = lambda s: re.sub("[^0-9]", "", s)
     return {
