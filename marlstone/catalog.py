@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import scalars as S
-from .operators import graph
-from .operators.scan import link_spans
+from .operators import blocks, graph, scans
+from .operators.scan import link_spans, split_spans
 from .streaming.arrivals import flag_credentials
 
 
@@ -58,9 +58,9 @@ def metadata_left(spark, sf_dir):
 
 
 def sequence_numbers(spark, sf_dir):
-    w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    n = F.row_number().over(w)
-    return _read(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("seq"), F.concat(F.lit("fig"), S.two_digits(n)).alias("name"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    n = F.col("seq")
+    return scans.segmented(docs, ["source", "lang"], ["doc_id"], seq=scans.row_number()).select("doc_id", "seq", F.concat(F.lit("fig"), S.two_digits(n)).alias("name"))
 
 
 def evidence_top1(spark, sf_dir):
@@ -101,27 +101,39 @@ def parity_full_outer(spark, sf_dir):
 
 
 def asof_heading(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     user = F.when(F.col("role") == "user", F.col("turn"))
-    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.last(user, ignorenulls=True).over(w), F.lit(-1)).alias("heading"))
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return scans.segmented(turns, ["conv_id"], ["turn"], heading=scans.last_before(user)).select("conv_id", "turn", F.coalesce("heading", F.lit(-1)).alias("heading"))
 
 
 def adjacent_caption(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    n = F.char_length("text").cast("long")
-    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.lag(n).over(w), F.lit(-1)).alias("before"), F.coalesce(F.lead(n).over(w), F.lit(-1)).alias("after"))
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").cast("long").alias("n"))
+    near = scans.segmented(turns, ["conv_id"], ["turn"], before=scans.lag(F.col("n")), after=scans.lead(F.col("n")))
+    return near.select("conv_id", "turn", F.coalesce("before", F.lit(-1)).alias("before"), F.coalesce("after", F.lit(-1)).alias("after"))
 
 
 def outside_ranges(spark, sf_dir):
     """Links that stand in no protected range: an interval anti join. The first item of each list is protected."""
     pages = _read(spark, sf_dir, "pages")
-    links = link_spans(pages)
-    parts = pages.select("page_id", F.posexplode(F.split("html", "<ul>")).alias("k", "part"))
-    w = Window.partitionBy("page_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    lo = F.sum(F.octet_length("part")).over(w) + 4 * F.col("k")
-    ranges = parts.withColumn("lo", lo).where("k > 0").select("page_id", "lo", (F.col("lo") + F.octet_length(F.substring_index("part", "</li>", 1))).alias("hi"))
-    on = (F.col("l.page_id") == F.col("r.page_id")) & (F.col("l.start_b") >= F.col("r.lo")) & (F.col("l.start_b") < F.col("r.hi"))
-    return links.alias("l").join(ranges.alias("r"), on, "left_anti").select("page_id", "i", "start_b")
+    links = link_spans(pages).select("page_id", "i", "start_b")
+    parts = split_spans(pages, "<ul>")
+    ranges = parts.select("page_id", F.col("start_b").alias("lo"), (F.col("start_b") + F.octet_length(F.substring_index("part", "</li>", 1))).alias("hi"))
+    return scans.outside(links, ranges, ["page_id"], "start_b")
+
+
+def block_lines(spark, sf_dir):
+    """Lines of each conversation written as Markdown: which are protected, which are headings, and the
+    nearest heading before each. Users' turns are headings (every fourth an underlined one), assistants'
+    stand in fences that hold a shorter fence, system turns in comments."""
+    turns = _read(spark, sf_dir, "conversations")
+    n = F.col("turn").cast("string")
+    hidden = F.concat(F.lit("# "), F.translate(F.left(F.coalesce("text", F.lit("")), F.lit(20)), "\r\n", "  "))
+    user = F.when(F.col("turn") % 4 == 0, F.array(F.concat(F.lit("Turn "), n), F.lit("---"))).otherwise(F.array(F.concat(F.lit("## Turn "), n)))
+    made = F.when(F.col("role") == "user", user).when(F.col("role") == "assistant", F.array(F.lit("~~~~"), F.lit("~~~"), hidden, F.lit("~~~~"))).otherwise(F.array(F.lit("<!-- # note"), F.lit("# note -->")))
+    lines = turns.select(F.col("conv_id").cast("string").alias("doc_path"), "turn", F.posexplode(made).alias("k", "text"))
+    lines = lines.select("doc_path", (4 * F.col("turn") + F.col("k")).alias("line"), "text")
+    out = scans.segmented(blocks.structure(lines), ["doc_path"], ["line"], nearest=scans.last_before(F.col("heading")))
+    return out.select("doc_path", "line", "protected", F.coalesce("heading", F.lit("")).alias("heading"), F.coalesce("nearest", F.lit("")).alias("nearest"))
 
 
 def tree_changes(spark, sf_dir):
@@ -154,7 +166,7 @@ def rewrite_spans(spark, sf_dir):
     return pages.join(links, "page_id").select("page_id", F.sha2(new, 256).alias("sha256"), F.octet_length(new).cast("long").alias("n_bytes"))
 
 
-QUERIES = {f.__name__: f for f in (span_scan, shared_refs, dup_sha, secret_lines, category_rollup, unmatched_anti, unmatched_beside_semi, metadata_left, sequence_numbers, evidence_top1, cache_keys, ascii_slugs, nfkd_slugs, decoded_links, oversize, parity_full_outer, asof_heading, adjacent_caption, outside_ranges, tree_changes, name_collisions, summary_counts, utf8_count, rewrite_spans)}
+QUERIES = {f.__name__: f for f in (span_scan, shared_refs, dup_sha, secret_lines, category_rollup, unmatched_anti, unmatched_beside_semi, metadata_left, sequence_numbers, evidence_top1, cache_keys, ascii_slugs, nfkd_slugs, decoded_links, oversize, parity_full_outer, asof_heading, adjacent_caption, outside_ranges, block_lines, tree_changes, name_collisions, summary_counts, utf8_count, rewrite_spans)}
 
 _LINKS = """links AS (
   SELECT page_id, i, split_part(part, '"', 1) AS dest,
@@ -196,6 +208,12 @@ ORACLE_SQL = {
         ranges AS (SELECT page_id, k, lo, lo + strlen(split_part(part, '</li>', 1)) AS hi FROM (
           SELECT page_id, k, part, sum(strlen(part) + 4) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo FROM parts) WHERE k > 0)
         SELECT page_id, i, start_b FROM links l WHERE i > 0 AND NOT EXISTS (SELECT 1 FROM ranges r WHERE r.page_id = l.page_id AND l.start_b >= r.lo AND l.start_b < r.hi)""",
+    "block_lines": """WITH t AS (
+          SELECT CAST(conv_id AS VARCHAR) AS doc_path, turn, unnest(range(CASE role WHEN 'user' THEN CASE WHEN turn % 4 = 0 THEN 2 ELSE 1 END WHEN 'assistant' THEN 4 ELSE 2 END)) AS k, role FROM conversations),
+        l AS (SELECT doc_path, 4 * turn + k AS line, role = 'assistant' OR (role <> 'user' AND k = 1) AS protected,
+              CASE WHEN role = 'user' AND k = 0 THEN 'Turn ' || turn END AS heading FROM t)
+        SELECT doc_path, line, protected, coalesce(heading, '') AS heading,
+          coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS nearest FROM l""",
     "tree_changes": """WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS sha256 FROM documents),
         b AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(replace(text, chr(10), ' ')) AS sha256 FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id))
         SELECT *, 'before' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'after' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""",

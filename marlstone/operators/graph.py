@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import heading_text, label_number, parent, semantic_slug
+from ..functions.scalars import label_number, parent, semantic_slug
+from . import scans
+from .blocks import document_lines, structure
 
 # Captions that say nothing.
 GENERIC = ("", "image", "figure", "fig", "picture", "img", "photo", "screenshot", "table", "chart", "untitled", "asset")
@@ -38,22 +40,21 @@ def target_collisions(plan: DataFrame, fold_case: bool = True) -> DataFrame:
     return plan.groupBy(key.alias("target")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def document_lines(documents: DataFrame) -> DataFrame:
-    """doc_path, line, first and end byte, text of each line, blank ones left out."""
-    lines = documents.select(F.col("path").alias("doc_path"), F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("line", "text"))
-    w = Window.partitionBy("doc_path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("first", F.coalesce(F.sum(F.octet_length("text") + 1).over(w), F.lit(0)))
-    return lines.withColumn("end", F.col("first") + F.octet_length("text")).where(F.trim(F.regexp_replace("text", "\r", "")) != "")
-
-
 def markdown_context(documents: DataFrame, references: DataFrame) -> DataFrame:
-    """For each reference: the nearest heading before it, and the non-blank lines just before and after
-    (an as-of join, done by windows over each document's lines)."""
-    lines = document_lines(documents)
-    w = Window.partitionBy("doc_path").orderBy("line")
-    lines = lines.withColumns({"previous": F.lag("text").over(w), "next": F.lead("text").over(w), "heading": F.last(heading_text(F.col("text")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
-    on = (references["doc_path"] == lines["doc_path"]) & (references["start"] >= lines["first"]) & (references["start"] < lines["end"])
-    return references.join(lines.drop("text", "line"), on).drop(lines["doc_path"], lines["first"], lines["end"])
+    """For each reference: the nearest heading before it, and the nearest line just before and after its
+    own that is not blank and stands in no block of code or comment.
+
+    References meet their lines by a sweep over both in the order of their bytes, not by pairs."""
+    lines = structure(document_lines(documents))
+    shown = F.when(~F.col("protected") & ~F.col("underline") & (F.trim(F.regexp_replace("text", "\r", "")) != ""), F.col("text"))
+    near = scans.segmented(lines, ["doc_path"], ["line"], previous=scans.last_before(shown), next=scans.first_after(shown), title=scans.last_before(F.col("heading")))
+    none = references.schema["start"].dataType
+    held = references.withColumn("_reference", F.struct(*references.columns))
+    empty = F.lit(None).cast(held.schema["_reference"].dataType)
+    events = near.select("doc_path", F.col("first").cast(none).alias("_at"), F.lit(0).alias("_kind"), F.struct("previous", "next", F.col("title").alias("heading")).alias("_line"), empty.alias("_reference"))
+    asked = held.select("doc_path", F.col("start").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(events.schema["_line"].dataType).alias("_line"), "_reference")
+    met = scans.segmented(events.unionByName(asked), ["doc_path"], ["_at", "_kind"], _own=scans.last_before(F.col("_line")))
+    return met.where("_kind = 1").select("_reference.*", "_own.previous", "_own.next", "_own.heading")
 
 
 def choose_evidence(contexts: DataFrame, metadata: DataFrame) -> DataFrame:

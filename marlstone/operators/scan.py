@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import encoding_style, is_remote, normalize_path, parent, percent_decode
 
@@ -52,10 +55,12 @@ def _outside(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def find_references(text: str) -> list[tuple[str, int, int, str, str]]:
     """(syntax, start, end, alt, destination) in order of place; offsets are UTF-8 bytes."""
-    blocked = protected_ranges(text)
+    blocked = protected_ranges(text)  # in order, without overlaps
+    starts = [a for a, _ in blocked]
 
     def free(m: re.Match) -> bool:
-        return not any(a <= m.start() < b for a, b in blocked)
+        k = bisect_right(starts, m.start())
+        return not k or m.start() >= blocked[k - 1][1]
 
     found = []
     for m in filter(free, _INLINE.finditer(text)):
@@ -73,15 +78,10 @@ def find_references(text: str) -> list[tuple[str, int, int, str, str]]:
         k = next(k for k in "abc" if m[k] is not None)
         alt = re.search(r"\balt\s*=\s*[\"']([^\"']*)", text[m.start() : text.find(">", m.end()) + 1 or m.end()], re.I)
         found.append(("html-img", *m.span(k), alt[1] if alt else "", m[k]))
-    # bytes before each code point, by a running sum
-    at, n = {}, 0
-    wanted = {x for f in found for x in f[1:3]}
-    for i, c in enumerate(text):
-        if i in wanted:
-            at[i] = n
-        n += 1 if c < "\x80" else 2 if c < "ࠀ" else 3 if c < "\U00010000" else 4
-    at[len(text)] = n
-    return sorted([(s, at[a], at[b], alt, d) for s, a, b, alt, d in found], key=lambda f: f[1])
+    # the byte at which each code point starts
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    return sorted([(s, int(at[a]), int(at[b]), alt, d) for s, a, b, alt, d in found], key=lambda f: f[1])
 
 
 def scan_markdown(documents: DataFrame) -> DataFrame:
@@ -108,12 +108,18 @@ def resolve(references: DataFrame) -> DataFrame:
     return local.where("asset_path is not null").withColumn("encoding_style", encoding_style(raw))
 
 
+def split_spans(pages: DataFrame, opener: str) -> DataFrame:
+    """page_id, i, part and start_b (bytes) of what follows each opener, by one split and a running sum.
+
+    The sum is over the parts of one row, so pages that share a page_id keep offsets of their own."""
+    parts = pages.select("page_id", F.monotonically_increasing_id().alias("row"), F.split("html", re.escape(opener)).alias("parts"))
+    parts = parts.select("page_id", "row", F.posexplode("parts").alias("i", "part"))
+    before = F.sum(F.octet_length("part")).over(Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    spans = parts.withColumn("start_b", (before + len(opener.encode()) * F.col("i")).cast("long"))
+    return spans.where("i > 0").select("page_id", F.col("i").cast("long").alias("i"), "part", "start_b")
+
+
 def link_spans(pages: DataFrame) -> DataFrame:
-    """page_id, i, dest and start_b (bytes) of each <a href="..."> of pages, by one split and a running sum."""
-    opener = '<a href="'
-    parts = pages.select("page_id", F.posexplode(F.split("html", opener)).alias("i", "part"))
-    parts = parts.select("page_id", "i", F.octet_length("part").alias("n"), F.substring_index("part", '"', 1).alias("dest"))
-    from pyspark.sql.window import Window
-
-    before = F.sum("n").over(Window.partitionBy("page_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
-    return parts.withColumn("start_b", (before + len(opener) * F.col("i")).cast("long")).where("i > 0").select("page_id", F.col("i").cast("long").alias("i"), "dest", "start_b")
+    """page_id, i, dest and start_b (bytes) of each <a href="..."> of pages."""
+    spans = split_spans(pages, '<a href="')
+    return spans.select("page_id", "i", F.substring_index("part", '"', 1).alias("dest"), "start_b")
