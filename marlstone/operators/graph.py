@@ -84,21 +84,24 @@ def choose_evidence(contexts: DataFrame, metadata: DataFrame) -> DataFrame:
 def run_summary(documents: DataFrame, references: DataFrame, records: DataFrame, warnings: DataFrame, asked: DataFrame, calls: bool) -> DataFrame:
     """One row of counts. asked holds the assets whose evidence is generic, with any cached response;
     calls says whether an analyzer is there to be asked about the rest."""
-    counts = {
-        "documents": documents.agg(F.count(F.lit(1))),
-        "unique_references": references.agg(F.count_distinct("asset_path")),
-        "eligible": records.agg(F.count(F.lit(1))),
-        "missing": warnings.agg(F.count_if(F.col("code") == "missing-asset")),
-        "unreferenced": warnings.agg(F.count_if(F.col("code") == "unreferenced-asset")),
-        "vision_needed": asked.agg(F.count(F.lit(1))),
-        "vision_calls": asked.agg(F.count_if(F.col("response").isNull() & F.lit(calls))),
-        "warnings": warnings.agg(F.count(F.lit(1))),
-    }
-    out = None
-    for name, one in counts.items():
-        one = one.toDF(name).withColumn("_", F.lit(1))
-        out = one if out is None else out.join(one, "_")
-    return out.drop("_")
+    zero = F.lit(0).cast("long")
+    kinds = ("documents", "unique_references", "eligible", "missing", "unreferenced", "vision_needed", "vision_calls", "warnings")
+
+    def counted(df: DataFrame, **named) -> DataFrame:
+        return df.agg(*[named.get(k, zero).alias(k) for k in kinds])
+
+    one = F.count(F.lit(1))
+    parts = [
+        counted(documents, documents=one),
+        counted(references, unique_references=F.count_distinct("asset_path")),
+        counted(records, eligible=one),
+        counted(warnings, missing=F.count_if(F.col("code") == "missing-asset"), unreferenced=F.count_if(F.col("code") == "unreferenced-asset"), warnings=one),
+        counted(asked, vision_needed=one, vision_calls=F.count_if(F.col("response").isNull() & F.lit(calls))),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.agg(*[F.sum(k).alias(k) for k in kinds])
 
 
 def parity(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:

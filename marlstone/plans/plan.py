@@ -17,6 +17,7 @@ from ..functions import scalars as S
 from ..operators.graph import GENERIC, build_graph, choose_evidence, markdown_context, run_summary, target_collisions
 from ..operators.scan import resolve, scan_markdown
 from ..sources import corpus
+from ..sources.staging import staged
 
 CONFIDENCE = 0.5
 STAGES = ("staged", "first-rename", "documents", "verify")
@@ -28,43 +29,49 @@ def _asked(evidence: DataFrame, config: dict, cache: DataFrame | None) -> DataFr
     asked = evidence.where(F.col("semantic").isin(*GENERIC)).select("asset_path", "caption", key.alias("cache_key"))
     if cache is None:
         return asked.withColumn("response", F.lit(None).cast("struct<description:string,keywords:array<string>,confidence:double>"))
-    return asked.join(cache.dropDuplicates(["cache_key"]), "cache_key", "left")
+    return asked.join(corpus.latest(cache), "cache_key", "left")
 
 
-def response_fields(got: dict) -> tuple[str, float]:
-    """(description, confidence) of an analyzer's response; ValueError if its shape is not the agreed one."""
+def response_fields(got: dict) -> tuple[str, list[str], float]:
+    """(description, keywords, confidence) of an analyzer's response; ValueError if its shape is not the agreed one."""
     description, keywords, confidence = got.get("description"), got.get("keywords"), got.get("confidence")
     if not isinstance(description, str) or not isinstance(keywords, list) or not all(isinstance(k, str) for k in keywords):
         raise ValueError("description must be a string, keywords a list of strings")
     if isinstance(confidence, bool) or not isinstance(confidence, (int, float)) or not 0 <= confidence <= 1:
         raise ValueError("confidence must be a number from 0 to 1")
-    return description, float(confidence)
+    return description, keywords, float(confidence)
 
 
-def with_vision(evidence: DataFrame, analyzer: Callable[..., dict] | None, config: dict | None = None, cache: DataFrame | None = None) -> DataFrame:
+def with_vision(evidence: DataFrame, analyzer: Callable[..., dict] | None, config: dict | None = None, cache: DataFrame | None = None, cache_path: str | None = None) -> DataFrame:
     """vision_status of each asset, and the analyzer's description where the evidence is generic.
 
     The analyzer takes (path, context, config) and gives description, keywords and confidence. Cached
-    responses are joined first; only the rest reach the analyzer, and its failures become rows."""
+    responses are joined first; only the rest reach the analyzer, and its failures become rows. With
+    cache_path, what it answers is appended to that log, so that later runs do not ask again."""
     needed = F.col("semantic").isin(*GENERIC)
     if analyzer is None:
         return evidence.withColumn("vision_status", F.when(needed, "needed").otherwise("not-needed"))
     config = config or {}
     asked = _asked(evidence, config, cache)
-    known = asked.where("response is not null").select("asset_path", "response.description", "response.confidence")
+    known = asked.where("response is not null").select("asset_path", "response")
 
     def ask(batches):
         for pdf in batches:
             rows = []
-            for path, caption in zip(pdf["asset_path"], pdf["caption"], strict=True):
+            for path, key, caption in zip(pdf["asset_path"], pdf["cache_key"], pdf["caption"], strict=True):
                 try:
-                    rows.append((path, *response_fields(analyzer(path, {"caption": caption}, config))))
+                    rows.append((path, key, *response_fields(analyzer(path, {"caption": caption}, config))))
                 except Exception:  # a failing analyzer must not stop the plan
-                    rows.append((path, None, None))
-            yield pd.DataFrame(rows, columns=["asset_path", "description", "confidence"])
-
-    new = asked.where("response is null").select("asset_path", "caption").mapInPandas(ask, "asset_path string, description string, confidence double")
-    out = evidence.join(known.unionByName(new), "asset_path", "left")
+                    rows.append((path, key, None, None, None))
+            yield pd.DataFrame(rows, columns=["asset_path", "cache_key", "description", "keywords", "confidence"])
+
+    new = asked.where("response is null").select("asset_path", "cache_key", "caption").mapInPandas(ask, "asset_path string, cache_key string, description string, keywords array<string>, confidence double")
+    response = F.when(F.col("confidence").isNotNull(), F.struct("description", "keywords", "confidence"))
+    new = staged(new.select("asset_path", "cache_key", response.alias("response")))
+    if cache_path is not None:
+        corpus.write_cache(new.where("response is not null").dropDuplicates(["cache_key"]), cache_path)
+    answers = known.unionByName(new.drop("cache_key")).select("asset_path", "response.description", "response.confidence")
+    out = evidence.join(answers, "asset_path", "left")
     status = F.when(~needed, "not-needed").when(F.col("confidence").isNull(), "failed").when((F.col("confidence") < CONFIDENCE) | S.semantic_slug(F.col("description")).isin(*GENERIC), "rejected").otherwise("used")
     used = F.col("vision_status") == "used"
     out = out.withColumn("vision_status", status)
@@ -82,25 +89,28 @@ def propose_names(evidence: DataFrame) -> DataFrame:
     return named.withColumn("new_path", F.when(folder == "", name).otherwise(F.concat_ws("/", folder, name)))
 
 
-def create_plan(spark: SparkSession, root: str, analyzer: Callable[..., dict] | None = None, config: dict | None = None, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def create_plan(spark: SparkSession, root: str, analyzer: Callable[..., dict] | None = None, config: dict | None = None, cache: DataFrame | None = None, cache_path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(plan, warnings, summary) of the corpus under root, which is only read.
 
-    cache (cache_key, response) holds earlier responses of the analyzer, which is asked for the rest only."""
-    documents, assets = corpus.markdown_files(spark, root), corpus.assets(spark, root)
-    references = resolve(scan_markdown(documents))
+    cache (cache_key, response) holds earlier responses of the analyzer, which is asked for the rest
+    only; cache_path names a log of them, which is read and added to. Documents are scanned and assets
+    hashed once: references, hashes and evidence are staged, and everything else reads those tables.
+    Symbolic links are warnings, never assets."""
+    documents = corpus.markdown_files(spark, root)
+    assets, references = staged(corpus.assets(spark, root)), staged(resolve(scan_markdown(documents)))
     edges, records, warnings = build_graph(references, assets)
+    records, warnings = staged(records), staged(warnings.unionByName(corpus.links(spark, root)))
     contexts = markdown_context(documents, edges)
-    try:
-        extracted = corpus.metadata(spark, root)
-        extracted.schema  # noqa: B018
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        extracted = spark.createDataFrame([], "path string, caption string, visual_type string, page_idx int, bbox array<double>, source string")
-    evidence = choose_evidence(contexts, extracted).join(records, "asset_path")
-    named = propose_names(with_vision(evidence, analyzer, config, cache))
+    extracted = corpus.metadata(spark, root)
+    evidence = staged(choose_evidence(contexts, extracted).join(records, "asset_path"))
+    if cache_path is not None:
+        logged = corpus.latest(corpus.read_cache(spark, cache_path))
+        cache = staged(logged if cache is None else corpus.latest(logged.unionByName(corpus.latest(cache))))
+    asked = staged(_asked(evidence, config or {}, cache))
+    named = propose_names(with_vision(evidence, analyzer, config, cache, cache_path))
     plan = named.select(F.col("asset_path").alias("old_path"), "new_path", "sha256", "reason", "references", "vision_status").orderBy("old_path")
-    return plan, warnings, run_summary(documents, references, records, warnings, _asked(evidence, config or {}, cache), analyzer is not None)
+    files = corpus.read_files(spark, root, "*.md", content=False)
+    return plan, warnings, run_summary(files, references, records, warnings, asked, analyzer is not None)
 
 
 def save_plan(plan: DataFrame, summary: DataFrame, folder: str, documents: DataFrame | None = None) -> tuple[str, str]:
@@ -113,17 +123,17 @@ def preflight(spark: SparkSession, root: str, plan: dict) -> list[str]:
     """What stands against applying the plan: changed sources, collisions, occupied targets, overlaps.
 
     Where the plan records documents, one changed, gone or added since is an error too."""
-    rows = plan["assets"]
-    if not rows:
-        return []
-    df = spark.createDataFrame([(a["old_path"], a["new_path"], a["sha256"]) for a in rows], "old_path string, new_path string, sha256 string")
-    now = corpus.assets(spark, root)
-    changed = df.alias("p").join(now.alias("n"), F.col("p.old_path") == F.col("n.path"), "left").where(~F.col("n.sha256").eqNullSafe(F.col("p.sha256")))
-    errors = [f"source hash changed: {r['old_path']}" for r in changed.select("old_path").collect()]
+    rows, errors = plan["assets"], []
     if plan.get("documents") is not None:
         was = spark.createDataFrame([(d["path"], d["sha256"]) for d in plan["documents"]], "path string, was string")
         for r in was.join(corpus.document_hashes(spark, root), "path", "full_outer").where(~F.col("was").eqNullSafe(F.col("sha256"))).collect():
             errors.append(f"document added: {r['path']}" if r["was"] is None else f"source hash changed: {r['path']}")
+    if not rows:
+        return sorted(errors)
+    df = spark.createDataFrame([(a["old_path"], a["new_path"], a["sha256"]) for a in rows], "old_path string, new_path string, sha256 string")
+    now = corpus.assets(spark, root)
+    changed = df.alias("p").join(now.alias("n"), F.col("p.old_path") == F.col("n.path"), "left").where(~F.col("n.sha256").eqNullSafe(F.col("p.sha256")))
+    errors += [f"source hash changed: {r['old_path']}" for r in changed.select("old_path").collect()]
     errors += [f"target collision: {r['target']}" for r in target_collisions(df).collect()]
     taken = df.where("old_path <> new_path").alias("p").join(now.alias("n"), (F.col("p.new_path") == F.col("n.path")) & (F.col("p.sha256") != F.col("n.sha256")))
     errors += [f"target occupied: {r['new_path']}" for r in taken.select("new_path").collect()]
@@ -166,7 +176,7 @@ def apply_plan(spark: SparkSession, root: str, plan_path: str, target: str, fail
 
     corpus.write_json(f"{target}.journal.json", journal)
     try:
-        shutil.copytree(root, stage, ignore=lambda d, names: [n for n in names if n in corpus.CACHE_DIRECTORIES])
+        shutil.copytree(root, stage, symlinks=True, ignore=lambda d, names: [n for n in names if n in corpus.CACHE_DIRECTORIES])
         reached("staged")
         for a in plan["assets"]:
             os.replace(stage / a["old_path"], stage / a["new_path"])

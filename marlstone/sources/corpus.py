@@ -5,13 +5,16 @@ from __future__ import annotations
 import csv
 import json
 import os
+import time
 from pathlib import Path
 from urllib.parse import urlparse
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import CREDENTIAL, IMAGE_EXTENSIONS, extension, is_text
+from ..functions.scalars import CREDENTIAL, IMAGE_EXTENSIONS, extension, is_text, normalize_path
+from .tree import is_local, read_tree
 
 PLAN_SCHEMA = 1
 LARGE = 90 * 1024 * 1024
@@ -22,21 +25,38 @@ CACHE_DIRECTORIES = ("__pycache__", ".pytest_cache", "node_modules", ".ruff_cach
 def read_files(spark: SparkSession, root: str, pattern: str = "*", content: bool = True) -> DataFrame:
     """Files under root: path (relative), length, and content unless it is not wanted.
 
-    Spark's reader leaves out names that start with . or _ and matches the pattern case-sensitively."""
+    The pattern is of the name, case-sensitive. In a folder that executors can open, names that start
+    with . or _ are files like others and symbolic links are left out (see links). Elsewhere Spark's
+    own reader lists the store, which leaves out such names."""
+    if is_local(root):
+        return read_tree(spark, root, pattern, content=content).where("link is null").select("path", "length", *(["content"] if content else []))
     base = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     # a path is what follows the root's first place in it, whatever the root's characters
-    at = F.lit("/" + (urlparse(root).path if "://" in root else os.path.abspath(root)).strip("/") + "/")
+    at = F.lit("/" + urlparse(root).path.strip("/") + "/")
     path = F.substr("path", F.instr("path", at) + F.length(at))
     return base.select(path.alias("path"), "length", *(["content"] if content else []))
 
 
+def links(spark: SparkSession, root: str) -> DataFrame:
+    """Symbolic links under root as warnings: code, path, detail (the target); none is ever followed."""
+    if not is_local(root):
+        return spark.createDataFrame([], "code string, path string, detail string")
+    return read_tree(spark, root).where("link is not null").select(F.col("problem").alias("code"), "path", F.col("link").alias("detail"))
+
+
+def _hashes(spark: SparkSession, root: str, pattern: str = "*", suffixes: tuple[str, ...] = ()) -> DataFrame:
+    if is_local(root):
+        return read_tree(spark, root, pattern, hashed=True, suffixes=suffixes).where("link is null").select("path", "sha256")
+    return read_files(spark, root, pattern).select("path", F.sha2("content", 256).alias("sha256"))
+
+
 def markdown_files(spark: SparkSession, root: str) -> DataFrame:
     return read_files(spark, root, "*.md").orderBy("path")
 
 
 def assets(spark: SparkSession, root: str) -> DataFrame:
-    """Images: path, sha256 (each hashed once)."""
-    return read_files(spark, root).where(extension(F.col("path")).isin(*IMAGE_EXTENSIONS)).select("path", F.sha2("content", 256).alias("sha256"))
+    """Images: path, sha256 (each hashed once, a megabyte at a time)."""
+    return _hashes(spark, root, suffixes=tuple(f".{e}" for e in IMAGE_EXTENSIONS)).where(extension(F.col("path")).isin(*IMAGE_EXTENSIONS))
 
 
 def skill_count(spark: SparkSession, root: str) -> DataFrame:
@@ -71,7 +91,7 @@ def metadata(spark: SparkSession, root: str) -> DataFrame:
     content_list.json is a flat array of records; content_list_v2.json nests the same fields in
     `content`. Field names are assumptions of our own: img_path, image_caption or table_caption,
     type or sub_type, page_idx, bbox."""
-    files = read_files(spark, root, "content_list*.json")
+    files = read_files(spark, root, "content_list*.json").where(F.regexp_like("path", F.lit(r"(^|/)content_list(_v2)?\.json$")))
     items = F.from_json(F.col("content").cast("string"), "array<string>")
     rows = files.select("path", F.explode(items).alias("item")).withColumn("v", F.try_parse_json("item"))
     nested = F.col("path").endswith("content_list_v2.json")
@@ -84,7 +104,7 @@ def metadata(spark: SparkSession, root: str) -> DataFrame:
 
     folder = F.regexp_replace("path", "[^/]*$", "")
     rows = rows.select(
-        F.concat(folder, field("img_path", "string")).alias("path"),
+        normalize_path(F.concat(folder, F.replace(field("img_path", "string"), F.lit("\\"), F.lit("/")))).alias("path"),
         F.coalesce(F.nullif(caption("image_caption"), F.lit("")), F.nullif(caption("table_caption"), F.lit(""))).alias("caption"),
         F.coalesce(field("sub_type", "string"), field("type", "string"), F.lit("image")).alias("visual_type"),
         field("page_idx", "int").alias("page_idx"),
@@ -95,7 +115,7 @@ def metadata(spark: SparkSession, root: str) -> DataFrame:
 
 
 def document_hashes(spark: SparkSession, root: str) -> DataFrame:
-    return read_files(spark, root, "*.md").select("path", F.sha2("content", 256).alias("sha256"))
+    return _hashes(spark, root, "*.md")
 
 
 def holding(files: DataFrame, secret: str) -> DataFrame:
@@ -133,12 +153,37 @@ def read_plan(path: str) -> dict:
     return plan
 
 
+CACHE = "cache_key string, version long, response struct<description:string,keywords:array<string>,confidence:double>"
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("cache_key string, response struct<description:string,keywords:array<string>,confidence:double>").parquet(path)
+    """The log of responses: every version of every key. A log that was not begun yet is empty."""
+    try:
+        return spark.read.schema(CACHE).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CACHE)
+
+
+def write_cache(responses: DataFrame, path: str, version: int | None = None) -> None:
+    """Append responses (cache_key, response) to the log, as a version later than those before."""
+    version = time.time_ns() // 1000 if version is None else version
+    responses.select("cache_key", F.lit(version).cast("long").alias("version"), "response").write.mode("append").parquet(path)
+
+
+def latest(cache: DataFrame) -> DataFrame:
+    """One response (cache_key, response) of each key: that of the latest version; of several of one
+    version, or where there are no versions, the greatest as JSON, so that reruns agree."""
+    order = F.struct(*(["version"] if "version" in cache.columns else []), F.to_json("response").alias("json"))
+    return cache.groupBy("cache_key").agg(F.max_by("response", order).alias("response"))
 
 
-def write_cache(responses: DataFrame, path: str) -> None:
-    responses.select("cache_key", "response").write.mode("append").parquet(path)
+def compact_cache(spark: SparkSession, path: str, target: str) -> None:
+    """Write the latest version of each key to target, a log of its own."""
+    cache = read_cache(spark, path)
+    order = F.struct("version", F.to_json("response").alias("json"))
+    cache.groupBy("cache_key").agg(F.max("version").alias("version"), F.max_by("response", order).alias("response")).select("cache_key", "version", "response").write.parquet(target)
 
 
 def vision_config(env: dict[str, str] | None = None) -> dict[str, str]:

@@ -268,3 +268,121 @@ def test_rollback_can_be_tried_again(tmp_path, monkeypatch):
         assert P.rollback(journal) == [] and not left.exists()
         got = json.loads(open(journal).read())
         assert got["state"] == "rolled-back" and [o["seq"] for o in got["operations"]] == [1, 0]
+
+
+def test_hidden_names_and_large_files(spark, tmp_path):
+    write(tmp_path, {"_index.md": "![a](.pics/_one.png)\n", ".hidden/x.md": "# x\n", ".pics/_one.png": b"1", "U.MD": "no", "a b/ü#1.md": "y"})
+    assert sorted(r["path"] for r in corpus.markdown_files(spark, str(tmp_path)).collect()) == [".hidden/x.md", "_index.md", "a b/ü#1.md"]
+    plan, warnings, _ = P.create_plan(spark, str(tmp_path))
+    assert [r["old_path"] for r in plan.collect()] == [".pics/_one.png"] and warnings.count() == 0
+    # above what a row can hold: hashed a megabyte at a time
+    with open(tmp_path / "big.png", "wb") as f:
+        f.truncate((1 << 31) + 5)
+    digest = hashlib.sha256()
+    for _ in range(1 << 11):
+        digest.update(bytes(1 << 20))
+    digest.update(bytes(5))
+    assert {r["path"]: r["sha256"] for r in corpus.assets(spark, str(tmp_path)).collect()}["big.png"] == digest.hexdigest()
+    assert corpus.large_files(corpus.read_files(spark, str(tmp_path), content=False)).count() == 1
+
+
+def test_links_are_warnings(spark, tmp_path):
+    root = tmp_path / "root"
+    write(root, {"a.md": "![](images/real.png) ![](images/out.png) ![](images/chain.png) ![](dir/x.png) ![](images/in.png)\n", "images/real.png": b"1"})
+    write(tmp_path, {"secret.png": b"secret", "rooted/x.png": b"beside"})
+    for name, target in {"images/out.png": tmp_path / "secret.png", "images/chain.png": root / "images/out.png", "images/in.png": root / "images/real.png", "images/cycle.png": root / "images/cycle2.png", "images/cycle2.png": root / "images/cycle.png", "dir": tmp_path / "rooted", "up": root}.items():
+        (root / name).symlink_to(target)
+    found = {(r["code"], r["path"]) for r in corpus.links(spark, str(root)).collect()}
+    assert found == {("linked-outside", "images/out.png"), ("linked-outside", "images/chain.png"), ("linked", "images/in.png"), ("linked-nowhere", "images/cycle.png"), ("linked-nowhere", "images/cycle2.png"), ("linked-outside", "dir"), ("linked", "up")}
+    plan, warnings, _ = P.create_plan(spark, str(root))
+    assert [r["old_path"] for r in plan.collect()] == ["images/real.png"]
+    assert found < {(r["code"], r["path"]) for r in warnings.collect()}
+    path, _ = P.save_plan(*[P.create_plan(spark, str(root))[i] for i in (0, 2)], str(tmp_path / "plan"))
+    P.apply_plan(spark, str(root), path, str(tmp_path / "new"))
+    assert (tmp_path / "new/images/out.png").is_symlink()
+
+
+def test_heading_outside_of_blocks(spark, tmp_path):
+    write(tmp_path, {"d.md": "# Real heading here\n\n```sh\n# install the tool first\n```\n\n![](x.png)\n", "e.md": "Second pump\n===========\n<!--\nFigure 3. hidden caption\n-->\n![](y.png)\n~~~\nFigure 4. not this one\n~~~\n", "x.png": b"x", "y.png": b"y"})
+    got = {r["old_path"]: r["new_path"] for r in P.create_plan(spark, str(tmp_path))[0].collect()}
+    assert got["x.png"].startswith("d-fig01-real-heading-here-") and got["y.png"].startswith("e-fig01-second-pump-")
+
+
+def test_metadata_of_both_layouts(spark, tmp_path):
+    write(tmp_path, {
+        "d.md": "![](images/a.png) ![](images/b.png)\n", "images/a.png": b"a", "images/b.png": b"b",
+        "content_list.json": json.dumps([{"img_path": "./images/a.png", "image_caption": ["Figure 2. Blue pump"], "type": "image", "page_idx": 1}]),
+        "x/content_list_v2.json": json.dumps([{"type": "table", "page_idx": 4, "content": {"img_path": "../images/b.png", "table_caption": "Table 7. Red valve", "bbox": [0, 1, 2, 3]}}]),
+        "content_list_old.json": json.dumps([{"img_path": "images/a.png", "image_caption": "Figure 9. A much longer caption of something else"}]),
+    })
+    rows = {r["path"]: r for r in corpus.metadata(spark, str(tmp_path)).collect()}
+    assert (rows["images/b.png"]["visual_type"], rows["images/b.png"]["page_idx"], rows["images/b.png"]["bbox"], rows["images/b.png"]["source"]) == ("table", 4, [0.0, 1.0, 2.0, 3.0], "metadata-v2")
+    got = {r["old_path"]: (r["new_path"], r["reason"]) for r in P.create_plan(spark, str(tmp_path))[0].collect()}
+    assert got["images/a.png"][0].startswith("images/d-fig02-blue-pump-") and got["images/b.png"][0].startswith("images/d-table07-red-valve-")
+    assert {reason for _, reason in got.values()} == {"mineru-caption"}
+
+
+def test_pages_of_one_id_keep_their_offsets(spark):
+    from marlstone.operators.scan import link_spans
+
+    pages = ['<p><a href="x">1</a> <a href="yy">', '<div> <a href="zzz">']
+    df = spark.createDataFrame([(1, p) for p in pages], "page_id long, html string").repartition(2)
+    got = sorted((r["start_b"], r["dest"]) for r in link_spans(df).collect())
+    assert got == sorted((p.index(d), d) for p, d in ((pages[0], "x"), (pages[0], "yy"), (pages[1], "zzz")))
+
+
+def test_plan_without_assets_checks_documents(spark, tmp_path):
+    root = tmp_path / "root"
+    write(root, {"a.md": "text\n"})
+    plan, _, summary = P.create_plan(spark, str(root))
+    path, _ = P.save_plan(plan, summary, str(tmp_path / "plan"), corpus.document_hashes(spark, str(root)))
+    (root / "a.md").write_text("other\n")
+    assert P.preflight(spark, str(root), corpus.read_plan(path)) == ["source hash changed: a.md"]
+
+
+def test_response_log(spark, tmp_path):
+    root, log, asked = tmp_path / "root", str(tmp_path / "log"), tmp_path / "asked"
+    write(root, {"a.md": "![](x.png) ![](y.png)\n", "x.png": b"x", "y.png": b"y"})
+    asked.mkdir()
+
+    def analyzer(path, context, config):
+        (asked / f"{path}-{len(list(asked.iterdir()))}").write_text("")
+        return {"description": "green valve", "keywords": ["k"], "confidence": 0.9}
+
+    for calls in (2, 0):
+        plan, _, summary = P.create_plan(spark, str(root), analyzer, cache_path=log)
+        assert all("green-valve" in r["new_path"] for r in plan.collect())
+        assert (summary.first()["vision_calls"], len(list(asked.iterdir()))) == (calls, 2)
+    # of two versions of a key the later counts, in any order of the rows
+    keys = [r["cache_key"] for r in corpus.read_cache(spark, log).collect()]
+    shape = "cache_key string, response struct<description:string,keywords:array<string>,confidence:double>"
+    corpus.write_cache(spark.createDataFrame([(k, ("red motor", [], 0.8)) for k in keys], shape), log)
+    corpus.write_cache(spark.createDataFrame([(k, ("old motor", [], 0.8)) for k in keys], shape), log, version=1)
+    assert all("red-motor" in r["new_path"] for r in P.create_plan(spark, str(root), analyzer, cache_path=log)[0].collect())
+    corpus.compact_cache(spark, log, str(tmp_path / "compact"))
+    assert [r["response"]["description"] for r in corpus.read_cache(spark, str(tmp_path / "compact")).collect()] == ["red motor"] * 2
+    ties = spark.createDataFrame([("k", ("a", [], 0.5)), ("k", ("b", [], 0.5))], shape)
+    assert [r["response"]["description"] for r in corpus.latest(ties).collect()] == ["b"]
+
+
+def test_scanner_runs_once(spark, tree):
+    from marlstone.operators import scan
+
+    plan, warnings, summary = P.create_plan(spark, str(tree))
+    for df in (plan, warnings, summary):
+        assert "MapInPandas" not in df._jdf.queryExecution().toString()
+    assert "MapInPandas" in scan.scan_markdown(corpus.markdown_files(spark, str(tree)))._jdf.queryExecution().toString()
+
+
+def test_small_helpers(spark, tmp_path):
+    write(tmp_path, {"a/SKILL.md": "---\nname: pump\nx: 1\n---\n", "b/SKILL.md": "", "c/node_modules/x.js": "", "a/run.sh": "1", "b/run.sh": "2"})
+    assert corpus.skill_count(spark, str(tmp_path)).first()["n"] == 2
+    assert [r["path"] for r in corpus.cache_files(corpus.read_files(spark, str(tmp_path))).collect()] == ["c/node_modules/x.js"]
+    text = corpus.read_files(spark, str(tmp_path), "SKILL.md").select("path", S.frontmatter_name(S.decode_strict(F.col("content"))).alias("name"))
+    assert {r["path"]: r["name"] for r in text.collect()} == {"a/SKILL.md": "pump", "b/SKILL.md": None}
+    files = spark.createDataFrame([("x", "1"), ("y", "1"), ("z", "2"), ("x", "3")], "path string, sha256 string")
+    assert [(r["n"], r["paths"]) for r in graph.equal_content(files).collect()] == [(2, ["x", "y"])]
+    assert [r["path"] for r in graph.same_everywhere(files).collect()] == ["x"]
+    links = spark.createDataFrame([("x",), ("gone",)], "asset_path string")
+    assert [r["asset_path"] for r in graph.broken_links(links, files.select("path").distinct()).collect()] == ["gone"]
+    assert one(spark, S.hash8(F.col("v")), v=bytearray(b"x")) == hashlib.sha256(b"x").hexdigest()[:8]
