@@ -174,6 +174,9 @@ _LINKS = """links AS (
   FROM (SELECT page_id, unnest(parts) AS part, CAST(unnest(range(len(parts))) AS BIGINT) AS i
         FROM (SELECT page_id, string_split(html, '<a href="') AS parts FROM pages)))"""
 
+_SINGLE, _PLAIN, _SEVERAL = S.nfkd_ascii()
+_TABLE = f"map([{', '.join(f"'{c}'" for c in _SEVERAL)}], [{', '.join("'" + p.replace("'", "''") + "'" for p in _SEVERAL.values())}])"
+
 ORACLE_SQL = {
     "span_scan": f"WITH {_LINKS} SELECT page_id, i, dest, start_b FROM links WHERE i > 0",
     "shared_refs": f"WITH {_LINKS} SELECT dest, count(DISTINCT page_id) AS n_docs, count(*) AS n_refs FROM links WHERE i > 0 GROUP BY dest HAVING count(DISTINCT page_id) > 1",
@@ -193,6 +196,11 @@ ORACLE_SQL = {
           FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)) WHERE r = 1""",
     "cache_keys": "SELECT doc_id, sha256(sha256(text) || chr(0) || 'model' || chr(0) || '1') AS cache_key, left(sha256(text), 8) AS hash8 FROM documents",
     "ascii_slugs": r"SELECT doc_id, trim(regexp_replace(lower(regexp_replace(text, '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents",
+    "nfkd_slugs": rf"""WITH m AS (SELECT {_TABLE} AS m), t AS (
+          SELECT doc_id, text, regexp_extract_all(translate(text, '{_SINGLE}', '{_PLAIN.replace("'", "''")}'), '[^\x00-\x7F]|[\x00-\x7F]+') AS runs FROM documents),
+        a AS (SELECT doc_id, text, array_to_string(list_transform(runs, lambda c: CASE WHEN regexp_matches(c, '^[\x00-\x7F]') THEN c ELSE coalesce(map_extract_value(m, c), '') END), '') AS plain FROM t, m),
+        s AS (SELECT doc_id, text, trim(regexp_replace(lower(plain), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM a)
+        SELECT doc_id, rtrim(left(CASE WHEN slug IN ('', {', '.join(f"'{r}'" for r in S.RESERVED)}) THEN 'asset' ELSE slug END, 80 - 13), '-') || '-' || left(sha256(text), 8) || '.png' AS name FROM s""",
     "decoded_links": f"WITH {_LINKS} SELECT page_id, i, url_decode(dest) AS decoded, regexp_matches(dest, '^[A-Za-z][A-Za-z0-9+.-]*:') AS remote FROM links WHERE i > 0",
     "oversize": "SELECT doc_id, strlen(text) AS n_bytes FROM documents WHERE strlen(text) > 20000",
     "parity_full_outer": """WITH a AS (SELECT source, count(*) AS n FROM documents WHERE lang = 'de' GROUP BY 1),

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
+import sys
 import unicodedata
-from urllib.parse import quote, unquote
+from functools import lru_cache
+from urllib.parse import quote
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Device names that no file may bear, image extensions, schemes, type prefixes, and the
 # credential pattern of single lines ([[:space:]] spelt out, as Java has no such class).
@@ -23,10 +22,30 @@ CREDENTIAL = r"""(?i)(api[_-]?key|secret|token|password)[[:space:]]*[:=][[:space
 LIMIT = 120
 
 
-@F.pandas_udf(T.StringType())
-def ascii_nfkd(value: pd.Series) -> pd.Series:
-    """Compatibility decomposition with every character outside ASCII deleted; no built-in does this."""
-    return value.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+@lru_cache(maxsize=1)
+def nfkd_ascii() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition leaves of code points outside ASCII when all but ASCII goes:
+    two equally long strings for those that leave one character, and a table for those that leave more.
+
+    Decomposition moves no ASCII character, so that of a text is that of its code points in a row."""
+    left = {}
+    for i in range(0x80, sys.maxunicode + 1):
+        plain = unicodedata.normalize("NFKD", chr(i)).encode("ascii", "ignore").decode() if not 0xD800 <= i <= 0xDFFF else ""
+        if plain:
+            left[chr(i)] = plain
+    single = [c for c, p in left.items() if len(p) == 1]
+    return "".join(single), "".join(left[c] for c in single), {c: p for c, p in left.items() if len(p) > 1}
+
+
+def ascii_nfkd(value: Column) -> Column:
+    """Compatibility decomposition with every character outside ASCII deleted, by tables made at plan
+    time; only a text with a character that leaves several is taken apart."""
+    source, target, several = nfkd_ascii()
+    short = F.regexp_replace(F.translate(value, source, target), f"[^\\x00-\\x7F{''.join(several)}]", "")
+    table = F.map_from_arrays(F.array(*map(F.lit, several)), F.array(*map(F.lit, several.values())))
+    runs = F.regexp_extract_all(short, F.lit(r"[^\x00-\x7F]|[\x00-\x7F]+"), F.lit(0))
+    whole = F.array_join(F.transform(runs, lambda c: F.when(c.rlike(r"^[\x00-\x7F]"), c).otherwise(F.try_element_at(table, c))), "")
+    return F.when(short.rlike(r"[^\x00-\x7F]"), whole).otherwise(short)
 
 
 def ascii_slug(value: Column) -> Column:
@@ -39,11 +58,6 @@ def slugify(value: Column) -> Column:
     return ascii_slug(ascii_nfkd(value))
 
 
-def slug(value: str) -> str:
-    plain = unicodedata.normalize("NFKD", value).encode("ascii", "ignore").decode()
-    return re.sub("[^a-z0-9]+", "-", plain.lower()).strip("-")
-
-
 def safe_filename(stem: Column, suffix: Column, hash8: Column, limit: int = LIMIT) -> Column:
     """<slug>-<hash8><suffix>, at most limit characters where the tail leaves room for one."""
     base = slugify(stem)
@@ -168,14 +182,14 @@ def staging_name(name: str, transaction: str) -> str:
     return f".{name}.asset-rename-{transaction}.tmp"
 
 
-def sha256_bytes(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
-def unquoted(value: str) -> str:
-    return unquote(value)
-
-
 def rewrite_bytes(content: Column, replacements: Column) -> Column:
-    """content with byte spans (start, end, value) replaced, last one first so that offsets hold."""
-    return F.aggregate(F.reverse(F.array_sort(replacements)), content, lambda a, x: F.overlay(a, x["value"], (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))
+    """content with byte spans (start, end, value) replaced: each value after the bytes since the span
+    before it, and the rest after the last, joined once."""
+    spans = F.array_sort(replacements)
+    ends = F.transform(spans, lambda x: x["end"])
+    gap = lambda a, b: F.substring(content, (a + 1).cast("int"), (b - a).cast("int"))
+    pieces = F.transform(spans, lambda x, i: F.concat(gap(F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0)), x["start"]), x["value"]))
+    last = F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0))
+    rest = gap(last, F.octet_length(content).cast("long"))
+    joined = F.array_join(F.transform(F.concat(pieces, F.array(rest)), lambda b: F.hex(b)), "")
+    return F.unhex(joined)

@@ -155,12 +155,23 @@ def test_slugs_against_plain_version(spark):
     import re
     import unicodedata
 
-    texts = ["Éther ﬁlm: ½ ß", "a’b", "图 1 温度", "", "  --x--  ", "Ångström № ２", None]
+    texts = ["Éther ﬁlm: ½ ß", "a’b", "图 1 温度", "", "  --x--  ", "Ångström № ２", None, "⑩ ㎏ ﬃ x", "𝐁old 𝟙 🄐 \U0001f600", "가 각", "e\u0301\u0323", "“q” ¨ ´", "x" * 500 + "㏒"]
+    texts += ["".join(map(chr, range(i, i + 512))) for i in range(0x80, 0x11000, 512) if not 0xD600 <= i <= 0xDFFF] + ["".join(map(chr, range(0x1D400, 0x1F400)))]
     plain = lambda t: None if t is None else re.sub("[^a-z0-9]+", "-", unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower()).strip("-")
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(S.slugify(F.col("t"))).collect()] == [plain(t) for t in texts]
 
 
+def test_rewrite_of_many_spans(spark):
+    raw = "图 a\r\nb ".encode() * 500
+    spans = [(i * 9 + 3, i * 9 + 3 + i % 3, b"\xff" * (i % 4)) for i in range(500)]
+    want, at = b"", 0
+    for a, b, v in spans:
+        want, at = want + raw[at:a] + v, b
+    df = spark.createDataFrame([(bytearray(raw), spans[::-1]), (bytearray(b"x"), []), (bytearray(b""), [(0, 0, bytearray(b"y"))])], "content binary, spans array<struct<start:long,end:long,value:binary>>")
+    assert [bytes(r[0]) for r in df.select(S.rewrite_bytes(F.col("content"), F.col("spans"))).collect()] == [want + raw[at:], b"x", b"y"]
+
+
 def test_command_line(spark, tmp_path, capsys):
     import json
 
