@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import scalars as S
-from .operators import blocks, graph, scans
+from .operators import blocks, graph, scans, tables, trees
 from .operators.scan import link_spans, split_spans
 from .streaming.arrivals import flag_credentials
 
@@ -144,6 +144,41 @@ def tree_changes(spark, sf_dir):
     return graph.tree_difference(hashed(docs, F.col("text")), hashed(labelled, F.translate("text", "\n", " ")))
 
 
+def _paths(docs: DataFrame, text) -> DataFrame:
+    """Documents as files: path (language, source, tens of the id, id) and sha256 of the text."""
+    path = F.concat_ws("/", "lang", "source", F.expr("doc_id div 10").cast("string"), F.col("doc_id").cast("string"))
+    return docs.select(path.alias("path"), F.sha2(text.cast("binary"), 256).alias("sha256"))
+
+
+def path_counts(spark, sf_dir):
+    """Documents at or below every folder of their paths."""
+    return trees.path_counts(_paths(_read(spark, sf_dir, "documents"), F.col("text")))
+
+
+def folder_changes(spark, sf_dir):
+    """Folders that change when toxic documents go and dollar signs become spaces."""
+    docs = _read(spark, sf_dir, "documents")
+    rest = docs.join(_read(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_anti")
+    return trees.folder_changes(_paths(docs, F.col("text")), _paths(rest, F.translate("text", "$", " ")))
+
+
+def changed_files(spark, sf_dir):
+    """The files behind folder_changes."""
+    docs = _read(spark, sf_dir, "documents")
+    rest = docs.join(_read(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_anti")
+    return trees.changed_files(_paths(docs, F.col("text")), _paths(rest, F.translate("text", "$", " ")))
+
+
+def declared_counts(spark, sf_dir):
+    """Lengths that tables of conversations declare: a user's turn begins a table, assistants' turns are
+    its rows, a system turn ends it."""
+    turns = _read(spark, sf_dir, "conversations")
+    row = F.concat(F.lit("| **turn "), F.col("turn").cast("string"), F.lit("** | "), F.format_number(F.char_length("text"), 0), F.lit(" |"))
+    made = F.when(F.col("role") == "user", F.array(F.lit(""), F.lit("| Name | Count |"), F.lit("|:---|---:|"))).when(F.col("role") == "assistant", F.array(row)).otherwise(F.array(F.lit("Plain text.")))
+    lines = turns.select(F.col("conv_id").cast("string").alias("doc_path"), "turn", F.posexplode(made).alias("k", "text"))
+    return tables.declared_counts(lines.select("doc_path", (4 * F.col("turn") + F.col("k")).alias("line"), "text"), "name", "count")
+
+
 def name_collisions(spark, sf_dir):
     plan = _read(spark, sf_dir, "documents").select(F.concat_ws("-", F.upper("lang"), F.col("n_chars").cast("string")).alias("new_path"))
     return graph.target_collisions(plan)
@@ -166,7 +201,7 @@ def rewrite_spans(spark, sf_dir):
     return pages.join(links, "page_id").select("page_id", F.sha2(new, 256).alias("sha256"), F.octet_length(new).cast("long").alias("n_bytes"))
 
 
-QUERIES = {f.__name__: f for f in (span_scan, shared_refs, dup_sha, secret_lines, category_rollup, unmatched_anti, unmatched_beside_semi, metadata_left, sequence_numbers, evidence_top1, cache_keys, ascii_slugs, nfkd_slugs, decoded_links, oversize, parity_full_outer, asof_heading, adjacent_caption, outside_ranges, block_lines, tree_changes, name_collisions, summary_counts, utf8_count, rewrite_spans)}
+QUERIES = {f.__name__: f for f in (span_scan, shared_refs, dup_sha, secret_lines, category_rollup, unmatched_anti, unmatched_beside_semi, metadata_left, sequence_numbers, evidence_top1, cache_keys, ascii_slugs, nfkd_slugs, decoded_links, oversize, parity_full_outer, asof_heading, adjacent_caption, outside_ranges, block_lines, tree_changes, path_counts, folder_changes, changed_files, declared_counts, name_collisions, summary_counts, utf8_count, rewrite_spans)}
 
 _LINKS = """links AS (
   SELECT page_id, i, split_part(part, '"', 1) AS dest,
@@ -174,6 +209,11 @@ _LINKS = """links AS (
   FROM (SELECT page_id, unnest(parts) AS part, CAST(unnest(range(len(parts))) AS BIGINT) AS i
         FROM (SELECT page_id, string_split(html, '<a href="') AS parts FROM pages)))"""
 
+_FILES = """files AS (SELECT *, concat_ws('/', lang, source, doc_id // 10, doc_id) AS path, concat_ws('/', lang, source, doc_id // 10) AS folder FROM documents),
+        rest AS (SELECT path, folder, sha256(replace(text, '$', ' ')) AS sha256 FROM files f WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = f.doc_id AND toxic = 1)),
+        was AS (SELECT path, folder, sha256(text) AS sha256 FROM files)"""
+_ABOVE = "SELECT *, unnest(list_transform(range(0, len(string_split(folder, '/')) + 1), lambda k: array_to_string(string_split(folder, '/')[1:k], '/'))) AS top"
+
 _SINGLE, _PLAIN, _SEVERAL = S.nfkd_ascii()
 _TABLE = f"map([{', '.join(f"'{c}'" for c in _SEVERAL)}], [{', '.join("'" + p.replace("'", "''") + "'" for p in _SEVERAL.values())}])"
 
@@ -225,6 +265,18 @@ ORACLE_SQL = {
     "tree_changes": """WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS sha256 FROM documents),
         b AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(replace(text, chr(10), ' ')) AS sha256 FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id))
         SELECT *, 'before' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'after' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""",
+    "path_counts": f"""WITH {_FILES} SELECT top AS folder, CASE WHEN top = '' THEN 0 ELSE len(string_split(top, '/')) END AS depth, count(*) AS n
+        FROM ({_ABOVE} FROM was) GROUP BY top""",
+    "folder_changes": f"""WITH {_FILES}, differ AS ((SELECT * FROM was EXCEPT ALL SELECT * FROM rest) UNION ALL (SELECT * FROM rest EXCEPT ALL SELECT * FROM was)),
+        tops AS (SELECT DISTINCT top FROM ({_ABOVE} FROM differ)),
+        a AS (SELECT top, count(*) AS n FROM ({_ABOVE} FROM was) GROUP BY top), b AS (SELECT top, count(*) AS n FROM ({_ABOVE} FROM rest) GROUP BY top)
+        SELECT tops.top AS folder, a.n AS n_before, coalesce(b.n, 0) AS n_after, CASE WHEN b.n IS NULL THEN 'removed' ELSE 'changed' END AS status
+        FROM tops JOIN a ON a.top = tops.top LEFT JOIN b ON b.top = tops.top""",
+    "changed_files": f"""WITH {_FILES} SELECT path, sha256, 'before' AS side FROM (SELECT path, sha256 FROM was EXCEPT ALL SELECT path, sha256 FROM rest)
+        UNION ALL SELECT path, sha256, 'after' AS side FROM (SELECT path, sha256 FROM rest EXCEPT ALL SELECT path, sha256 FROM was)""",
+    "declared_counts": """SELECT CAST(conv_id AS VARCHAR) AS doc_path, 'turn ' || turn AS name, length(text) AS n FROM (
+          SELECT *, last_value(CASE WHEN role <> 'assistant' THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+          FROM conversations) WHERE role = 'assistant' AND before = 'user'""",
     "name_collisions": "SELECT lower(concat_ws('-', upper(lang), n_chars)) AS target, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
     "summary_counts": """SELECT count(*) AS documents, count(DISTINCT source) AS sources, count(*) FILTER (quality IS NULL) AS missing, count(*) FILTER (toxic = 1) AS warnings
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
