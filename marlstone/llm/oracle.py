@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .jaccard import PERCENT, WORDS
-from .quality import LANGUAGES, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS, SYMBOLS, WORD_SHARES
+from .quality import LANGUAGES, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS, NOISE, SYMBOLS, WORD_SHARES
 from .toolcalls import MAX_TEXT, MAX_TURN
 
 _GAP = r"[\x20\x09-\x0D]+"
@@ -41,7 +41,8 @@ f AS (
   SELECT k, doc_id, lang, {_words('t')} AS words, length(t) AS n_chars,
          length(regexp_replace(t, '{_GAP}', '', 'g')) AS word_chars, {_matches(f'[{SYMBOLS}]')} AS n_symbols,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
-         {_matches('[A-Z]')} AS upper, {_matches('[0-9]')} AS digit, {_matches(r'[!-/:-@\[-`{-~]')} AS mark, {_matches(r'[^\x00-\x7F]')} AS wide
+         {_matches('[0-9]')} AS digit, {_matches(r'[!-/:-@\[-`{-~]')} AS mark, {_matches(r'[^\x00-\x7F]')} AS wide,
+         {_matches(r'[^\x00-\x7F\p{Latin}\p{Cyrillic}]')} AS foreign_chars
   FROM t),
 positions AS (SELECT k, words, unnest(range(1, len(words) - 1)) AS i FROM f),
 windows AS (SELECT k, i, count(*) OVER (PARTITION BY k, words[i], words[i + 1], words[i + 2]) AS n FROM positions),
@@ -49,18 +50,19 @@ repeated AS (SELECT k, count(*) AS n_repeat_words FROM (SELECT DISTINCT k, unnes
 g AS (
   SELECT f.k, doc_id, lang, len(words) AS n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
          coalesce(n_repeat_words, 0) AS n_repeat_words, n_chars,
-         [word_chars - upper - digit - mark - wide, upper, digit, mark, wide, n_chars - word_chars] AS classes,
+         [word_chars - digit - mark - wide, digit, mark, wide, n_chars - word_chars] AS classes,
+         coalesce(lang IN ({_quoted(LANGUAGES)}), false) OR 2 * foreign_chars <= word_chars AS familiar,
          list_transform(words, lambda x: rtrim(lower(x), '.,;:!?')) AS bare
   FROM f LEFT JOIN repeated ON repeated.k = f.k),
 h AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM g),
-u AS (SELECT *, NOT base_failed AND n_words >= {MIN_WORDS} AND n_chars >= {MIN_CHARS} AS usable FROM h),
+u AS (SELECT *, NOT base_failed AND n_words >= {MIN_WORDS} AND n_chars >= {MIN_CHARS} AND familiar AS usable FROM h),
 w AS (SELECT k, n_words, bare, unnest({_of_language({k: f"[{_quoted(v[0])}]" for k, v in LANGUAGES.items()})}) AS list FROM u WHERE usable),
 c AS (SELECT k, list_transform(list, lambda v: len(list_filter(bare, lambda x: x = v))) AS known, n_words FROM w),
 word AS (SELECT k, min({_distance(_shares('counts'), str(WORD_SHARES))}) AS d FROM (SELECT k, list_append(known, greatest(0, n_words - list_sum(known))) AS counts FROM c) GROUP BY k),
 r AS (SELECT k, classes, unnest({_of_language({k: str(v[1]) for k, v in LANGUAGES.items()})}) AS ref FROM u WHERE usable),
 class AS (SELECT k, min({_distance(_shares('classes'), 'ref')}) AS d FROM r GROUP BY k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce(class.d > {MAX_CLASS_DISTANCE} OR word.d > {MAX_WORD_DISTANCE}, false) AS kept
+       NOT base_failed AND NOT coalesce(class.d > {MAX_CLASS_DISTANCE} OR word.d * word.d - {NOISE} / n_words > {MAX_WORD_DISTANCE * MAX_WORD_DISTANCE}, false) AS kept
 FROM u LEFT JOIN word ON word.k = u.k LEFT JOIN class ON class.k = u.k"""
 
 #: Five hex digits are four base32 characters.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,17 +12,21 @@ from .common import GAP
 SYMBOLS = "#*$%&|<>"
 
 # The sixteen commonest words of each language in the order of their frequency, and
-# the usual shares of lower-case and other plain letters, capitals, digits, punctuation, characters
+# the usual shares of ASCII letters and other plain characters, digits, punctuation, characters
 # outside ASCII and white space in its prose.
 LANGUAGES = {
-    "de": (["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "dem"], [0.770, 0.050, 0.005, 0.025, 0.015, 0.135]),
-    "en": (["the", "of", "and", "to", "a", "in", "is", "that", "it", "for", "was", "on", "with", "as", "by", "be"], [0.780, 0.025, 0.005, 0.025, 0.000, 0.165]),
-    "es": (["de", "la", "que", "el", "en", "y", "los", "se", "las", "del", "un", "por", "con", "no", "una", "su"], [0.765, 0.020, 0.005, 0.025, 0.020, 0.165]),
-    "fr": (["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "pour", "est", "dans", "qui", "par"], [0.745, 0.025, 0.005, 0.030, 0.035, 0.160]),
-    "it": (["di", "e", "la", "il", "che", "in", "a", "un", "per", "del", "non", "una", "con", "della", "i", "le"], [0.780, 0.025, 0.005, 0.025, 0.010, 0.155]),
-    "nl": (["de", "het", "van", "een", "en", "in", "is", "dat", "op", "te", "zijn", "voor", "met", "die", "niet", "aan"], [0.780, 0.025, 0.005, 0.025, 0.001, 0.164]),
-    "pt": (["de", "a", "o", "que", "e", "do", "da", "em", "um", "para", "com", "não", "uma", "os", "no", "se"], [0.750, 0.025, 0.005, 0.025, 0.035, 0.160]),
+    "de": (["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "dem"], [0.820, 0.005, 0.025, 0.015, 0.135]),
+    "en": (["the", "of", "and", "to", "a", "in", "is", "that", "it", "for", "was", "on", "with", "as", "by", "be"], [0.805, 0.005, 0.025, 0.000, 0.165]),
+    "es": (["de", "la", "que", "el", "en", "y", "los", "se", "las", "del", "un", "por", "con", "no", "una", "su"], [0.785, 0.005, 0.025, 0.020, 0.165]),
+    "fr": (["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "pour", "est", "dans", "qui", "par"], [0.770, 0.005, 0.030, 0.035, 0.160]),
+    "it": (["di", "e", "la", "il", "che", "in", "a", "un", "per", "del", "non", "una", "con", "della", "i", "le"], [0.805, 0.005, 0.025, 0.010, 0.155]),
+    "nl": (["de", "het", "van", "een", "en", "in", "is", "dat", "op", "te", "zijn", "voor", "met", "die", "niet", "aan"], [0.805, 0.005, 0.025, 0.001, 0.164]),
+    "pl": (["w", "i", "na", "z", "się", "do", "nie", "że", "to", "jest", "o", "a", "po", "jak", "od", "za"], [0.760, 0.005, 0.030, 0.060, 0.145]),
+    "pt": (["de", "a", "o", "que", "e", "do", "da", "em", "um", "para", "com", "não", "uma", "os", "no", "se"], [0.775, 0.005, 0.025, 0.035, 0.160]),
+    "ru": (["и", "в", "не", "на", "что", "с", "он", "как", "по", "а", "но", "к", "из", "у", "это", "за"], [0.000, 0.005, 0.030, 0.815, 0.150]),
 }
+#: Characters of no script that the references are written in.
+FOREIGN = r"[^\x00-\x7F\p{IsLatin}\p{IsCyrillic}]"
 VOCABULARY = sorted({w for words, _ in LANGUAGES.values() for w in words})
 #: Zipf's law for common words: the share of the word of rank r is FIRST / r ** EXPONENT.
 FIRST, EXPONENT, RANKS = 0.063, 0.87, 16
@@ -29,8 +35,10 @@ WORD_SHARES.append(round(1 - sum(WORD_SHARES), 6))
 
 #: A document is judged by divergence from this many words and code points.
 MIN_WORDS, MIN_CHARS = 50, 200
-#: Largest Jensen-Shannon distance (base 2, 0 to 1) to the language's reference.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.27, 0.30
+#: Largest Jensen-Shannon distance (base 2, 0 to 1) to the language's reference; that of words after
+#: its square is less by NOISE / words, the divergence that a sample of so many words has by chance.
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.27, 0.24
+NOISE = round(RANKS / (8 * math.log(2)), 6)
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -73,7 +81,9 @@ def text_features(docs: DataFrame, text: str, doc_id: str, lang: str) -> DataFra
     bare = F.transform("words", lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?")))
     common = F.array_join(F.filter(bare, lambda w: w.isin(*VOCABULARY)), "  ")
     n_chars, white = F.char_length("t").cast("long"), _count(F.col("t"), r"[\x20\x09-\x0D]")
-    upper, digit, mark, wide = (_count(F.col("t"), p) for p in ("[A-Z]", "[0-9]", r"[!-/:-@\[-`{-~]", r"[^\x00-\x7F]"))
+    digit, mark, wide = (_count(F.col("t"), p) for p in ("[0-9]", r"[!-/:-@\[-`{-~]", r"[^\x00-\x7F]"))
+    # texts of a language with a reference are not looked at for their script
+    foreign = F.when(F.col("lang").isin(*LANGUAGES), F.lit(0)).otherwise(_count(F.col("t"), FOREIGN)).cast("long")
     # a generator, so that no filter on the verdict moves these into itself and computes them over and over
     features = F.struct(
         F.size("words").cast("long").alias("n_words"),
@@ -82,7 +92,8 @@ def text_features(docs: DataFrame, text: str, doc_id: str, lang: str) -> DataFra
         _once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
         n_chars.alias("n_chars"),
-        F.array(upper, digit, mark, wide, white).alias("counts"),
+        (2 * foreign > n_chars - white).alias("foreign"),
+        F.array(digit, mark, wide, white).alias("counts"),
         F.concat(F.lit(" "), common, F.lit(" ")).alias("common"),
     )
     df = df.select("row", "doc_id", "lang", F.explode(F.array(features)).alias("f")).select("row", "doc_id", "lang", "f.*")
@@ -136,24 +147,26 @@ def judge_quality(
     n_repeat_words the words in 3-word windows that occur twice or more. base_failed: fewer than 50
     words, or more than half of them repeated.
 
-    References are fixed and stand apart from the corpus: usual shares of six character classes,
-    and Zipf's law over a language's commonest words in their order. A document is rejected if its
-    Jensen-Shannon distance to its language's reference exceeds either limit; one of a language
-    without a reference, or of none, is held against the nearest of all references. Documents
-    below MIN_WORDS or MIN_CHARS are judged by the base rules alone. A verdict depends on the
+    References are fixed and stand apart from the corpus: usual shares of five character classes,
+    letters of either case alike, and Zipf's law over a language's commonest words in their order. A
+    document is rejected if its Jensen-Shannon distance to its language's reference exceeds either
+    limit, that of words less what chance adds in a text of its length; one of a language without a reference, or of none, is held against the nearest of all
+    references, unless most of its characters are of scripts that no reference is written in: such a
+    document, and those below MIN_WORDS or MIN_CHARS, are judged by the base rules alone. A verdict depends on the
     document's own text and language only, so no rows meet and equal rows have equal verdicts.
 
     A null text has no words, so it fails the base rules, as does an empty one; texts of any length are
     read whole; an empty table gives no rows. Other columns are ignored, whatever their names."""
     rows = text_features(docs, text, doc_id, lang)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    usable = ~failed & (F.col("n_words") >= MIN_WORDS) & (F.col("n_chars") >= MIN_CHARS)
+    usable = ~failed & (F.col("n_words") >= MIN_WORDS) & (F.col("n_chars") >= MIN_CHARS) & ~F.col("foreign")
     lists = _of_language({k: F.array(*map(F.lit, words)) for k, (words, _) in LANGUAGES.items()})
     classes = _of_language({k: F.array(*map(F.lit, shares)) for k, (_, shares) in LANGUAGES.items()})
     zipf = F.array(*map(F.lit, WORD_SHARES))
     class_distance = _once(_shares(F.col("classes")), lambda p: F.array_min(F.transform(classes, lambda q: _distance(p, q))))
     word_distance = F.array_min(F.transform(lists, lambda words: _distance(_shares(_common_counts(words)), zipf)))
     rows = rows.withColumns({"base_failed": failed, "class_distance": F.when(usable, class_distance), "word_distance": F.when(usable, word_distance)})
-    far = F.coalesce((F.col("class_distance") > max_class) | (F.col("word_distance") > max_word), F.lit(False))
+    beyond = F.col("word_distance") * F.col("word_distance") - NOISE / F.col("n_words")
+    far = F.coalesce((F.col("class_distance") > max_class) | (beyond > max_word * max_word), F.lit(False))
     names = ("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed")
     return rows.select(*names, (~F.col("base_failed") & ~far).alias("kept"), *(["row"] if with_row else []))

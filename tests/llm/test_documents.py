@@ -159,6 +159,34 @@ def test_quality_labels(spark):
     assert kept[1][0] >= 0.99 * kept[1][1] and kept[0][0] <= 0.25 * kept[0][1]
 
 
+# openings of three books of the public domain
+TOLSTOY = """Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.
+Все смешалось в доме Облонских. Жена узнала, что муж был в связи с бывшею в их доме француженкою-гувернанткой, и объявила мужу,
+что не может жить с ним в одном доме. Положение это продолжалось уже третий день и мучительно чувствовалось и самими супругами,
+и всеми членами семьи, и домочадцами. Все члены семьи и домочадцы чувствовали, что нет смысла в их сожительстве и что на каждом
+постоялом дворе случайно сошедшиеся люди более связаны между собой, чем они, члены семьи и домочадцы Облонских."""
+MICKIEWICZ = """Litwo! Ojczyzno moja! ty jesteś jak zdrowie. Ile cię trzeba cenić, ten tylko się dowie, kto cię stracił.
+Dziś piękność twą w całej ozdobie widzę i opisuję, bo tęsknię po tobie. Panno święta, co Jasnej bronisz Częstochowy
+i w Ostrej świecisz Bramie! Ty, co gród zamkowy nowogródzki ochraniasz z jego wiernym ludem! Jak mnie dziecko do zdrowia
+powróciłaś cudem, gdy od płaczącej matki pod Twoją opiekę ofiarowany, martwą podniosłem powiekę i zaraz mogłem pieszo
+do Twych świątyń progu iść za wrócone życie podziękować Bogu."""
+AUSTEN = """It is a truth universally acknowledged, that a single man in possession of a good fortune, must be in want of a wife.
+However little known the feelings or views of such a man may be on his first entering a neighbourhood, this truth is so well
+fixed in the minds of the surrounding families, that he is considered as the rightful property of some one or other of their daughters."""
+
+
+def test_quality_scripts(spark):
+    rnd = random.Random(3)
+    greek = " ".join("".join(rnd.choices("αβγδεηικλμνορστυ", k=rnd.randint(2, 8))) for _ in range(120))
+    kept = [(TOLSTOY, "ru"), (TOLSTOY, None), (MICKIEWICZ, "pl"), (MICKIEWICZ, None), (AUSTEN, "en"), (AUSTEN.upper(), "en"), (AUSTEN.upper(), "xx"), (greek, "el"), (greek, None)]
+    gone = [(TOLSTOY, "en"), (greek, "en"), (TOLSTOY, "pl")]
+    rows = [(i, *r) for i, r in enumerate(kept + gone)]
+    got = {r["doc_id"]: r for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert [got[i]["kept"] for i in range(len(rows))] == [True] * len(kept) + [False] * len(gone), [(i, r["class_distance"], r["word_distance"]) for i, r in got.items()]
+    assert [i for i, r in got.items() if r["class_distance"] is None] == [7, 8]
+
+
 def groups(rows):
     out = defaultdict(int)
     for r in rows:
