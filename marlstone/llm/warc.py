@@ -6,6 +6,7 @@ import base64
 import hashlib
 import struct
 import uuid
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -17,6 +18,8 @@ from .common import Tables, skew_join
 #: Magic number of the leading skippable frame that holds the dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
 ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES, LEVEL = 16 << 20, 32 << 10, 1 << 20, 3
+#: Records without payload that every dictionary is trained on besides the archive's own.
+BARE = 64
 #: A skippable frame without content, which ends each file; its bytes are all ASCII.
 EMPTY_FRAME = struct.pack("<II", 0x184D2A50, 0)
 #: Fixed date of the records, so that reruns write the same bytes.
@@ -45,15 +48,17 @@ def build_record(page_id, url: str | None, ident: str, size: int, digest: str, p
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+@lru_cache(maxsize=1)
+def bare_records() -> list[bytes]:
+    """Records without payload, of BARE invented pages."""
+    return [build_record(i, f"http://example.org/{i}", record_id(i, None, "", 0), 0, payload_digest(b"%d" % i), b"") for i in range(BARE)]
+
+
 def build_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
-    """Trained on records spread evenly over the archive, SAMPLE_BYTES in all; where these are too few
-    to train on, the records' first bytes themselves are the dictionary."""
+    """Trained on records spread evenly over the archive, SAMPLE_BYTES in all, and always on the bare
+    records too, which are enough to train on however few and small the archive's own are."""
     share = max(1, -(-sum(map(len, records)) // SAMPLE_BYTES))
-    samples = records[::share]
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8, level=LEVEL)
-    except zstandard.ZstdError:
-        return zstandard.ZstdCompressionDict(b"".join(samples)[:DICTIONARY_BYTES].ljust(8, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.train_dictionary(DICTIONARY_BYTES, [*bare_records(), *records[::share]], k=256, d=8, level=LEVEL)
 
 
 def build_archive(records: list[bytes]) -> bytes:
