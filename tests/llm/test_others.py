@@ -1,6 +1,8 @@
 """Vectors, archives, pieces, tool calls and the pipeline against plain versions and round trips."""
 
 import json
+import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -110,6 +112,16 @@ def test_warc_repeated_rows(spark, tmp_path):
     assert len(set(ids)) == len(ids) == len(rows)
 
 
+def test_warc_dictionary_is_trained():
+    # one way for all archives: a trained dictionary has an id of its own, however few the records
+    rnd = random.Random(2)
+    for records in ([], [b""], [b"x"] * 3, [rnd.randbytes(2_000_000)], [rnd.randbytes(rnd.randrange(5000)) for _ in range(400)]):
+        assert warc.build_dictionary(records).dict_id() > 0
+    record = warc.build_record(1, "u", "<urn:uuid:x>", 3, warc.payload_digest(b"abc"), b"abc")
+    assert [(h["X-Page-ID"], p) for h, p in warc.read_archive(warc.build_archive([record]))] == [("1", b"abc")]
+    assert list(warc.read_archive(warc.build_archive([]))) == []
+
+
 TEXTS = ["the cat", "", "a", "héllo  wörld\nx\t", "ﬁ½ 日本語 😀 z", "  lead", "a" * 40, None]
 
 
@@ -153,6 +165,26 @@ def test_pieces_distribution():
     assert abs(estimate - sum(p[a] * len(a) for a in p)) < 0.05
 
 
+def test_pieces_long_word():
+    # no cut at any length: pieces, sums and texts are those of the whole word
+    voc, rnd = pieces.vocabulary(), random.Random(6)
+    word = "".join(rnd.choice(["the", "cat", "ing", "z", "é", "日"]) for _ in range(4000))
+    text = "▁" + word
+    id_of = {p: i for i in range(voc.processor.vocab_size()) if len(p := voc.processor.id_to_piece(i)) <= voc.longest and not (voc.processor.is_byte(i) or voc.processor.is_unknown(i) or voc.processor.is_control(i) or voc.processor.is_unused(i))}
+    total = [0.0] + [-math.inf] * len(text)
+    for j in range(1, len(text) + 1):
+        ways = [total[j - k] + voc.log_p[id_of[text[j - k : j]]] for k in range(1, min(j, voc.longest) + 1) if text[j - k : j] in id_of]
+        if text[j - 1] not in id_of:
+            ways.append(total[j - 1] + len(text[j - 1].encode()) * voc.log_p[voc.byte_ids[0]])
+        total[j] = np.logaddexp.reduce(ways)
+    rows = list(pieces.sample_texts([word, "the cat", word + " end"], np.array([5, 6, 7]), 2, with_ids=True))
+    assert [(r[0], r[1]) for r in sorted(rows, key=lambda r: r[:2])] == [(d, s) for d in range(3) for s in (1, 2)]
+    for r in rows:
+        assert voc.processor.decode(r[7]) == [word, "the cat", word + " end"][r[0]] and r[2] == len(r[7])
+        if r[0] == 0:
+            assert abs(r[3] - (sum(voc.log_p[i] for i in r[7]) - total[-1])) < 1e-6
+
+
 SCHEMAS = {"add": {"properties": {"a": {"type": "integer", "maximum": 9}, "b": {"type": ["number", "null"]}, "op": {"enum": ["x", "y"]}}, "required": ["a"], "additionalProperties": False}}
 
 
