@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +19,8 @@ from ..operators.graph import GENERIC, build_graph, choose_evidence, markdown_co
 from ..operators.scan import resolve, scan_markdown
 from ..sources import corpus
 from ..sources.staging import staged
+from ..sources.tree import local_path
+from ..sources.versions import write_version
 
 CONFIDENCE = 0.5
 STAGES = ("staged", "first-rename", "documents", "verify")
@@ -156,39 +159,38 @@ def _new_destination(doc: str, new_path: str, style: str) -> bytes:
 def apply_plan(spark: SparkSession, root: str, plan_path: str, target: str, fail_after: str = "") -> str:
     """Write the renamed corpus as a new version in target; root stays as it was.
 
-    A journal of operations with its state is kept beside the new version; on any failure the version
-    is dropped, so root is always whole. fail_after names one of STAGES, for fault injection."""
+    Executors copy, rename and rewrite the files, so root and target must be folders open to all of them;
+    no document passes the driver. A journal of operations with its state is kept beside the new version;
+    on any failure the version is dropped, so root is always whole. fail_after names one of STAGES, for
+    fault injection."""
     plan = corpus.read_plan(plan_path)
     errors = preflight(spark, root, plan)
     if errors:
         raise ValueError("; ".join(errors))
-    target_dir = Path(target)
-    stage = target_dir.with_name(S.staging_name(target_dir.name, "1"))
+    target_dir = Path(local_path(target)).absolute()
+    stage, parts = _stage(target_dir)
+    journal_path = f"{target_dir}.journal.json"
     journal = {"schema": 1, "state": "staging", "operations": []}
 
     def reached(name: str) -> None:
         if fail_after == name:
             raise RuntimeError(f"stopped after {name}")
 
-    def log(kind: str, source: str, to: str) -> None:
-        journal["operations"].append({"seq": len(journal["operations"]), "kind": kind, "source": source, "target": to, "status": "done"})
-        corpus.write_json(f"{target}.journal.json", journal)
-
-    corpus.write_json(f"{target}.journal.json", journal)
+    for left in (stage, parts):
+        shutil.rmtree(left, ignore_errors=True)
+    corpus.write_json(journal_path, journal)
     try:
-        shutil.copytree(root, stage, symlinks=True, ignore=lambda d, names: [n for n in names if n in corpus.CACHE_DIRECTORIES])
-        reached("staged")
-        for a in plan["assets"]:
-            os.replace(stage / a["old_path"], stage / a["new_path"])
-            log("rename", a["old_path"], a["new_path"])
-            reached("first-rename")
+        files = corpus.version_files(spark, root)
+        renames = spark.createDataFrame([(a["old_path"], a["new_path"]) for a in plan["assets"]], "path string, target string")
         values = [(r["doc_path"], r["start"], r["end"], _new_destination(r["doc_path"], a["new_path"], r["encoding_style"])) for a in plan["assets"] for r in a["references"]]
-        if values:
-            spans = spark.createDataFrame(values, "path string, start long, end long, value binary")
-            spans = spans.groupBy("path").agg(F.collect_list(F.struct("start", "end", "value")).alias("spans"))
-            for row in corpus.read_files(spark, root, "*.md").join(spans, "path").select("path", S.rewrite_bytes(F.col("content"), F.col("spans")).alias("new")).toLocalIterator():
-                (stage / row["path"]).write_bytes(bytes(row["new"]))
-                log("replace", row["path"], row["path"])
+        spans = spark.createDataFrame(values, "path string, start long, end long, value binary")
+        reached("staged")
+        try:
+            done = write_version(files, renames, spans, root, str(stage), str(parts), fail_after)
+        except PySparkException as e:
+            raise RuntimeError("the new version could not be written") from e
+        journal["operations"] = [{"seq": i, **o, "status": "done"} for i, o in enumerate(done)]
+        corpus.write_json(journal_path, journal)
         reached("documents")
         wrong = _rescan(spark, str(stage), plan)
         reached("verify")
@@ -197,13 +199,19 @@ def apply_plan(spark: SparkSession, root: str, plan_path: str, target: str, fail
         os.replace(stage, target_dir)
         journal["state"] = "committed"
     finally:
+        shutil.rmtree(parts, ignore_errors=True)
         if journal["state"] != "committed":
             shutil.rmtree(stage, ignore_errors=True)
             journal["state"] = "rolled-back"
             if stage.exists():
                 journal.update(state="rollback-incomplete", left=str(stage))
-        corpus.write_json(f"{target}.journal.json", journal)
-    return f"{target}.journal.json"
+        corpus.write_json(journal_path, journal)
+    return journal_path
+
+
+def _stage(target: Path) -> tuple[Path, Path]:
+    """The folder of a version in the making, and that of its files in the making."""
+    return tuple(target.with_name(S.staging_name(target.name, t)) for t in ("1", "1-parts"))
 
 
 def _rescan(spark: SparkSession, root: str, plan: dict) -> list[str]:
@@ -230,9 +238,11 @@ def rollback(journal_path: str) -> list[str]:
     target = Path(journal_path.removesuffix(".journal.json"))
     if journal["state"] == "rolled-back":
         return []
+    stage, parts = _stage(target)
+    shutil.rmtree(parts, ignore_errors=True)
     if journal["state"] in ("staging", "committed"):
         # noted before anything is dropped, so that a second try drops the same
-        journal["left"] = str(target.with_name(S.staging_name(target.name, "1")) if journal["state"] == "staging" else target)
+        journal["left"] = str(stage if journal["state"] == "staging" else target)
         journal["state"] = "rolling-back"
         journal["operations"].reverse()
         corpus.write_json(journal_path, journal)

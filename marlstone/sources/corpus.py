@@ -44,6 +44,13 @@ def links(spark: SparkSession, root: str) -> DataFrame:
     return read_tree(spark, root).where("link is not null").select(F.col("problem").alias("code"), "path", F.col("link").alias("detail"))
 
 
+def version_files(spark: SparkSession, root: str) -> DataFrame:
+    """What a new version of root holds: path, length and link of files, symbolic links and empty folders,
+    cache directories left out."""
+    rows = read_tree(spark, root, folders=True).select("path", "length", "link")
+    return rows.where(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(c) for c in CACHE_DIRECTORIES])))
+
+
 def _hashes(spark: SparkSession, root: str, pattern: str = "*", suffixes: tuple[str, ...] = ()) -> DataFrame:
     if is_local(root):
         return read_tree(spark, root, pattern, hashed=True, suffixes=suffixes).where("link is null").select("path", "sha256")

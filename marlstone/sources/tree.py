@@ -55,7 +55,7 @@ class TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = os.path.abspath(local_path(options["root"]))
         self.pattern, self.suffixes = options.get("pattern", "*"), tuple(s for s in options.get("suffixes", "").split(",") if s)
-        self.content, self.hashed = options.get("content") == "true", options.get("hashed") == "true"
+        self.content, self.hashed, self.folders = (options.get(k) == "true" for k in ("content", "hashed", "folders"))
 
     def partitions(self) -> list[Folders]:
         if not os.path.isdir(self.root):
@@ -72,6 +72,8 @@ class TreeReader(DataSourceReader):
         for folder in partition.folders:
             with os.scandir(os.path.join(self.root, folder)) as entries:
                 found = sorted(entries, key=lambda e: e.name)
+            if self.folders and not found and folder != ".":
+                yield f"{folder}/", None, None, None, None, None
             for e in found:
                 path = os.path.normpath(os.path.join(folder, e.name))
                 if e.is_symlink():
@@ -92,8 +94,9 @@ class TreeSource(DataSource):
     """Files below root: path (relative), length, and sha256 and content where asked for; a symbolic
     link is a row of its own with link (its target) and problem, and is never followed.
 
-    Options: root, pattern (of the name, case-sensitive), suffixes (lower case, by commas), content and
-    hashed (true or false). A partition reads a run of folders, of about FILES files."""
+    Options: root, pattern (of the name, case-sensitive), suffixes (lower case, by commas), content,
+    hashed and folders (true or false; empty folders are then rows too, with / at the end of their path).
+    A partition reads a run of folders, of about FILES files."""
 
     @classmethod
     def name(cls) -> str:
@@ -106,7 +109,7 @@ class TreeSource(DataSource):
         return TreeReader(self.options)
 
 
-def read_tree(spark: SparkSession, root: str, pattern: str = "*", content: bool = False, hashed: bool = False, suffixes: tuple[str, ...] = ()) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, pattern: str = "*", content: bool = False, hashed: bool = False, suffixes: tuple[str, ...] = (), folders: bool = False) -> DataFrame:
     spark.dataSource.register(TreeSource)
-    options = {"root": root, "pattern": pattern, "content": str(content).lower(), "hashed": str(hashed).lower(), "suffixes": ",".join(suffixes)}
+    options = {"root": root, "pattern": pattern, "content": str(content).lower(), "hashed": str(hashed).lower(), "suffixes": ",".join(suffixes), "folders": str(folders).lower()}
     return spark.read.format(TreeSource.name()).options(**options).load()
