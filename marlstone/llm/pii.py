@@ -32,7 +32,13 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _GROUP = re.compile(r"[0-9]+")
 _BETWEEN = re.compile(r"[ ().\-/]{1,2}")
 _NOT_BEFORE, _NOT_AFTER = frozenset(_ALNUM + "+"), frozenset(_ALNUM + "@")
-_MASKED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]{1,63}+)++")
+_DOT = r"(?:\.| \. | ?(?:\[(?:dot|\.)\]|\((?:dot|\.)\)) ?)"
+_MASKED = re.compile(rf"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?(?:@|\[at\]|\(at\)) ?[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)++")
+_SPOKEN = re.compile(r"(?i)(?<![a-z0-9._%+-])(?<! dot )[a-z0-9._%+-]++(?: dot [a-z0-9._%+-]++)*+ at [a-z0-9-]++(?: dot [a-z0-9-]++)++")
+_MASKED_IP = re.compile(rf"(?i)(?<![0-9])[0-9]++(?:{_DOT}[0-9]++)++")
+
+
+_MAY_MASK = re.compile(r"(?i)@|[\[(]at[\])]| at [a-z0-9-]+ dot ")
 
 
 def luhn(digits: str) -> bool:
@@ -72,10 +78,11 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     }
 
 
-FEATURES = ("length", "digits", "digit_runs", "run_1", "run_2", "run_3", "run_4", "last_run", "longest_run", "first_number", "largest_number", "separators", "kinds_of_separator", "first_separator", "plus", "brackets", "dots", "slashes", "luhn", "issuer", "first_digit", "zeros", "at_sign", "masked", "letter_share", "letters_after_at", "last_label", "spaces", "after_space", "before_space", "left_colon", "left_letter", "cue", "line_start", "digits_near")
+FEATURES = ("length", "digits", "digit_runs", "run_1", "run_2", "run_3", "run_4", "last_run", "longest_run", "first_number", "largest_number", "separators", "kinds_of_separator", "first_separator", "plus", "brackets", "dots", "slashes", "luhn", "issuer", "first_digit", "zeros", "at_sign", "masked", "letter_share", "letters_after_at", "last_label", "spaces", "after_space", "before_space", "left_colon", "left_letter", "cue", "line_start", "digits_near", "spoken", "known_top", "leading_zero", "larger_parts")
 _CUE = re.compile(r"(?i)\b(tel|phone|telefon|call|fax|mobile?|cell|card|visa|pay|mail|e-mail|contact|write|reach)\b")
-_LABEL, HOST = re.compile(r"[A-Za-z0-9-]+(?![A-Za-z0-9\])-])"), 253
-_AT = re.compile(r" ?(?:@|\[at\]|\(at\)) ?")
+# Common top-level labels.
+_TOPS = frozenset("com org net edu gov int info biz io de fr uk es it nl pl ru ch at be se no dk fi pt ie eu us ca au jp cn in br example".split())
+_AT = re.compile(r"(?i) ?(?:@|\[at\]|\(at\)) ?| at ")
 
 
 def features(text: str, start: int, end: int) -> list[float]:
@@ -87,7 +94,8 @@ def features(text: str, start: int, end: int) -> list[float]:
     seps = re.findall("[^A-Za-z0-9]", s)
     left, right = text[max(0, start - 24) : start], text[end : end + 24]
     host = _AT.split(s, maxsplit=1)[-1]
-    return [len(s), len(d), len(runs), *(sizes + [0] * 4)[:4], sizes[-1] if sizes else 0, max(sizes, default=0), min(9999, int(runs[0][:5])) if runs else -1, max((min(9999, int(r[:5])) for r in runs), default=0), len(seps), len(set(seps)), " -./()[@".find(seps[0]) if seps else -2, "+" in s, s.count("("), s.count("."), s.count("/"), 13 <= len(d) <= 19 and luhn(d), d[:1] in "3456" and d != "", int(d[0]) if d else -1, d.startswith("00"), "@" in s, "[" in s or "(at)" in s, sum(c.isalpha() for c in s) / len(s), sum(c.isalpha() for c in host), len(re.split(r"[.\])]", s)[-1].strip()), s.count(" "), right[:1].isspace() or not right, left[-1:].isspace() or not left, left.rstrip().endswith((":", "=")), left[-1:].isalpha(), bool(_CUE.search(left)), not left or left.endswith("\n"), len(_digits(left + right))]
+    last = re.split(r"[.\]) ]", s)[-1]
+    return [len(s), len(d), len(runs), *(sizes + [0] * 4)[:4], sizes[-1] if sizes else 0, max(sizes, default=0), min(9999, int(runs[0][:5])) if runs else -1, max((min(9999, int(r[:5])) for r in runs), default=0), len(seps), len(set(seps)), " -./()[@".find(seps[0]) if seps else -2, "+" in s, s.count("("), s.count("."), s.count("/"), 13 <= len(d) <= 19 and luhn(d), d[:1] in "3456" and d != "", int(d[0]) if d else -1, d.startswith("00"), "@" in s, "[" in s or "(at)" in s.lower(), sum(c.isalpha() for c in s) / len(s), sum(c.isalpha() for c in host), len(last), s.count(" "), right[:1].isspace() or not right, left[-1:].isspace() or not left, left.rstrip().endswith((":", "=")), left[-1:].isalpha(), bool(_CUE.search(left)), not left or left.endswith("\n"), len(_digits(left + right)), " dot " in s.lower(), last.lower() in _TOPS, d.startswith("0") and d[1:2] != "0", sum(len(r.lstrip("0")) > 3 or int(r[-3:]) > 255 for r in runs)]
 
 
 def number_spans(text: str) -> list[tuple[int, int, int]]:
@@ -115,19 +123,20 @@ def number_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def masked_spans(text: str) -> list[tuple[int, int]]:
-    """Masked addresses, whole and cut after each label of the host but the first, as a sentence may go on
-    after the address ("jo [at] uni.net. Then"). A host has HOST characters at most, so cuts end there."""
-    out = []
-    for m in _MASKED.finditer(text):
-        host = _AT.search(text, m.start(), m.end()).end()
-        ends = [p.end() for p in _LABEL.finditer(text, host, min(m.end(), host + HOST))]
-        out += [(m.start(), e) for e in ends[1:] if e < m.end()] + [m.span()]
-    return out
+    """Masked and spoken addresses of any length, with the whole host. A plain dot joins labels only with
+    no space beside it or one on both sides, as a sentence may go on after the address ("jo [at] uni.net. Then")."""
+    return [m.span() for p in (_MASKED, _SPOKEN) for m in p.finditer(text)]
+
+
+def masked_numbers(text: str) -> list[tuple[int, int]]:
+    """Numbers of four parts joined by dots, some of them masked or spaced ("10[.]0[.]0[.]1")."""
+    return [m.span() for m in _MASKED_IP.finditer(text) if len(_GROUP.findall(m[0])) == 4 and not _IP.fullmatch(m[0])]
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Overlapping proposals of high recall: (kind, start, end)."""
-    out = [("email", *s) for s in masked_spans(text)] if "@" in text or "at" in text and ("[at]" in text or "(at)" in text) else []
+    out = [("email", *s) for s in masked_spans(text)] if _MAY_MASK.search(text) else []
+    out += [("ip", *s) for s in masked_numbers(text)]
     for start, end, n in number_spans(text):
         s = text[start:end]
         if n <= 12 and s.count(".") == 3 and not re.search("[^0-9.]", s):
@@ -244,9 +253,10 @@ def _groups(d: str, sizes: list[int], sep: str) -> str:
     return sep.join(out)
 
 
-def planted_span(rnd: random.Random) -> tuple[str, str, bool]:
+def planted_span(rnd: random.Random) -> tuple[str, str, bool | None]:
     """(kind, text, whether it is personal data of that kind), made by rules that know the truth and
-    ask no pattern: forms people write, among them those the base patterns miss, and look-alikes."""
+    ask no pattern: forms people write, among them those the base patterns miss, and look-alikes. None
+    stands for a short number, which is a phone's only where the words before it say so."""
     num = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
     name = rnd.choice(["jo", "anna.k", "m_lee", "info", "r.diaz", "user"]) + rnd.choice(["", num(2)])
     host, top = rnd.choice(["mail", "post", "example", "corp-net", "uni"]) + rnd.choice(["", num(1)]), rnd.choice(["com", "org", "net", "de", "fr", "example"])
@@ -255,14 +265,22 @@ def planted_span(rnd: random.Random) -> tuple[str, str, bool]:
     by_four = [4] * (len(card) // 4) + [len(card) % 4] * (len(card) % 4 > 0)
     bad = card[:-1] + str((int(card[-1]) + rnd.randint(1, 9)) % 10)
     day, month, year = f"{rnd.randint(1, 28):02d}", f"{rnd.randint(1, 12):02d}", str(rnd.randint(1900, 2035))
-    ip = ".".join(str(rnd.randint(0, 255)) for _ in range(4))
+    octets = [str(rnd.randint(0, 255)) for _ in range(4)]
+    ip, masks = ".".join(octets), ["[.]", "(.)", "[dot]", " [dot] ", " . "]
+    mask, word = rnd.choice(masks), lambda: rnd.choice(["red", "polka", "home", "the", "every", "tie", "noon", "first", "shop", "small"])
+    sub = rnd.choice(["mail", "cs", "dept"])
     return rnd.choice([
         ("email", f"{name} [at] {host} [dot] {top}", True), ("email", f"{name}(at){host}.{top}", True), ("email", f"{name} @ {host}.{top}", True), ("email", f"{name}[at]{host}.{top}", True), ("email", f"{name} (at) {host} (dot) {top}", True), ("email", f"{name} [at] {host}.example [dot] {top}", True), ("email", f"{name.split('.')[0]} [at] {host}.{top}", True),
         ("email", f"{rnd.randint(2, 90)} @ {rnd.randint(1, 9)}.{num(2)}", False), ("email", f"{rnd.choice(['met', 'look', 'sold'])} @ {num(2)}.{num(1)}", False), ("email", f"{name}(at){num(1)}.{num(2)}", False),
-        ("ip", ip, True), ("ip", f"{rnd.randint(256, 999)}.{num(1)}.{rnd.randint(256, 999)}.{num(2)}", False),
+        ("email", f"{name.replace('.', ' dot ')} at {host} dot {top}", True), ("email", f"{name} at {sub} dot {host} dot {top}", True), ("email", f"{name} @ {sub}.{host}.{top}", True), ("email", f"{name} [AT] {host} [DOT] {top}", True), ("email", f"{name} @ {host} . {top}", True), ("email", f"{name} [at] {host}.co.uk", True),
+        ("email", f"{word()} at {word()} dot {word()}", False), ("email", f"{word()} at {word()} dot {word()}", False), ("email", f"{word()} @ {word()} . {word()}", False),
+        ("ip", mask.join(octets), True), ("ip", ".".join(octets[:3]) + mask + octets[3], True), ("ip", octets[0] + mask + ".".join(octets[1:]), True), ("ip", mask.join([*octets[:3], str(rnd.randint(256, 999))]), False), ("ip", mask.join([num(4), *octets[1:]]), False), ("ip", ".".join([*octets[:3], str(rnd.randint(256, 999))]), False), ("ip", ".".join([str(rnd.randint(256, 999)), *octets[1:]]), False),
+        ("ip", f"{rnd.randint(256, 999)}.{ip}", False), ("ip", ip, True), ("ip", f"{rnd.randint(256, 999)}.{num(1)}.{rnd.randint(256, 999)}.{num(2)}", False),
         ("card", card, True), ("card", _groups(card, by_four, "."), True), ("card", _groups(card, by_four, "/"), True), ("card", _groups(card, by_four, "  "), True), ("card", _groups(card, by_four, " "), True),
         ("card", bad, False), ("card", _groups(bad, by_four, "."), False), ("card", _groups(bad, by_four, " "), False), ("card", f"17{num(11)}", False), ("card", f"{year}{month}{day}{num(6)}", False),
         ("phone", f"({area}) {rest}-{line}", True), ("phone", f"{area}-{rest}-{line}", True), ("phone", f"{area}.{rest}.{line}", True), ("phone", f"{area} {rest} {line}", True), ("phone", f"00{rnd.randint(30, 49)} {area} {num(7)}", True), ("phone", f"1-{area}-{rest}-{line}", True), ("phone", f"+1 ({area}) {rest}-{line}", True),
+        ("phone", f"0{num(2)} {num(4)} {num(4)}", True), ("phone", f"0{rnd.randint(1, 9)} {num(2)} {num(2)} {num(2)} {num(2)}", True), ("phone", f"0{rnd.randint(10, 9999)}{rnd.choice(' -/')}{num(rnd.randint(6, 8))}", True), ("phone", f"0{rnd.randint(1000, 9999)} {num(3)} {num(3)}", True), ("phone", f"00{rnd.randint(30, 49)} {num(3)} {num(6)}", True), ("phone", f"{rest}-{line}", None), ("phone", f"{rest}-{line}", None), ("phone", f"{rest} {line}", None),
+        ("phone", " ".join(f"{rnd.randint(1, 49)}" for _ in range(rnd.randint(4, 6))), False), ("phone", " ".join([str(rnd.randint(10, 99)), *(num(2) for _ in range(4))]), False), ("phone", f"{num(2)}.{line} {num(2)}.{num(4)}", False),
         ("phone", f"{year}-{month}-{day}", False), ("phone", f"{day}.{month}.{year}", False), ("phone", f"{day}/{month}/{year}", False), ("phone", f"{year}-{int(year) + rnd.randint(1, 9)}", False), ("phone", f"978-3-{num(2)}-{num(6)}-{num(1)}", False), ("phone", f"{num(1)}.{num(8)}", False), ("phone", f"{rnd.randint(1, 999)} {num(3)} {num(3)}", False), ("phone", num(rnd.randint(7, 12)), False), ("phone", f"{num(2)}-{num(2)}-{num(2)}-{num(2)}", False), ("phone", f"{num(5)}-{num(4)}", False), ("phone", f"{year} {num(4)}", False),
     ])
 
@@ -284,6 +302,9 @@ def planted_text(snippet: str, rnd: random.Random) -> tuple[str, list[tuple[str,
         while known and not base_spans(span)[kind]:
             kind, span, good = planted_span(rnd)
         cue = rnd.choice(["", "", "", "", "", "call ", "tel: ", "card ", "write "])
+        if good is None:
+            cue = rnd.choice(["", "", "call ", "tel: ", "tel ", "phone "])
+            good = cue != ""
         out += (" " if out else "") + cue
         places.append((len(out), len(out) + len(span)))
         if good:
@@ -416,7 +437,7 @@ def find_private(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mo
 
 def _may_hold(text: Column) -> Column:
     """No pattern and no generator finds anything in other texts."""
-    return text.rlike("[0-9@]") | text.rlike(r"[\[(]at[\])]")
+    return text.rlike("[0-9@]") | text.rlike(r"(?i)[\[(]at[\])]| at [a-z0-9-]+ dot ")
 
 
 def redact_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", models: dict[str, Trees] | None = None) -> DataFrame:

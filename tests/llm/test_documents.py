@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from marlstone.llm import jaccard, mixing, pii, quality, repeats, sharding
 from marlstone.llm.common import Tables
 
+import private_lines  # beside this file
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, key string, part long, sha string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -352,10 +354,37 @@ SIDE_BY_SIDE = [
 
 
 def test_masked_hosts():
-    for text, want in (("jo [at] uni.net. Then we", ["jo [at] uni.net", "jo [at] uni.net. Then"]), ("m (at) a [dot] b (dot) c", ["m (at) a [dot] b", "m (at) a [dot] b (dot) c"]), ("q[at]post.fr.", ["q[at]post.fr"]), ("a at b", [])):
+    for text, want in (
+        ("jo [at] uni.net. Then we", ["jo [at] uni.net"]),
+        ("m (at) a [dot] b (dot) c", ["m (at) a [dot] b (dot) c"]),
+        ("q[at]post.fr.", ["q[at]post.fr"]),
+        ("a at b", []),
+        ("j.smith @ firm.co.uk", ["j.smith @ firm.co.uk"]),
+        ("ask jo dot doe at cs dot uni dot edu now", ["jo dot doe at cs dot uni dot edu"]),
+        # parts of any length
+        (f"to {'l' * 100} [at] {'h' * 90}.{'.'.join(['x' * 9] * 60)}.org!", [f"{'l' * 100} [at] {'h' * 90}.{'.'.join(['x' * 9] * 60)}.org"]),
+    ):
         assert [text[a:b] for a, b in pii.masked_spans(text)] == want
-    # a chain of labels stays linear
-    assert len(pii.masked_spans("x(at)" + "a. " * 50_000)) <= pii.HOST
+    for text, n in (("10[.]0[.]14.2", 1), ("1 . 2 . 3 . 4", 1), ("10.0.14.2", 0), ("1[.]2[.]3", 0), ("1[.]2[.]3[.]4[.]5", 0)):
+        assert len(pii.masked_numbers(text)) == n
+    # linear in the length, whatever the text
+    for text in ("x(at)" + "a. " * 100_000, "a dot " * 100_000, "a at b dot " * 50_000, "1[.]" * 100_000, "a" * 500_000 + "@"):
+        assert len(pii.masked_spans(text)) <= 50_000 and not pii.masked_numbers(text)
+    assert len(pii.features("call 0123 now", 5, 9)) == len(pii.FEATURES)
+
+
+@pytest.mark.parametrize("lines", [private_lines.LINES, private_lines.LATER])
+def test_lines_written_by_hand(private_models, lines):
+    cases = private_lines.cases(lines)
+    found = [set(spans) for _, spans in pii.find_spans([t for t, _ in cases], private_models)]
+    hits = sum(len(f & set(truth)) for f, (_, truth) in zip(found, cases, strict=True))
+    assert hits >= 0.9 * sum(len(truth) for _, truth in cases) and hits >= 0.95 * sum(map(len, found))
+    assert all(m.trees for m in private_models.values())
+
+
+@pytest.fixture(scope="module")
+def private_models(spark):
+    return pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
 
 
 def test_numbers_side_by_side(spark):
