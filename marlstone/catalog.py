@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from .functions import scalars as S
 from .operators import blocks, graph, scans, tables, trees
+from .operators import links as linked
 from .operators.scan import link_spans, split_spans
 from .streaming.arrivals import flag_credentials
 
@@ -179,6 +180,23 @@ def declared_counts(spark, sf_dir):
     return tables.declared_counts(lines.select("doc_path", (4 * F.col("turn") + F.col("k")).alias("line"), "text"), "name", "count")
 
 
+def _linked_lines(turns: DataFrame) -> DataFrame:
+    """Each conversation as a document: users' turns are headings that repeat, assistants' link to the second
+    heading of a name, to the next conversation, out of the root and, in code, to it again; system turns are comments."""
+    n, m = F.col("turn").cast("string"), (F.col("turn") % 3).cast("string")
+    after = (F.col("conv_id") + 1).cast("string")
+    link = F.concat(F.lit("See [*a* [b]](#turn-"), m, F.lit("-1), [next](../c/"), after, F.lit('.md "Next") and ![no](x.png), [up](../../'), n, F.lit(".md) or `[code]("), after, F.lit(".md)`."))
+    text = F.when(F.col("role") == "user", F.concat(F.lit("## Turn "), m, F.lit("!"))).when(F.col("role") == "assistant", link).otherwise(F.lit("<!-- [gone](none.md) -->"))
+    return turns.select(F.concat(F.lit("c/"), F.col("conv_id").cast("string"), F.lit(".md")).alias("doc_path"), "turn", F.posexplode(F.array(text, F.lit(""))).alias("k", "text")).select("doc_path", (2 * F.col("turn") + F.col("k")).alias("line"), "text")
+
+
+def checked_links(spark, sf_dir):
+    """Links of conversations held against their headings and against each other."""
+    lines = blocks.structure(_linked_lines(_read(spark, sf_dir, "conversations")))
+    out = linked.link_status(linked.ordinary_links(lines), lines.select(F.col("doc_path").alias("path")).distinct(), linked.heading_anchors(lines))
+    return out.select("doc_path", "line", F.col("k").cast("long").alias("k"), "raw_destination", "in_code", F.coalesce("target", F.lit("")).alias("target"), "status")
+
+
 def name_collisions(spark, sf_dir):
     plan = _read(spark, sf_dir, "documents").select(F.concat_ws("-", F.upper("lang"), F.col("n_chars").cast("string")).alias("new_path"))
     return graph.target_collisions(plan)
@@ -201,7 +219,7 @@ def rewrite_spans(spark, sf_dir):
     return pages.join(links, "page_id").select("page_id", F.sha2(new, 256).alias("sha256"), F.octet_length(new).cast("long").alias("n_bytes"))
 
 
-QUERIES = {f.__name__: f for f in (span_scan, shared_refs, dup_sha, secret_lines, category_rollup, unmatched_anti, unmatched_beside_semi, metadata_left, sequence_numbers, evidence_top1, cache_keys, ascii_slugs, nfkd_slugs, decoded_links, oversize, parity_full_outer, asof_heading, adjacent_caption, outside_ranges, block_lines, tree_changes, path_counts, folder_changes, changed_files, declared_counts, name_collisions, summary_counts, utf8_count, rewrite_spans)}
+QUERIES = {f.__name__: f for f in (span_scan, shared_refs, dup_sha, secret_lines, category_rollup, unmatched_anti, unmatched_beside_semi, metadata_left, sequence_numbers, evidence_top1, cache_keys, ascii_slugs, nfkd_slugs, decoded_links, oversize, parity_full_outer, asof_heading, adjacent_caption, outside_ranges, block_lines, tree_changes, path_counts, folder_changes, changed_files, declared_counts, checked_links, name_collisions, summary_counts, utf8_count, rewrite_spans)}
 
 _LINKS = """links AS (
   SELECT page_id, i, split_part(part, '"', 1) AS dest,
@@ -277,6 +295,14 @@ ORACLE_SQL = {
     "declared_counts": """SELECT CAST(conv_id AS VARCHAR) AS doc_path, 'turn ' || turn AS name, length(text) AS n FROM (
           SELECT *, last_value(CASE WHEN role <> 'assistant' THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
           FROM conversations) WHERE role = 'assistant' AND before = 'user'""",
+    "checked_links": """WITH t AS (SELECT conv_id, turn, role, 'c/' || conv_id || '.md' AS doc_path, 'c/' || (conv_id + 1) || '.md' AS after FROM conversations),
+        heads AS (SELECT conv_id, turn % 3 AS m, count(*) AS n FROM t WHERE role = 'user' GROUP BY ALL),
+        l AS (SELECT doc_path, 2 * turn AS line, unnest(range(4)) AS k, conv_id, turn, after FROM t WHERE role = 'assistant'
+              UNION ALL SELECT doc_path, 2 * turn, 0, NULL, turn, NULL FROM t WHERE role NOT IN ('user', 'assistant'))
+        SELECT doc_path, line, k, CASE WHEN conv_id IS NULL THEN 'none.md' WHEN k = 0 THEN '#turn-' || turn % 3 || '-1' WHEN k = 1 THEN '../' || after WHEN k = 2 THEN '../../' || turn || '.md' ELSE after[3:] END AS raw_destination,
+          conv_id IS NULL OR k = 3 AS in_code, CASE WHEN conv_id IS NULL THEN 'c/none.md' WHEN k = 0 THEN doc_path WHEN k = 2 THEN '' ELSE after END AS target,
+          CASE WHEN conv_id IS NULL THEN 'no file' WHEN k = 2 THEN 'outside' WHEN k = 0 THEN CASE WHEN EXISTS (SELECT 1 FROM heads h WHERE h.conv_id = l.conv_id AND m = turn % 3 AND n > 1) THEN 'ok' ELSE 'no heading' END
+               WHEN EXISTS (SELECT 1 FROM t WHERE t.doc_path = l.after) THEN 'ok' ELSE 'no file' END AS status FROM l""",
     "name_collisions": "SELECT lower(concat_ws('-', upper(lang), n_chars)) AS target, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
     "summary_counts": """SELECT count(*) AS documents, count(DISTINCT source) AS sources, count(*) FILTER (quality IS NULL) AS missing, count(*) FILTER (toxic = 1) AS warnings
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",

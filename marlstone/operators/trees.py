@@ -31,6 +31,12 @@ def path_counts(files: DataFrame, path: str = "path") -> DataFrame:
     return out.groupBy("folder", F.col("depth").cast("long").alias("depth")).agg(F.sum("n").alias("n"))
 
 
+def folders_above(files: DataFrame) -> DataFrame:
+    """path of each folder above files (path), once, the root as ""."""
+    own = files.where("path is not null").select(parent(F.col("path")).alias("own")).distinct()
+    return own.select(F.explode(_ancestors(F.col("own"))).alias("path")).distinct()
+
+
 def _lanes(*of: Column) -> list[Column]:
     sha = F.sha2(F.concat_ws("\0", *of).cast("binary"), 256)
     return [F.conv(F.substring(sha, 1 + 8 * i, 8), 16, 10).cast("long").alias(f"h{i}") for i in range(LANES)]
