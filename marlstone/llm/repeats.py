@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -158,32 +159,40 @@ def _found(contexts: DataFrame, tables: Tables) -> DataFrame:
     the range makes buckets of its longer core, until they are small, or one window is left and
     all members have it in common. Contexts equal in all windows of a half are settled at once."""
     todo = contexts.select(F.col("h").alias("bucket"), "h", "c", "left", "right", F.lit(0).alias("lo"), F.lit(LEFT).alias("hi"))
-    out = None
+    found = []
     for _ in range(LEFT.bit_length() + 1):
+        # what is joined grows with the input: by shuffles, never by way of the driver
         n = todo.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = todo.join(n, "bucket")
+        sized = todo.join(n.hint("merge"), "bucket")
         ready = sized.where((F.col("n") <= MOST) & (F.col("lo") < F.col("hi"))).select("bucket", "h", "c", "left", "right")
         scanned = ready.repartition("bucket").sortWithinPartitions("bucket", "right").mapInArrow(_scan, "h long, c long, l long, r long")
         equal = sized.where("lo = hi").select("h", "c", F.col("lo").cast("long").alias("l"), (F.lit(LENGTH) - F.col("hi")).cast("long").alias("r"))
-        got = scanned.union(equal)
-        out = got if out is None else out.union(got)
+        found.append(tables.save(scanned.union(equal), "found"))
         large = sized.where((F.col("n") > MOST) & (F.col("lo") < F.col("hi")))
         large = tables.save(large, "large")
         if large.isEmpty():
             break
         middle = F.expr("(lo + hi) div 2").cast("int")
         halves = large.withColumn("half", F.explode(F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi")))))
-        halves = halves.select("h", "c", "left", "right", "half.lo", "half.hi").where((F.octet_length("left") >= F.col("lo")) & (F.octet_length("right") >= F.lit(LENGTH) - F.col("hi")))
+        halves = halves.select("h", "c", "left", "right", F.col("lo").alias("at"), "half.lo", "half.hi").where((F.octet_length("left") >= F.col("lo")) & (F.octet_length("right") >= F.lit(LENGTH) - F.col("hi")))
         # the hull: all bytes of the range's windows; equal hulls repeat every window, and one goes on for all
         whole = (F.octet_length("left") >= F.col("hi")) & (F.octet_length("right") >= F.lit(LENGTH) - F.col("lo"))
         hull = F.xxhash64("h", "lo", "hi", F.expr("right(hex(left), 2 * hi)"), F.expr(f"substring(right, 1, {LENGTH} - lo)"))
-        halves = tables.save(halves.withColumn("hull", F.when(whole, hull).otherwise(F.xxhash64("h", "c", "lo", "hi"))), "halves")
-        alike = halves.groupBy("hull").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-        told = halves.select("h", "c", "hull").join(alike.where("n > 1").drop("c"), "hull")
-        out = out.union(told.select("h", "c", F.col("hi").cast("long"), (F.lit(LENGTH) - F.col("lo")).cast("long")))
-        halves = halves.join(alike.select("hull", "c"), ["hull", "c"], "left_semi").drop("hull")
         core = F.xxhash64("h", "lo", "hi", F.expr("right(hex(left), 2 * lo)"), F.expr(f"substring(right, 1, {LENGTH} - hi)"))
-        todo = halves.withColumn("bucket", core)
+        halves = halves.select("h", "c", "at", "lo", "hi", F.when(whole, hull).otherwise(F.xxhash64("h", "c", "lo", "hi")).alias("hull"), core.alias("bucket"))
+        # narrow rows: a core that one context holds alone repeats nothing there, and the bytes of others are read again
+        shared = halves.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+        halves = tables.save(halves.join(shared.hint("merge"), "bucket"), "halves")
+        alike = halves.groupBy("hull").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("c", "h", "bucket", "at", "lo", "hi")).alias("one"))
+        alike = tables.save(alike.select("hull", "n", "one.*"), "alike")
+        told = halves.select("h", "c", "hull").join(alike.where("n > 1").select("hull", "lo", "hi").hint("merge"), "hull")
+        found.append(tables.save(told.select("h", "c", F.col("hi").cast("long").alias("l"), (F.lit(LENGTH) - F.col("lo")).cast("long").alias("r")), "told"))
+        # a range's row lends its bytes to both halves
+        bytes_ = large.select("h", "c", F.col("lo").alias("at"), "left", "right")
+        todo = bytes_.join(alike.drop("hull", "n").hint("merge"), ["h", "c", "at"]).select("bucket", "h", "c", "left", "right", "lo", "hi")
+        todo = tables.save(todo, "todo")
+        tables.drop(large, halves, alike)
+    out = reduce(DataFrame.union, found)
     return out.groupBy("h", "c").agg(F.max("l").alias("l"), F.max("r").alias("r"))
 
 

@@ -252,6 +252,32 @@ def test_repeats(docs, rows, most, monkeypatch):
     assert Counter(tuple(r) for r in repeats.remove_repeats(docs).collect()) == plain_repeats(rows)
 
 
+def test_repeats_of_a_common_passage(spark, monkeypatch):
+    """Ranges of large buckets: nothing goes by way of the driver, and cores held alone go no further."""
+    rnd = random.Random(7)
+    words = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage, longer = words(150), words(230)
+    rows = [(i, words(150) + (longer if i % 4 == 0 else passage) + words(150)) for i in range(24)]
+    plans, tables = [], {}
+    save = Tables.save
+
+    def saved(self, df, name):
+        if name in ("large", "halves", "alike", "told", "todo", "found"):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = save(self, df, name)
+        if name in ("large", "halves"):
+            tables.setdefault(name, []).append([r.asDict() for r in out.collect()])
+        return out
+
+    monkeypatch.setattr(Tables, "save", saved)
+    monkeypatch.setattr(repeats, "MOST", 3)
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert Counter(tuple(r) for r in got.collect()) == plain_repeats(rows)
+    assert any(tables["large"]) and not any("BroadcastHashJoin" in p for p in plans)
+    for halves in tables["halves"]:
+        assert min(Counter(r["bucket"] for r in halves).values(), default=2) > 1
+
+
 def test_repeats_empty(empty):
     assert repeats.remove_repeats(empty).count() == 0
 
