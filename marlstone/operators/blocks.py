@@ -7,21 +7,25 @@ scanned over the parts; so a document's parts are read by tasks of their own."""
 from __future__ import annotations
 
 import json
+from itertools import groupby, islice
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.scalars import heading_text
 from . import scans
 
 #: Lines of a part.
 PART_LINES = 4096
+#: Rows that a task hands on at once.
+BATCH = 10000
 #: States: outside blocks, in a comment; in a fence the state is its mark and length, as in "~3".
 FREE, COMMENT = "", "!"
 
 _FENCE = r"^ {0,3}(`{3,}|~{3,})"
-_EVENT = "doc_path string, line long, mark string, size int, bare boolean, opens boolean, stays boolean"
 
 
 def document_lines(documents: DataFrame) -> DataFrame:
@@ -94,34 +98,44 @@ def _events(lines: DataFrame) -> DataFrame:
     return rows.withColumn("part", F.expr(f"line div {PART_LINES}"))
 
 
-def _lines(pdf: pd.DataFrame):
-    return pdf.sort_values("line")[["mark", "size", "bare", "opens", "stays"]].itertuples(index=False, name=None)
+def _in_runs(rows: DataFrame, keys: list[str], order: list[str], work, schema: str) -> DataFrame:
+    """What work gives for each run of rows of equal keys, in the given order: rows of schema.
 
+    A task streams over its sorted rows, whatever its number of keys, and holds no run whole."""
+    names = [*keys, *order, *(c for c in rows.columns if c not in (*keys, *order))]
+    fields = to_arrow_schema(StructType.fromDDL(schema))
 
-def _effect(pdf: pd.DataFrame) -> pd.DataFrame:
+    def stream(batches):
+        values = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        made = (out for _, run in groupby(values, key=lambda row: row[: len(keys)]) for out in work(run))
+        while block := list(islice(made, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*block, strict=True), fields, strict=True)], schema=fields)
+
+    return rows.select(*names).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(stream, schema)
+
+
+def _effect(run):
+    """(doc_path, part, effect) of the events of a part."""
     out = Effect()
-    for row in _lines(pdf):
-        out = out.line(*row)
-    return pd.DataFrame({"doc_path": pdf["doc_path"].iloc[:1], "part": pdf["part"].iloc[:1], "effect": [out.text()]})
+    for doc_path, part, _, *event in run:
+        out = out.line(*event)
+    yield doc_path, part, out.text()
 
 
-def _entries(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The state at the start of each part that has events."""
-    pdf, so_far, states = pdf.sort_values("part"), Effect(), []
-    for effect in pdf["effect"]:
-        states.append(so_far.free)
+def _entries(run):
+    """(doc_path, part, entry): the state at the start of each part of a document that has events."""
+    so_far = Effect()
+    for doc_path, part, effect in run:
+        yield doc_path, part, so_far.free
         so_far = so_far.then(Effect(*json.loads(effect)))
-    return pd.DataFrame({"doc_path": pdf["doc_path"], "part": pdf["part"], "entry": states})
 
 
-def _changes(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The state after each event of a part."""
-    pdf = pdf.sort_values("line")
-    state, states = pdf["entry"].iloc[0], []
-    for row in _lines(pdf):
-        state = step(state, *row)
-        states.append(state)
-    return pd.DataFrame({"doc_path": pdf["doc_path"], "line": pdf["line"], "after": states})
+def _changes(run):
+    """(doc_path, line, after): the state after each event of a part."""
+    state = None
+    for doc_path, _, line, entry, *event in run:
+        state = step(entry if state is None else state, *event)
+        yield doc_path, line, state
 
 
 def line_states(lines: DataFrame) -> DataFrame:
@@ -131,9 +145,11 @@ def line_states(lines: DataFrame) -> DataFrame:
     Only lines with a fence or a comment's mark are looked at one by one, part by part; what the parts
     do is scanned over each document's parts. Lines are told apart by doc_path and line."""
     events = _events(lines)
-    effects = events.groupBy("doc_path", "part").applyInPandas(_effect, "doc_path string, part long, effect string")
-    entries = effects.groupBy("doc_path").applyInPandas(_entries, "doc_path string, part long, entry string")
-    changes = events.join(entries, ["doc_path", "part"]).groupBy("doc_path", "part").applyInPandas(_changes, "doc_path string, line long, after string")
+    event = ["mark", "size", "bare", "opens", "stays"]
+    effects = _in_runs(events.select("doc_path", "part", "line", *event), ["doc_path", "part"], ["line"], _effect, "doc_path string, part long, effect string")
+    entries = _in_runs(effects, ["doc_path"], ["part"], _entries, "doc_path string, part long, entry string")
+    met = events.join(entries, ["doc_path", "part"]).select("doc_path", "part", "line", "entry", *event)
+    changes = _in_runs(met, ["doc_path", "part"], ["line"], _changes, "doc_path string, line long, after string")
     marked = lines.join(changes, ["doc_path", "line"], "left").select(*lines.columns, "after")
     out = scans.segmented(marked, ["doc_path"], ["line"], state=scans.last_before(F.col("after")))
     return out.withColumn("state", F.coalesce("state", F.lit(FREE)))

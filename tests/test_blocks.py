@@ -66,3 +66,14 @@ def test_states_against_the_scanner(spark):
             if line and not line.startswith("<!--"):
                 assert got[name, i] == want, (name, i, line)
             at += len(line) + 1
+
+
+def test_states_stream_over_documents(spark):
+    """Many small documents are no groups of their own in Python, and keep their states across batches."""
+    rows = [(f"d{i}", k, t) for i in range(300) for k, t in enumerate(["# A", "~~~", "# B", "~~~", f"# C{i}"])]
+    lines = spark.createDataFrame(rows, "doc_path string, line long, text string").repartition(7)
+    states = blocks.line_states(lines)
+    plan = states._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+    got = {(r["doc_path"], r["line"]): r["state"] for r in states.collect()}
+    assert got == {(f"d{i}", k): s for i in range(300) for k, s in enumerate(["", "", "~3", "~3", ""])}
