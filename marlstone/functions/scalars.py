@@ -37,15 +37,29 @@ def nfkd_ascii() -> tuple[str, str, dict[str, str]]:
     return "".join(single), "".join(left[c] for c in single), {c: p for c, p in left.items() if len(p) > 1}
 
 
+def _ranges(chars, gap: int = 512) -> str:
+    """A few ranges of a character class that hold all of chars, and what lies in gaps between them."""
+    out: list[list[int]] = []
+    for i in sorted(map(ord, chars)):
+        if out and i - out[-1][1] <= gap:
+            out[-1][1] = i
+        else:
+            out.append([i, i])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out)
+
+
 def ascii_nfkd(value: Column) -> Column:
     """Compatibility decomposition with every character outside ASCII deleted, by tables made at plan
-    time; only a text with a character that leaves several is taken apart."""
+    time; only a text with a character outside ASCII is translated, and only one with a character near
+    those that leave several is taken apart. A class of few ranges goes first: Java tries the members
+    of a class one after the other, for every character of the text."""
     source, target, several = nfkd_ascii()
-    short = F.regexp_replace(F.translate(value, source, target), f"[^\\x00-\\x7F{''.join(several)}]", "")
+    other = r"[^\x00-\x7F]"
+    short = F.regexp_replace(F.translate(value, source, target), rf"[^\x00-\x7F{_ranges(several)}]", "")
     table = F.map_from_arrays(F.array(*map(F.lit, several)), F.array(*map(F.lit, several.values())))
     runs = F.regexp_extract_all(short, F.lit(r"[^\x00-\x7F]|[\x00-\x7F]+"), F.lit(0))
     whole = F.array_join(F.transform(runs, lambda c: F.when(c.rlike(r"^[\x00-\x7F]"), c).otherwise(F.try_element_at(table, c))), "")
-    return F.when(short.rlike(r"[^\x00-\x7F]"), whole).otherwise(short)
+    return F.when(~value.rlike(other), value).when(short.rlike(other), whole).otherwise(short)
 
 
 def ascii_slug(value: Column) -> Column:

@@ -36,3 +36,19 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 281
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_nfkd_of_all_code_points(spark):
+    """Every code point, alone and in a text, by a class of few ranges: Java tries its members one by one."""
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from marlstone.functions import scalars
+
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF]
+    texts = ["a".join(points[i : i + 97]) for i in range(0, len(points), 97)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "", "plain", None]], "t string")
+    out = df.select("t", scalars.ascii_nfkd(F.col("t")).alias("p"))
+    assert max(map(len, scalars.re.findall(r"\[\^[^\]]*\]", out._jdf.queryExecution().optimizedPlan().toString()))) < 400
+    assert all(r["p"] == (None if r["t"] is None else unicodedata.normalize("NFKD", r["t"]).encode("ascii", "ignore").decode()) for r in out.collect())
