@@ -32,6 +32,8 @@ BLOCK, BLOCK_TOKENS = 512, 1 << 20
 SKIP_WEIGHT = 0.01
 #: Members of a long list that meet in one task are dealt into parts of about so many.
 LIST_PART = 1024
+#: How often the members of long lists are dealt into blocks, as long as that joins any.
+TURNS = 3
 #: Bytes of one text that are hashed at once; longer texts are cut between words.
 SLICE = 2 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -299,14 +301,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(search, "a long, b long")
 
 
-def _crowds(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join what links within blocks of the members of long lists.
-
-    Each member goes to its longest list, lists are dealt into blocks; in a block a walk over links
-    searches from each member reached among those not reached yet."""
-    longest = lists.groupBy("sig").agg(F.max(F.struct("length", "tok", "n")).alias("m")).select("sig", "m.tok", "m.length", F.col("m.n").alias("n_"))
-    dealt = longest.withColumn("block", _dealt("sig", F.col("length"))).select("sig", "tok", "block")
-    members = dealt.join(sets, "sig").groupBy("tok", "block").agg(F.collect_list(F.struct("sig", "tokens")).alias("members"))
+def _crowds(lists: DataFrame, sets: DataFrame, percent: int, turn: int = 0) -> DataFrame:
+    """Links (a, b) that join components within blocks of the members of long lists.
+
+    Each member goes to its longest list, on later turns to another that is at least half as long,
+    the same for all that have it; lists are dealt into blocks, anew on each turn, so that what the
+    blocks of one turn left apart meets in the next. In a block a walk over links searches from each
+    member reached among those of components not reached yet."""
+    by = F.struct("length", "tok", "n")
+    if turn:
+        longest = F.max("length").over(Window.partitionBy("sig"))
+        by = F.struct(F.when(2 * F.col("length") >= F.col("longest"), F.xxhash64(F.lit(turn), "tok")).alias("at"), "length", "tok", "n")
+        lists = lists.withColumn("longest", longest)
+    chosen = lists.groupBy("sig", "comp").agg(F.max(by).alias("m")).select("sig", "comp", "m.tok", "m.length", F.col("m.n").alias("n_"))
+    if turn:
+        chosen = chosen.withColumn("_turn", F.xxhash64(F.lit(turn), "sig"))
+    dealt = chosen.withColumn("block", _dealt("_turn" if turn else "sig", F.col("length"))).select("sig", "comp", "tok", "block")
+    members = dealt.join(sets, "sig").groupBy("tok", "block").agg(F.collect_list(F.struct("sig", "comp", "tokens")).alias("members"))
 
     def walk(batches):
         for batch in batches:
@@ -318,10 +329,12 @@ def _crowds(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 tokens, owner = np.concatenate(own), np.repeat(np.arange(len(own)), np.diff(at))
                 order = np.lexsort((owner, tokens))
                 tokens, owner = tokens[order], owner[order]
+                comp = np.unique(np.asarray(inner.field("comp")), return_inverse=True)[1]
+                of = [np.flatnonzero(comp == c) for c in range(comp.max() + 1)] if len(own) else []
                 free, a, b = np.ones(len(own), dtype=bool), [], []
                 for seed in range(len(own)):
-                    queue = [seed] if free[seed] else []
-                    free[seed] = False
+                    queue = of[comp[seed]].tolist() if free[seed] else []
+                    free[queue] = False
                     while queue:
                         x = queue.pop()
                         rest = free[owner]
@@ -329,10 +342,12 @@ def _crowds(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         n = len(own[x])
                         wanted = {i: -(-percent * (n + len(own[i])) // (100 + percent)) for i in np.flatnonzero(free).tolist()}
                         hit = divide_skip(own[x], owner, tokens, wanted) if wanted else []
-                        free[hit] = False
-                        queue += hit
-                        a += [ids[x]] * len(hit)
-                        b += ids[hit].tolist()
+                        for y in hit:
+                            if free[y]:  # its whole component is reached with it
+                                free[of[comp[y]]] = False
+                                queue += of[comp[y]].tolist()
+                                a.append(ids[x])
+                                b.append(int(ids[y]))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return members.mapInArrow(walk, "a long, b long")
@@ -351,7 +366,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     2. In each list the smallest class leads. Pairs of a leader and a member with enough lists in
        common are searched (T-occurrence with DivideSkip, on whole sets) and linked.
     3. Members of long lists that still hold several components are walked over in blocks, which
-       joins large groups of near copies.
+       joins large groups of near copies; other blocks then join what the first left apart.
     4. Lists then hold few components. Only pairs across components go on: those that short lists
        bring together often enough, at places early enough in both sets for their sizes, long lists
        counting as shared until probed; a long list itself brings pairs together only where the
@@ -411,13 +426,17 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     lists = open_lists(joined)
     crowded = lists.where(F.col("length") > LONG_LIST)
     sets = _sets_of(docs, classes, crowded.select("sig").distinct(), text, doc_id, tables, seed)
-    crowd = tables.save(_crowds(crowded, sets, percent), "crowds")
-    tables.drop(sets)
-    if not crowd.isEmpty():
+    # later turns join what blocks left apart, so that large components do not meet pair by pair
+    for turn in range(TURNS):
+        crowd = tables.save(_crowds(crowded, sets, percent, turn), "crowds")
+        if crowd.isEmpty():
+            break
         first = tables.save(first.union(crowd), "links")
         joined = tables.save(components(first, tables), "joined")
         tables.drop(lists)
         lists = open_lists(joined)
+        crowded = lists.where(F.col("length") > LONG_LIST)
+    tables.drop(sets)
     tables.drop(led)
     lists = lists.withColumn("long", F.col("length") > LONG_LIST)
     of_sig = lists.groupBy("sig").agg(F.count_if("long").alias("n_long"), F.sum("length").alias("reach"))

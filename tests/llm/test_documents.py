@@ -433,3 +433,26 @@ def test_numbers_side_by_side(spark):
         text = made[300 + i][1]
         spans = [s.split(":") for s in got[900 + i].split(",")]
         assert [(k, text[int(a) : int(b)]) for k, a, b in spans] == want
+
+
+def test_crowds_join_components_across_blocks(spark, monkeypatch):
+    """Blocks give one link for each component they join, and later turns deal members anew."""
+    sets = spark.createDataFrame([(i, [*range(100), 1000 + i]) for i in range(60)], "sig long, tokens array<long>")
+
+    def joined(comp, turn):
+        rows = [(t, i, 101, comp[i], 60) for i in range(60) for t in (5, 7)]
+        lists = spark.createDataFrame(rows, "tok long, sig long, n long, comp long, length long")
+        links = [tuple(r) for r in jaccard._crowds(lists, sets, 80, turn).collect()]
+        out = dict(comp)
+        for a, b in links:
+            old, new = max(out[a], out[b]), min(out[a], out[b])
+            out = {k: new if c == old else c for k, c in out.items()}
+        assert len(links) >= len(set(comp.values())) - len(set(out.values()))
+        return links, out
+
+    links, comp = joined({i: i % 2 for i in range(60)}, 0)
+    assert len(links) == 1 and set(comp.values()) == {0}
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    _, first = joined({i: i for i in range(60)}, 0)
+    _, second = joined(first, 1)
+    assert 1 < len(set(first.values())) and set(second.values()) == {0}
