@@ -302,7 +302,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _crowds(lists: DataFrame, sets: DataFrame, percent: int, turn: int = 0) -> DataFrame:
-    """Links (a, b) that join components within blocks of the members of long lists.
+    """Pairs of components (a, b) that links join within blocks of the members of long lists.
 
     Each member goes to its longest list, on later turns to another that is at least half as long,
     the same for all that have it; lists are dealt into blocks, anew on each turn, so that what the
@@ -323,13 +323,13 @@ def _crowds(lists: DataFrame, sets: DataFrame, percent: int, turn: int = 0) -> D
         for batch in batches:
             for k in range(batch.num_rows):
                 inner = batch.column("members")[k].values
-                ids, lists_ = np.asarray(inner.field("sig")), inner.field("tokens")
+                lists_ = inner.field("tokens")
                 at = np.asarray(lists_.offsets)
                 own = [np.sort(np.asarray(lists_.values).view(np.uint64)[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
                 tokens, owner = np.concatenate(own), np.repeat(np.arange(len(own)), np.diff(at))
                 order = np.lexsort((owner, tokens))
                 tokens, owner = tokens[order], owner[order]
-                comp = np.unique(np.asarray(inner.field("comp")), return_inverse=True)[1]
+                names, comp = np.unique(np.asarray(inner.field("comp")), return_inverse=True)
                 of = [np.flatnonzero(comp == c) for c in range(comp.max() + 1)] if len(own) else []
                 free, a, b = np.ones(len(own), dtype=bool), [], []
                 for seed in range(len(own)):
@@ -346,8 +346,8 @@ def _crowds(lists: DataFrame, sets: DataFrame, percent: int, turn: int = 0) -> D
                             if free[y]:  # its whole component is reached with it
                                 free[of[comp[y]]] = False
                                 queue += of[comp[y]].tolist()
-                                a.append(ids[x])
-                                b.append(int(ids[y]))
+                                a.append(names[comp[x]])
+                                b.append(names[comp[y]])
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return members.mapInArrow(walk, "a long, b long")
@@ -416,28 +416,32 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     stars = tables.save(stars.where(F.col("c") >= enough("n", "leader_n")).select(F.col("leader").alias("a"), F.col("sig").alias("b"), F.col("leader_n").alias("a_n"), "crowd"), "stars")
     first = links(stars)
     tables.drop(stars)
-    joined = tables.save(components(first, tables), "joined")
+    joined = components(first, tables)
 
-    def open_lists(joined: DataFrame) -> DataFrame:
-        lists = led.select("tok", "sig", "n", "pos").join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("comp", F.coalesce("component", "sig"))
+    def open_lists(lists: DataFrame) -> DataFrame:
+        """Those that still hold several components, with their lengths."""
         several = lists.groupBy("tok").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("length")).where("c0 < c1").select("tok", "length")
         return tables.save(lists.join(several, "tok").select("tok", "sig", "n", "pos", "comp", "length"), "open")
 
-    lists = open_lists(joined)
-    crowded = lists.where(F.col("length") > LONG_LIST)
-    sets = _sets_of(docs, classes, crowded.select("sig").distinct(), text, doc_id, tables, seed)
+    lists = led.select("tok", "sig", "n", "pos").join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left")
+    lists = open_lists(lists.withColumn("comp", F.coalesce("component", "sig")))
+    tables.drop(led)
+    known, sets = joined, None
     # later turns join what blocks left apart, so that large components do not meet pair by pair
     for turn in range(TURNS):
+        crowded = lists.where(F.col("length") > LONG_LIST)
+        if crowded.isEmpty():
+            break
+        sets = sets or _sets_of(docs, classes, crowded.select("sig").distinct(), text, doc_id, tables, seed)
         crowd = tables.save(_crowds(crowded, sets, percent, turn), "crowds")
         if crowd.isEmpty():
             break
-        first = tables.save(first.union(crowd), "links")
-        joined = tables.save(components(first, tables), "joined")
-        tables.drop(lists)
-        lists = open_lists(joined)
-        crowded = lists.where(F.col("length") > LONG_LIST)
-    tables.drop(sets)
-    tables.drop(led)
+        up = components(crowd, tables)
+        known = known.union(up)
+        before, lists = lists, open_lists(lists.drop("length").join(up.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("component", "comp")))
+        tables.drop(before)
+    if sets:
+        tables.drop(sets)
     lists = lists.withColumn("long", F.col("length") > LONG_LIST)
     of_sig = lists.groupBy("sig").agg(F.count_if("long").alias("n_long"), F.sum("length").alias("reach"))
     lists = lists.join(of_sig, "sig").withColumn("at", F.row_number().over(Window.partitionBy("sig", "long").orderBy("tok")))
@@ -457,7 +461,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     pairs = pairs.groupBy("a_sig", "b_sig", "a_n", "b_n", "a_reach", skipped.alias("skipped")).agg(F.count_if(~F.col("a_long")).alias("c"))
     pairs = pairs.where(F.col("c") + F.col("skipped") >= enough("a_n", "b_n")).select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"), "a_n", F.col("a_reach").alias("crowd"))
     across = links(tables.save(pairs, "pairs"))
-    comp = joined if across.isEmpty() else components(first.union(across), tables)
+    known = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    comp = components(known.union(across), tables)
 
     class_of = classes.select("sig", "low").join(comp.select(F.col("node").alias("sig"), "component"), "sig", "left")
     class_of = tables.save(class_of.select("sig", "low", F.coalesce("component", "sig").alias("class")), "members")

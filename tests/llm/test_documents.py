@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import jaccard, mixing, pii, quality, repeats, sharding
+from marlstone.llm import common, jaccard, mixing, pii, quality, repeats, sharding
 from marlstone.llm.common import Tables
 
 import private_lines  # beside this file
@@ -456,3 +456,24 @@ def test_crowds_join_components_across_blocks(spark, monkeypatch):
     _, first = joined({i: i for i in range(60)}, 0)
     _, second = joined(first, 1)
     assert 1 < len(set(first.values())) and set(second.values()) == {0}
+
+
+@pytest.mark.parametrize("fold", [1 << 16, 40])
+def test_components_in_few_jobs(spark, monkeypatch, fold):
+    """Edges that one task holds are joined there, without a shuffle; more of them round by round, with the same result."""
+    monkeypatch.setattr(common, "FOLD", fold)
+    rnd = random.Random(4)
+    edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(500, 560)] + [(900, k) for k in range(901, 980)] + [(7, 7)]
+    low = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in low:
+        for a, b in edges:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    tables = Tables(spark, "test")
+    saved = tables.save(spark.createDataFrame(edges, "a long, b long").repartition(5), "given")
+    shuffles, save = [], Tables.save
+    monkeypatch.setattr(Tables, "save", lambda self, df, name: shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange")) or save(self, df, name))
+    got = common.components(saved, tables)
+    assert Counter(map(tuple, got.collect())) == Counter(low.items())
+    assert (sum(shuffles) == 0) == (fold > 1000)
+    assert common.components(saved.limit(0), tables).count() == 0
