@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -185,6 +186,45 @@ def test_pieces_long_word():
             assert abs(r[3] - (sum(voc.log_p[i] for i in r[7]) - total[-1])) < 1e-6
 
 
+def test_pieces_do_not_depend_on_other_texts():
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["stone", "rivers", "under", "winterlamp", "fields"]) for _ in range(rnd.randrange(1, 60))) for _ in range(80)]
+    counts = np.arange(pieces.vocabulary().processor.vocab_size())[::-1]
+    together = sorted(pieces.sample_texts(texts, np.arange(80), 3, counts=counts))
+    alone = [(i, *r[1:]) for i, t in enumerate(texts) for r in sorted(pieces.sample_texts([t], np.array([i]), 3, counts=counts))]
+    assert together == alone
+
+
+def test_pieces_probabilities_from_the_documents(spark, monkeypatch):
+    """Pieces have the probabilities that the model's own encodings of all texts give them, and samples are drawn by these."""
+    texts = ["the cats sat", " the  cats ", "cats", None, "", "日本 cats\tx", " ", "the cats "] * 3 + ["zebra " * 40 + "zebra"]
+    monkeypatch.setattr(pieces, "UNITS", 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    voc = pieces.vocabulary()
+    sp, size = voc.processor, voc.processor.vocab_size()
+    plain = Counter(i for t in texts for i in sp.encode(t or ""))
+    assert {r["piece"]: r["n"] for r in pieces.count_pieces(docs).collect()} == plain
+    law = [(i + pieces.SHIFT) ** -pieces.POWER for i in range(size)]
+    n = [plain[i] + size * law[i] / sum(law) for i in range(size)]
+    bytes_ = [i for i in range(size) if sp.is_byte(i)]
+    for i in bytes_:
+        n[i] = sum(plain[j] + size * law[j] / sum(law) for j in bytes_) / len(bytes_)
+    log_p = [pieces.ALPHA * math.log(x / sum(n)) for x in n]
+    id_of = {sp.id_to_piece(i): i for i in range(size) if not (sp.is_byte(i) or sp.is_unknown(i) or sp.is_control(i) or sp.is_unused(i))}
+    for r in pieces.sample_segmentations(docs, with_ids=True).collect():
+        if t := texts[r["doc_id"]]:
+            t = "▁" + t.replace(" ", "▁")
+            total = [0.0] + [-math.inf] * len(t)
+            for j in range(1, len(t) + 1):
+                # no piece crosses units
+                ways = [total[j - k] + log_p[id_of[w]] for k in range(1, j + 1) if (w := t[j - k : j]) in id_of and not re.search("[^▁]▁", w)]
+                if t[j - 1] not in id_of:
+                    ways.append(total[j - 1] + len(t[j - 1].encode()) * log_p[bytes_[0]])
+                total[j] = np.logaddexp.reduce(ways)
+            assert sp.decode(r["ids"]) == texts[r["doc_id"]]
+            assert abs(r["log_p"] - (sum(log_p[i] for i in r["ids"]) - total[-1])) < 1e-6
+
+
 SCHEMAS = {"add": {"properties": {"a": {"type": "integer", "maximum": 9}, "b": {"type": ["number", "null"]}, "op": {"enum": ["x", "y"]}}, "required": ["a"], "additionalProperties": False}}
 
 
