@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,34 @@ def test_pieces_do_not_depend_on_other_texts():
     assert together == alone
 
 
+def test_pieces_split_all_texts_at_once(monkeypatch):
+    """Second samples take as many steps for ten times the texts: none is worked out text by text."""
+    rnd, calls, mix = random.Random(4), [], pieces.mix
+    texts = [" ".join(rnd.choice(["stone", "rivers", "under", "winterlamp"]) for _ in range(60)) for _ in range(200)]
+    sp = pieces.vocabulary(pieces.MODEL, pieces.POWER).processor
+    monkeypatch.setattr(pieces, "mix", lambda h: calls.append(1) or mix(h))
+    n = []
+    for size in (20, 200):
+        calls.clear()
+        rows = sorted(pieces.sample_texts(texts[:size], np.arange(size), 2, with_ids=True))
+        n.append(len(calls))
+        assert [(r[0], r[1]) for r in rows] == [(d, s) for d in range(size) for s in (1, 2)]
+        assert all(sp.decode(r[7]) == texts[r[0]] for r in rows) and all(a[7] != b[7] for a, b in zip(rows[::2], rows[1::2], strict=True))
+    assert n[1] < 2 * n[0]
+
+
+def test_pieces_units_are_counted_together():
+    """Each different unit of a task is encoded once, in whatever slices its texts are read."""
+    texts = pa.array(["the cats sat", " the  cats ", "cats", None, "", "日本 cats\tx", " ", "the cats "] * 5)
+    sp = pieces.processor(pieces.MODEL)
+    units = pieces._merged([pieces.unit_counts(texts.drop_null().slice(i, 7)) for i in range(0, 35, 7)])
+    assert units.num_rows == len(set(units.column("unit").to_pylist()))
+    n = pieces.encoded_counts(units, sp)
+    plain = Counter(i for t in texts.to_pylist() for i in sp.encode(t or ""))
+    assert {i: int(n[i]) for i in np.flatnonzero(n).tolist()} == plain
+    assert pieces.vocabulary(pieces.MODEL, pieces.POWER).processor is sp
+
+
 def test_pieces_probabilities_from_the_documents(spark, monkeypatch):
     """Pieces have the probabilities that the model's own encodings of all texts give them, and samples are drawn by these."""
     texts = ["the cats sat", " the  cats ", "cats", None, "", "日本 cats\tx", " ", "the cats "] * 3 + ["zebra " * 40 + "zebra"]
